@@ -170,12 +170,12 @@ def demand_table(survey: DataFrame, regions: Sequence[str], *, region: str = "pr
     """Answers per month, one column per region, absent combinations 0."""
     rows = survey.withColumn("_r", canonical_label(region, regions)).where(F.col("_r") != "Other")
     return (rows.groupBy(F.date_format(date, "yyyy-MM").alias("month")).pivot("_r", list(regions))
-            .agg(F.count("*")).fillna(0))
+            .agg(F.count(F.lit(1))).fillna(0))
 
 
 def region_day_table(survey: DataFrame, regions: Sequence[str], *, region: str = "prefecture", date: str = "date") -> DataFrame:
     rows = survey.withColumn("_r", canonical_label(region, regions)).where(F.col("_r") != "Other")
-    return rows.groupBy(date).pivot("_r", list(regions)).agg(F.count("*")).fillna(0)
+    return rows.groupBy(date).pivot("_r", list(regions)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def heat_rank(metrics: DataFrame, value: str, *, series=None) -> DataFrame:

@@ -1 +1,4 @@
+from daygauge.plans import tables  # noqa: F401
+from daygauge.plans.registry import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -52,3 +54,15 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage, so that a lost executor cannot change it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of a cluster; local workers see it already."""
+    context = spark.sparkContext
+    if context.master.startswith("local") or getattr(context, "_daygauge_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="daygauge-"), "daygauge"), "zip",
+                                  os.path.dirname(home), os.path.basename(home))
+    context.addPyFile(archive)
+    context._daygauge_shipped = True

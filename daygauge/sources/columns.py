@@ -47,21 +47,26 @@ def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
 
 
-def read_named(spark: SparkSession, path, *, recursive: bool = True, encoding: str = "UTF-8") -> DataFrame:
+def _reader(spark: SparkSession, encoding: str, recursive: bool, multiline: bool):
+    return (spark.read.option("encoding", encoding).option("recursiveFileLookup", recursive).option("escape", '"')
+            .option("pathGlobFilter", "*.csv").option("multiLine", multiline))
+
+
+def read_named(spark: SparkSession, path, *, recursive: bool = True, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
     """CSV files that share one header, every column as text, with ``_file``. Differing headers are an error."""
-    reader = (spark.read.option("header", True).option("enforceSchema", False).option("encoding", encoding)
-              .option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv"))
+    reader = _reader(spark, encoding, recursive, multiline).option("header", True).option("enforceSchema", False)
     return reader.csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
 
 
-def read_cells(spark: SparkSession, path, *, width: int = 64, encoding: str = "UTF-8", recursive: bool = True) -> DataFrame:
+def read_cells(spark: SparkSession, path, *, width: int = 64, encoding: str = "UTF-8", recursive: bool = True,
+               multiline: bool = False) -> DataFrame:
     """CSV files with any headers as (_file, _at, cells): one row per line, cells by position.
 
     ``_at`` orders the lines of a file. Files need no common header and none of them passes through the driver.
+    ``multiline`` allows line breaks inside quotes; a file is then read by one task, without it large files are split.
     """
     schema = ", ".join(f"_c{i} string" for i in range(width))
-    reader = (spark.read.schema(schema).option("header", False).option("encoding", encoding)
-              .option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv"))
+    reader = _reader(spark, encoding, recursive, multiline).schema(schema).option("header", False)
     rows = reader.csv(path).select(
         F.array(*[f"_c{i}" for i in range(width)]).alias("cells"), F.col("_metadata.file_path").alias("_file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("_at"))

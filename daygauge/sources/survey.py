@@ -15,7 +15,7 @@ from daygauge.sources.weather import first_readable
 
 def survey_dates(spark: SparkSession, path) -> DataFrame:
     """(prefecture, date) from the first two columns of every file, bad dates dropped."""
-    rows = cells_by_header(read_cells(spark, path), {"prefecture": 0, "day": 1})
+    rows = cells_by_header(read_cells(spark, path, multiline=True), {"prefecture": 0, "day": 1})
     return rows.select("prefecture", day_of("day").alias("date")).where("date is not null")
 
 
@@ -27,7 +27,7 @@ def survey_satisfaction(spark: SparkSession, path, names: Mapping[str, str]) ->
     roles = ("satisfaction", "satisfaction_service", "nps", "location", "reason", "inconvenience", "freetext")
     wanted: dict[str, object] = {"prefecture": 0, "day": 1}
     wanted |= {r: named(names[r]) for r in roles if r in names}
-    return answers(cells_by_header(read_cells(spark, path), wanted).withColumn("date", day_of("day")))
+    return answers(cells_by_header(read_cells(spark, path, multiline=True), wanted).withColumn("date", day_of("day")))
 
 
 def answers(rows: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def answers(rows: DataFrame) -> DataFrame:
 def survey_texts(spark: SparkSession, path, *, satisfaction: str, reason: str, not_reason: str, inconvenience: str,
                  freetext: str) -> DataFrame:
     """Free texts with columns found by part of their name; the reason column must not be that of the service."""
-    rows = cells_by_header(read_cells(spark, path), {
+    rows = cells_by_header(read_cells(spark, path, multiline=True), {
         "prefecture": 0, "satisfaction": holding(satisfaction), "reason": holding(reason, without=[not_reason]),
         "inconvenience": holding(inconvenience), "freetext": holding(freetext)})
     return rows.select("prefecture", number("satisfaction").alias("satisfaction"),
