@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,18 +13,22 @@ from daygauge.operators.daily import keys
 from daygauge.operators.features import ordered, shifted
 
 
-def _long(wide: DataFrame, by: list[str], entries: list[Column]) -> DataFrame:
-    return wide.select(*by, F.inline(F.array(*entries)))
+def _name_at(names: Sequence, index: str) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in names]), F.col(index))
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], *, series=None) -> DataFrame:
-    """Pearson r of every column pair, pairwise complete, in one aggregation: (col_a, col_b, r, n)."""
-    by, pairs = keys(series), list(combinations(columns, 2))
-    aggs = [c for i, (a, b) in enumerate(pairs)
-            for c in (pearson(a, b).alias(f"r{i}"), pair_count(a, b).alias(f"n{i}"))]
-    return _long(df.groupBy(*by).agg(*aggs), by, [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
-        for i, (a, b) in enumerate(pairs)])
+    """Pearson r of every column pair, pairwise complete, in one aggregation: (col_a, col_b, r, n).
+
+    A row is turned into its pairs of values and these are grouped by pair: partial sums per pair are all that is
+    shuffled, and the generated code stays as small as that of one pair.
+    """
+    by = keys(series)
+    rows = df.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    left = rows.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
+    pairs = left.select(*by, "_i", "_x", F.posexplode("_v").alias("_j", "_y")).where("_i < _j")
+    out = pairs.groupBy(*by, "_i", "_j").agg(pearson("_x", "_y").alias("r"), pair_count("_x", "_y").alias("n"))
+    return out.select(*by, _name_at(columns, "_i").alias("col_a"), _name_at(columns, "_j").alias("col_b"), "r", "n")
 
 
 def pearson_test(df: DataFrame, a: str, b: str, *, series=None, min_rows: int = 3) -> DataFrame:
@@ -65,13 +68,11 @@ def lag_correlations(days: DataFrame, target: str, driver: str, lags: Sequence[i
     All lag columns come from one window sort and all coefficients from one aggregation.
     """
     by, w = keys(series), ordered(series, date)
-    wide = days.select(*by, F.col(target).alias("_y"), *[shifted(driver, k, w).alias(f"_x{i}") for i, k in enumerate(lags)])
-    aggs = [c for i in range(len(lags))
-            for c in (pearson("_y", f"_x{i}").alias(f"r{i}"), pair_count("_y", f"_x{i}").alias(f"n{i}"))]
-    long = _long(wide.groupBy(*by).agg(*aggs), by, [
-        F.struct(F.lit(k).alias("lag"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
-        for i, k in enumerate(lags)])
-    return long.where(F.col("n") > min_pairs)
+    wide = days.select(*by, F.col(target).alias("_y"), F.array(*[
+        shifted(driver, k, w).cast("double") for k in lags]).alias("_v"))
+    long = wide.select(*by, "_y", F.posexplode("_v").alias("_i", "_x"))
+    out = long.groupBy(*by, "_i").agg(pearson("_y", "_x").alias("r"), pair_count("_y", "_x").alias("n"))
+    return out.select(*by, _name_at(list(lags), "_i").alias("lag"), "r", "n").where(F.col("n") > min_pairs)
 
 
 def best_lag(ccf: DataFrame, *, series=None) -> DataFrame:

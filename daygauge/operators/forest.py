@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from daygauge.functions.scalars import safe_divide
 from daygauge.operators.daily import attach, keys
 from daygauge.operators.order_stats import numbered
+from daygauge.session import durable
 
 
 def forest_rows(df: DataFrame, target: str, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -26,7 +27,7 @@ def _forest(trees: int, depth: int, leaf: int, seed: int) -> RandomForestRegress
 
 
 def fit_forest(rows: DataFrame, *, trees: int = 500, depth: int = 10, leaf: int = 5, seed: int = 42) -> RandomForestRegressionModel:
-    return _forest(trees, depth, leaf, seed).fit(rows)
+    return _forest(trees, depth, leaf, seed).fit(durable(rows))
 
 
 def r2_of(label: str = "label", prediction: str = "prediction") -> Column:
@@ -47,8 +48,11 @@ def contiguous_folds(df: DataFrame, folds: int = 5, *, date: str = "date", serie
 
 
 def cross_validate(rows: DataFrame, *, folds: int = 5, trees: int = 500, depth: int = 10, leaf: int = 5, seed: int = 42) -> DataFrame:
-    """R squared per fold; ``rows`` carries a ``fold`` column. One fit per fold, each distributed by MLlib."""
-    out = None
+    """R squared per fold; ``rows`` carries a ``fold`` column. One fit per fold, each distributed by MLlib.
+
+    The rows are written once, since every fit passes over them several times.
+    """
+    rows, out = durable(rows), None
     for k in range(folds):
         model = _forest(trees, depth, leaf, seed).fit(rows.where(F.col("fold") != k))
         one = model.transform(rows.where(F.col("fold") == k)).agg(F.lit(k).alias("fold"), r2_of().alias("r2"))

@@ -1,7 +1,7 @@
 """Least squares as one grouped aggregation and a k by k solve.
 
 Spark reduces any number of rows to centred cross-products, one short row per series (``covar_pop`` merges partial
-results stably, so nothing is shuffled but partial sums). Every model over the same rows (all features, without the
+results stably). Every model over the same rows (all features, without the
 weather features, each variance inflation factor, the one-regressor baseline) is then a solve on sub-blocks of that one
 matrix; no model needs a second pass. The solve runs per row of the reduced table, on executors.
 """
@@ -27,16 +27,20 @@ FIT_FIELDS = ("n long, n_features int, rank int, df_resid double, r2 double, adj
 def gram(df: DataFrame, target: str, features: Sequence[str], *, series=None) -> DataFrame:
     """One row per series: n, means and the upper triangle of centred cross-products / n of complete rows.
 
-    Column order inside the arrays is features, then target.
+    Column order inside the arrays is features, then target. A row is turned into its pairs of values; grouped by pair,
+    only partial sums are shuffled, whatever one series weighs, and the generated code does not grow with the model.
     """
-    names = [*features, target]
-    rows = df.select(*keys(series), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
-    rows = rows.dropna(subset=[f"_{i}" for i in range(len(names))])
-    cross = [F.covar_pop(f"_{i}", f"_{j}") for i in range(len(names)) for j in range(i, len(names))]
-    return rows.groupBy(*keys(series)).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.avg(f"_{i}") for i in range(len(names))]).alias("means"),
-        F.array(*cross).alias("cross"))
+    by, names = keys(series), [*features, target]
+    rows = df.dropna(subset=names).select(*by, F.array(*[F.col(c).cast("double") for c in names]).alias("_v"))
+    left = rows.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
+    pairs = left.select(*by, "_i", "_x", F.posexplode("_v").alias("_j", "_y")).where("_i <= _j")
+    cells = pairs.groupBy(*by, "_i", "_j").agg(
+        F.covar_pop("_x", "_y").alias("c"), F.avg("_x").alias("m"), F.count("*").alias("n"))
+    cell = F.sort_array(F.collect_list(F.struct("_i", "_j", "c", "m")))
+    table = cells.groupBy(*by).agg(F.max("n").alias("n"), cell.alias("_cells"))
+    diagonal = F.filter("_cells", lambda s: s["_i"] == s["_j"])
+    return table.select(*by, "n", F.transform(diagonal, lambda s: s["m"]).alias("means"),
+                        F.transform("_cells", lambda s: s["c"]).alias("cross")).where(F.col("n").isNotNull())
 
 
 def solve_block(n: int, means: np.ndarray, cov: np.ndarray, xs: Sequence[int], y: int) -> dict:

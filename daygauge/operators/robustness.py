@@ -94,9 +94,13 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], *, date: str
         *by, "_l", *[(F.col(f"_s{i}") - F.coalesce(f"_p{i}", F.lit(0.0))).alias(f"_v{i}") for i in terms])
     tail = running.where((F.col("_pos") >= F.col("_n") - F.col("_l")) & (F.col("_pos") < F.col("_n"))).select(
         *by, "_l", *[F.col(f"_s{i}").alias(f"_v{i}") for i in terms])
-    meat = inner.unionByName(tail).groupBy(*by).agg(F.max("_l").alias("lags"), F.array(*[
-        F.sum(F.col(f"_v{i}") * F.col(f"_v{j}")) / (F.max("_l") + 1)
-        for i in terms for j in range(i, len(features) + 1)]).alias("meat"))
+    moving = inner.unionByName(tail).select(*by, "_l", F.array(*[f"_v{i}" for i in terms]).alias("_v"))
+    left = moving.select(*by, "_l", "_v", F.posexplode("_v").alias("_i", "_x"))
+    pairs = left.select(*by, "_l", "_i", "_x", F.posexplode("_v").alias("_j", "_y")).where("_i <= _j")
+    cells = pairs.groupBy(*by, "_i", "_j").agg(
+        F.max("_l").alias("lags"), (F.sum(F.col("_x") * F.col("_y")) / (F.max("_l") + 1)).alias("c"))
+    meat = cells.groupBy(*by).agg(F.max("lags").alias("lags"), F.transform(
+        F.sort_array(F.collect_list(F.struct("_i", "_j", "c"))), lambda s: s["c"]).alias("meat"))
     joined = attach(grams, meat, by)
     fields = [f for f in grams.schema.fields if f.name in by]
     schema = T.StructType(fields + T.StructType.fromDDL(
