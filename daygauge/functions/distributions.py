@@ -82,24 +82,28 @@ EXACT_KS_ROWS = 10_000
 def two_sample_ks_p(d: float, m: int, n: int) -> float:
     """P(D >= d) of the two-sample test: exact up to 10 000 rows a side, the Kolmogorov limit beyond.
 
-    The exact part counts the lattice paths from (0, 0) to (m, n) that stay closer to the diagonal than d. Within one
-    step the reachable end points form one interval, so a row of the recursion is a cumulative sum over it.
+    The exact part counts the lattice paths from (0, 0) to (m, n) that stay closer to the diagonal than d. For each step
+    on one side the reachable places on the other form a short band, over which the counts are a cumulative sum.
     """
     if not (m > 0 and n > 0 and d == d):
         return math.nan
     m, n = int(m), int(n)
     if max(m, n) > EXACT_KS_ROWS:
         return float(kolmogorov_tail(d * math.sqrt(m * n / (m + n))))
-    limit = math.floor(d * m * n - 1e-7) + 0.5
-    j = np.arange(n + 1)
-    paths, log_scale = np.where(j * m <= limit, 1.0, 0.0), 0.0
+    reach = math.floor(d * m * n - 1e-7)
+    if reach < 0:
+        return 1.0
+    paths, log_scale = np.zeros(n + 1), 0.0
+    paths[:min(n, reach // m) + 1] = 1.0
     for i in range(1, m + 1):
-        near = np.abs(i * n - j * m) <= limit
-        paths = np.where(near, np.cumsum(np.where(near, paths, 0.0)), 0.0)
-        top = paths.max()
-        if top <= 0:
-            return 1.0
-        paths, log_scale = paths / top, log_scale + math.log(top)
+        band = paths[max(0, -((reach - i * n) // m)):min(n, (i * n + reach) // m) + 1]
+        np.cumsum(band, out=band)
+        if i % 16 == 0 or i == m:
+            top = band.max(initial=0.0)
+            if top <= 0:
+                return 1.0
+            band /= top
+            log_scale += math.log(top)
     if paths[-1] <= 0:
         return 1.0
     all_paths = math.lgamma(m + n + 1) - math.lgamma(m + 1) - math.lgamma(n + 1)

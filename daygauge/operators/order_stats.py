@@ -25,10 +25,20 @@ def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), name:
     return df.select(*by, F.inline(F.array(*entries)))
 
 
-def running_totals(values: DataFrame, by: Sequence[str], value: str, totals: Sequence[str]) -> DataFrame:
-    """``<c>_before`` and ``<c>_total`` for each count column c of a table with one row per (by, value)."""
+def placed_values(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """A table with one row per (by, value), range partitioned, with the partition number as data."""
+    return durable(values.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+
+
+def value_counts(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """Rows per (by, value), placed."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return placed_values(counted, by, value)
+
+
+def running_totals(placed: DataFrame, by: Sequence[str], value: str, totals: Sequence[str]) -> DataFrame:
+    """``<c>_before`` and ``<c>_total`` for each count column c of a placed table."""
     by = list(by)
-    placed = durable(values.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
     per_part = placed.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in totals])
     # One row per group and range partition: its length is the number of partitions, not of values.
     across = Window.partitionBy(*by).orderBy("_part")
@@ -46,12 +56,6 @@ def running_totals(values: DataFrame, by: Sequence[str], value: str, totals: Seq
         *[f"{c}_total" for c in totals])
 
 
-def value_positions(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """One row per (by, value) with n, the number of rows before it and the group's total."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    return running_totals(counted, by, value, ["n"])
-
-
 def quantiles_from(positions: DataFrame, by: Sequence[str], probs: Sequence[float], names: Sequence[str],
                    value: str = "value") -> DataFrame:
     """Linearly interpolated quantiles, one row per group."""
@@ -70,7 +74,8 @@ def quantiles_from(positions: DataFrame, by: Sequence[str], probs: Sequence[floa
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str]) -> DataFrame:
-    return quantiles_from(value_positions(df, by, value), by, probs, names, value)
+    positions = running_totals(value_counts(df, by, value), by, value, ["n"])
+    return quantiles_from(positions, by, probs, names, value)
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], out: str = "position") -> DataFrame:

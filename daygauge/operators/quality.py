@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from daygauge.functions.distributions import ks_p
 from daygauge.functions.scalars import finite_or_null, has_text, number
 from daygauge.operators.daily import attach, coverage, keys, missing_days
-from daygauge.operators.order_stats import quantiles_from, running_totals, unpivot, value_positions
+from daygauge.operators.order_stats import placed_values, quantiles_from, running_totals, unpivot, value_counts
 
 WEATHER_COLUMNS = ("temp_c", "precip_1h_mm", "sun_1h_h", "wind_speed_ms", "humidity_pct", "snow_depth_cm")
 
@@ -34,13 +34,13 @@ def column_profile(df: DataFrame, columns: Sequence[str], *, series=None, z: flo
     basics = long.groupBy(*by).agg(
         F.count("*").alias("n_total"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    positions = value_positions(long, by)
-    quartiles = quantiles_from(positions, by, (0.25, 0.75), ("q25", "q75"))
+    counts = value_counts(long, by)
+    quartiles = quantiles_from(running_totals(counts, by, "value", ["n"]), by, (0.25, 0.75), ("q25", "q75"))
     stats = basics.join(quartiles, by, "left")
     reach = k * (F.col("q75") - F.col("q25"))
     outside = (F.col("value") < F.col("q25") - reach) | (F.col("value") > F.col("q75") + reach)
     far = F.abs(F.col("value") - F.col("mean")) / F.when(F.col("std") > 0, F.col("std")) > z
-    outliers = positions.join(stats, by).groupBy(*by).agg(
+    outliers = counts.join(stats, by).groupBy(*by).agg(
         F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_outliers_iqr"),
         F.sum(F.when(far, F.col("n")).otherwise(0)).alias("n_outliers_zscore"))
     kind = F.create_map(*[F.lit(v) for c in columns for v in (c, dtypes[c])])
@@ -84,7 +84,7 @@ def drift(rows: DataFrame, columns: Sequence[str], *, date: str = "date", series
         F.struct(F.col("_block").alias("_pair"), F.col("n").alias("n_a"), F.lit(0).cast("long").alias("n_b")),
         F.struct((F.col("_block") - 1).alias("_pair"), F.lit(0).cast("long").alias("n_a"), F.col("n").alias("n_b")))))
     merged = sides.groupBy(*by, "_pair", "value").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-    totals = running_totals(merged, [*by, "_pair"], "value", ["n_a", "n_b"])
+    totals = running_totals(placed_values(merged, [*by, "_pair"], "value"), [*by, "_pair"], "value", ["n_a", "n_b"])
 
     def share(s: str) -> Column:
         total = F.col(f"n_{s}_total")

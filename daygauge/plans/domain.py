@@ -16,7 +16,7 @@ from daygauge.operators import text as tx
 from daygauge.plans.models import SITE_FIT, site_rows
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import (ALL_TEXT, ANSWERS, CROWD_WORDS, FEATURES, FEW, INTENT, QUIET_WORDS, RANKS, SITES, SPEND, TEXTS,
-                                  USD_RATE, WORDS, answers, count_days, day_table, feature_table, readings, sql_any, sql_corr_p, sql_days,
+                                  USD_RATE, WORDS, answers, count_days, day_table, feature_table, intent_days, readings, sql_any, sql_corr_p, sql_days,
                                   sql_features, sql_ols, sql_predicted, texts, weather_days)
 from daygauge.plans.statistics import sql_chi2_p
 from daygauge.plans.tables import SITE_MODEL, WIDE, site_model, three_sites
@@ -51,7 +51,7 @@ SQL_WC = """CASE WHEN temp <= 10 AND wind * 3.6::DOUBLE > 4.8 THEN 13.12 + 0.621
   + 0.3965::DOUBLE * temp * pow(greatest(wind * 3.6::DOUBLE, 0.1), 0.16) ELSE temp END"""
 
 
-@query("discomfort_index", f"""WITH {sql_days()} SELECT date, {SQL_DI.format(h='humidity')} AS di, 0.8::DOUBLE * temp + 0.02::DOUBLE * humidity * (1.0::DOUBLE * temp - 15) + 45 AS di_custom FROM weather""", r6("di", "di_custom"))
+@query("discomfort_index", f"""WITH {sql_days()} SELECT date, {SQL_DI.format(h='humidity')} AS di, 0.8::DOUBLE * temp + 0.02::DOUBLE * humidity * (1.0::DOUBLE * temp - 15) + 45 AS di_custom FROM weather""")
 def _(spark, sf):
     custom = sc.discomfort_index("temp", "humidity", 0.8, 0.02, 1.0, -15.0, 45.0)
     return weather_days(spark, sf).select("date", sc.discomfort_index("temp", "humidity").alias("di"), custom.alias("di_custom"))
@@ -62,7 +62,6 @@ def _(spark, sf):
     return weather_days(spark, sf, "site").select("site", "date", sc.wind_chill("temp", "wind").alias("chill"))
 
 
-# Snow depth counts as the humidity of a station that rarely reports it: too few readings make the proxy stand in.
 COMFORT = f"""comfort AS (SELECT site, date, CASE WHEN count(humidity) OVER (PARTITION BY site) > 30 THEN {SQL_DI.format(h='humidity')}
   ELSE {SQL_DI.format(h='60')} END AS discomfort_index, {SQL_WC} AS wind_chill FROM weather)"""
 
@@ -417,7 +416,6 @@ def _(spark, sf):
     counts = st.with_proxy_sites(count_days(spark, sf, "site"), proxy(spark, sf), "P").drop("source")
     national = dl.daily_measures(readings(spark, sf), sums={"precip_1h_mm": "precip"},
                                  means={"temp_c": "temp", "wind_speed_ms": "wind", "snow_depth_cm": "snow_depth"})
-    from daygauge.plans.roles import intent_days
     model = st.site_model_table(counts, national, intent_days(spark, sf), INTENT)
     return st.site_metrics(model, INTENT, spend=SPEND)
 
