@@ -48,31 +48,30 @@ def spearman(days: DataFrame, pairs: Sequence[tuple[str, str]], *, series=None,
 
     Ranks need a total order per series, so the input must be day-grain (bounded by the calendar).
     """
-    by = keys(series)
-    out = None
-    for x, y in pairs:
-        rows = days.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-            *by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-        ranked = rows.select(*by, average_rank("_x", by).alias("rx"), average_rank("_y", by).alias("ry"))
-        one = (ranked.groupBy(*by).agg(pearson("rx", "ry").alias("rho"), F.count("*").alias("n"))
-               .select(*by, F.lit(x).alias("x"), F.lit(y).alias("y"), "rho", "n"))
-        out = one if out is None else out.unionByName(one)
-    out = out.where(F.col("n") >= min_rows)
+    by, pairs = keys(series), list(pairs)
+    sides = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+             for x, y in pairs]
+    group = [*by, "x", "y"]
+    rows = days.select(*by, F.inline(F.array(*sides))).where("_x is not null and _y is not null")
+    ranked = rows.select(*group, average_rank("_x", group).alias("rx"), average_rank("_y", group).alias("ry"))
+    out = ranked.groupBy(*group).agg(pearson("rx", "ry").alias("rho"), F.count("*").alias("n")).where(F.col("n") >= min_rows)
     return out.withColumn("p", correlation_p(F.col("rho"), F.col("n")))
 
 
-def lag_correlations(days: DataFrame, target: str, driver: str, lags: Sequence[int], *, series=None,
+def lag_correlations(days: DataFrame, target: str, driver: str | Sequence[str], lags: Sequence[int], *, series=None,
                      date: str = "date", min_pairs: int = 0) -> DataFrame:
-    """r of the target with the driver shifted by each lag: (lag, r, n).
+    """r of the target with the driver shifted by each lag: (lag, r, n), with a ``driver`` column for several drivers.
 
-    All lag columns come from one window sort and all coefficients from one aggregation.
+    All shifted columns come from one window sort and all coefficients from one aggregation.
     """
-    by, w = keys(series), ordered(series, date)
+    by, w, lags = keys(series), ordered(series, date), list(lags)
+    drivers = keys(driver)
     wide = days.select(*by, F.col(target).alias("_y"), F.array(*[
-        shifted(driver, k, w).cast("double") for k in lags]).alias("_v"))
+        shifted(d, k, w).cast("double") for d in drivers for k in lags]).alias("_v"))
     long = wide.select(*by, "_y", F.posexplode("_v").alias("_i", "_x"))
     out = long.groupBy(*by, "_i").agg(pearson("_y", "_x").alias("r"), pair_count("_y", "_x").alias("n"))
-    return out.select(*by, _name_at(list(lags), "_i").alias("lag"), "r", "n").where(F.col("n") > min_pairs)
+    named = [] if isinstance(driver, str) else [_name_at([d for d in drivers for _ in lags], "_i").alias("driver")]
+    return out.select(*by, *named, _name_at(lags * len(drivers), "_i").alias("lag"), "r", "n").where(F.col("n") > min_pairs)
 
 
 def best_lag(ccf: DataFrame, *, series=None) -> DataFrame:

@@ -30,14 +30,15 @@ def placed_values(values: DataFrame, by: Sequence[str], value: str) -> DataFrame
     return durable(values.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """Rows per (by, value), placed."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, by: Sequence[str], value: str = "value", extra: Sequence[str] = ()) -> DataFrame:
+    """Rows per (by, extra, value), placed by (by, value)."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, *extra, value).agg(F.count("*").alias("n"))
     return placed_values(counted, by, value)
 
 
-def running_totals(placed: DataFrame, by: Sequence[str], value: str, totals: Sequence[str]) -> DataFrame:
-    """``<c>_before`` and ``<c>_total`` for each count column c of a placed table."""
+def running_totals(placed: DataFrame, by: Sequence[str], value: str, totals: Sequence[str],
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """``<c>_before`` and ``<c>_total`` for each count column c of a placed table with one row per (by, value)."""
     by = list(by)
     per_part = placed.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in totals])
     # One row per group and range partition: its length is the number of partitions, not of values.
@@ -48,10 +49,10 @@ def running_totals(placed: DataFrame, by: Sequence[str], value: str, totals: Seq
           for c in totals],
         *[F.sum(f"_{c}").over(Window.partitionBy(*by)).alias(f"{c}_total") for c in totals])
     inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.select(*by, "_part", value, *totals,
+    local = placed.select(*by, "_part", value, *totals, *carry,
                           *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_in") for c in totals])
     return local.join(offsets, [*by, "_part"]).select(
-        *by, value, *totals,
+        *by, value, *totals, *carry,
         *[(F.col(f"_{c}_off") + F.col(f"_{c}_in")).alias(f"{c}_before") for c in totals],
         *[f"{c}_total" for c in totals])
 

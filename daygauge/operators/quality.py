@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from daygauge.functions.distributions import ks_p
 from daygauge.functions.scalars import finite_or_null, has_text, number
 from daygauge.operators.daily import attach, coverage, keys, missing_days
-from daygauge.operators.order_stats import placed_values, quantiles_from, running_totals, unpivot, value_counts
+from daygauge.operators.order_stats import quantiles_from, running_totals, unpivot, value_counts
 
 WEATHER_COLUMNS = ("temp_c", "precip_1h_mm", "sun_1h_h", "wind_speed_ms", "humidity_pct", "snow_depth_cm")
 
@@ -22,19 +22,32 @@ def schema_diff(columns: Sequence[str], expected: Sequence[str]) -> tuple[list[s
     return sorted(want - have), sorted(have - want)
 
 
-def column_profile(df: DataFrame, columns: Sequence[str], *, series=None, z: float = 3.5, k: float = 1.5) -> DataFrame:
+def value_table(df: DataFrame, columns: Sequence[str], *, series=None, date: str | None = None) -> DataFrame:
+    """(series, name, value, n) of raw numeric columns, split by month if dated: the one ordered pass over the rows that
+    profiles and drift tests share. It is written, since several steps read it."""
+    by = [*keys(series), "name"]
+    if date is None:
+        return value_counts(unpivot(df, columns, keys(series)), by)
+    dated = df.withColumn("_month", F.to_date(F.date_trunc("month", date)))
+    return value_counts(unpivot(dated, columns, [*keys(series), "_month"]), by, extra=["_month"])
+
+
+def column_profile(df: DataFrame, columns: Sequence[str], *, series=None, z: float = 3.5, k: float = 1.5,
+                   values: DataFrame | None = None) -> DataFrame:
     """Profile of raw numeric columns, one row per series and column.
 
-    Moments are one aggregation. Quartiles and outlier counts come from the (value, n) table of ``order_stats``, so a
-    series of any size is spread over tasks and the raw rows are not read a third time.
+    Moments are one aggregation. Quartiles and outlier counts come from the ``value_table``, so a series of any size is
+    spread over tasks.
     """
     by = [*keys(series), "name"]
     dtypes = dict(df.dtypes)
-    long = unpivot(df, columns, keys(series))
-    basics = long.groupBy(*by).agg(
+    basics = unpivot(df, columns, keys(series)).groupBy(*by).agg(
         F.count("*").alias("n_total"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    counts = value_counts(long, by)
+    if values is None:
+        counts = value_table(df, columns, series=series)
+    else:
+        counts = values.where(F.col("name").isin(*columns)).groupBy(*by, "_part", "value").agg(F.sum("n").alias("n"))
     quartiles = quantiles_from(running_totals(counts, by, "value", ["n"]), by, (0.25, 0.75), ("q25", "q75"))
     stats = basics.join(quartiles, by, "left")
     reach = k * (F.col("q75") - F.col("q25"))
@@ -64,52 +77,50 @@ def month_blocks(rows: DataFrame, *, date: str = "date", series=None, months: in
     return present.withColumn("_block", F.floor((F.row_number().over(w) - 1) / months).cast("int"))
 
 
-def drift(rows: DataFrame, columns: Sequence[str], *, date: str = "date", series=None, months: int = 3,
-          min_block: int = 10, min_rows: int = 30, level: float = 0.05) -> DataFrame:
+def drift(rows: DataFrame, columns: Sequence[str], *, date: str = "date", series=None, blocks_of: int = 3,
+          min_block: int = 10, min_rows: int = 30, level: float = 0.05, values: DataFrame | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test of each block of months against the next, per series and column.
 
-    Rows are reduced to (pair, value, n_a, n_b) before any ordering, and the two empirical distributions are running
-    totals over range-partitioned values, so no block is ever gathered.
+    The rows are read once into a ``value_table`` placed by value range. Blocks, moments and both empirical
+    distributions are sums over that table, so no block is ever gathered in one task.
     """
     by = [*keys(series), "name"]
-    base = rows.withColumn("_month", F.to_date(F.date_trunc("month", date))).where("_month is not null")
-    long = unpivot(base, columns, [*keys(series), "_month"]).where("value is not null")
-    # One row per (series, column, month, value); everything after works on this reduction.
-    counted = long.groupBy(*by, "_month", "value").agg(F.count("*").alias("n"))
-    blocks = month_blocks(counted, date="_month", series=by, months=months)
-    placed = counted.join(blocks, [*by, "_month"]).groupBy(*by, "_block", "value").agg(F.sum("n").alias("n"))
-    spans = blocks.groupBy(*by, "_block").agg(F.date_format(F.min("_month"), "yyyy-MM").alias("first"),
-                                              F.date_format(F.max("_month"), "yyyy-MM").alias("last"))
-    sides = placed.select(*by, "value", F.inline(F.array(
+    placed = value_table(rows, columns, series=series, date=date) if values is None else values.where(F.col("name").isin(*columns))
+    placed = placed.where("_month is not null")
+    months = placed.groupBy(*by, "_month").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("value")).alias("_s"))
+    whole, in_order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_month")
+    # Squares are summed around the overall mean, which keeps them small next to the spread.
+    blocks = months.select(
+        *by, "_month", (F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("_c"), F.sum("_n").over(whole).alias("_rows"),
+        F.floor((F.row_number().over(in_order) - 1) / blocks_of).cast("int").alias("_block")).where(F.col("_rows") >= min_rows)
+
+    sides = placed.join(blocks, [*by, "_month"]).select(*by, "_part", "value", "_c", F.inline(F.array(
         F.struct(F.col("_block").alias("_pair"), F.col("n").alias("n_a"), F.lit(0).cast("long").alias("n_b")),
         F.struct((F.col("_block") - 1).alias("_pair"), F.lit(0).cast("long").alias("n_a"), F.col("n").alias("n_b")))))
-    merged = sides.groupBy(*by, "_pair", "value").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-    totals = running_totals(placed_values(merged, [*by, "_pair"], "value"), [*by, "_pair"], "value", ["n_a", "n_b"])
+    merged = sides.groupBy(*by, "_pair", "_part", "value", "_c").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    totals = running_totals(merged, [*by, "_pair"], "value", ["n_a", "n_b"], carry=["_c"])
 
     def share(s: str) -> Column:
         total = F.col(f"n_{s}_total")
         return (F.col(f"n_{s}_before") + F.col(f"n_{s}")) / F.when(total > 0, total)
 
-    def moments(s: str) -> list[Column]:
-        weight = F.col(f"n_{s}")
-        mean = F.sum(weight * F.col("value")) / F.sum(weight)
-        return [mean.alias(f"mean_{s}"), F.max(f"n_{s}_total").alias(f"rows_{s}")]
-
-    both = totals.where((F.col("n_a_total") >= min_block) & (F.col("n_b_total") >= min_block))
-    tests = both.groupBy(*by, "_pair").agg(F.max(F.abs(share("a") - share("b"))).alias("d"), *moments("a"), *moments("b"))
-    spread = both.select(*by, "_pair", "value", "n_a", "n_b").join(
-        tests.select(*by, "_pair", "mean_a", "mean_b"), [*by, "_pair"]).groupBy(*by, "_pair").agg(*[
-            F.sqrt(F.sum(F.col(f"n_{s}") * F.pow(F.col("value") - F.col(f"mean_{s}"), F.lit(2))) / F.sum(f"n_{s}")).alias(f"std_{s}")
-            for s in "ab"])
-    enough = counted.groupBy(*by).agg(F.sum("n").alias("_rows")).where(F.col("_rows") >= min_rows).select(*by)
-    p = ks_p(F.col("d"), F.col("rows_a"), F.col("rows_b"))
-    name_a = spans.select(*by, F.col("_block").alias("_pair"), F.concat_ws("/", "first", "last").alias("period_a"))
-    name_b = spans.select(*by, (F.col("_block") - 1).alias("_pair"), F.concat_ws("/", "first", "last").alias("period_b"))
-    out = tests.join(spread, [*by, "_pair"]).join(enough, by, "left_semi").join(name_a, [*by, "_pair"]).join(
-        name_b, [*by, "_pair"]).withColumn("_p", p)
-    return out.select(*by, "period_a", "period_b", "rows_a", "rows_b", "mean_a", "mean_b", "std_a", "std_b",
-                      F.bround("d", 4).alias("ks_statistic"), F.bround("_p", 4).alias("ks_pvalue"),
-                      (F.col("_p") < level).alias("drift_detected"))
+    off = F.col("value") - F.col("_c")
+    sums = [c for s in "ab" for c in (
+        F.max(f"n_{s}_total").alias(f"rows_{s}"), (F.sum(F.col(f"n_{s}") * F.col("value")) / F.sum(f"n_{s}")).alias(f"mean_{s}"),
+        (F.sum(F.col(f"n_{s}") * off) / F.sum(f"n_{s}")).alias(f"_m{s}"),
+        (F.sum(F.col(f"n_{s}") * off * off) / F.sum(f"n_{s}")).alias(f"_q{s}"))]
+    tests = totals.where((F.col("n_a_total") >= min_block) & (F.col("n_b_total") >= min_block)).groupBy(*by, "_pair").agg(
+        F.max(F.abs(share("a") - share("b"))).alias("d"), *sums)
+    spans = blocks.groupBy(*by, "_block").agg(F.concat_ws(
+        "/", F.date_format(F.min("_month"), "yyyy-MM"), F.date_format(F.max("_month"), "yyyy-MM")).alias("_span"))
+    name_a = spans.select(*by, F.col("_block").alias("_pair"), F.col("_span").alias("period_a"))
+    name_b = spans.select(*by, (F.col("_block") - 1).alias("_pair"), F.col("_span").alias("period_b"))
+    out = tests.join(name_a, [*by, "_pair"]).join(name_b, [*by, "_pair"])
+    out = out.withColumn("_p", ks_p(F.col("d"), F.col("rows_a"), F.col("rows_b")))
+    return out.select(
+        *by, "period_a", "period_b", "rows_a", "rows_b", "mean_a", "mean_b",
+        *[F.sqrt(F.greatest(F.col(f"_q{s}") - F.col(f"_m{s}") * F.col(f"_m{s}"), F.lit(0.0))).alias(f"std_{s}") for s in "ab"],
+        F.bround("d", 4).alias("ks_statistic"), F.bround("_p", 4).alias("ks_pvalue"), (F.col("_p") < level).alias("drift_detected"))
 
 
 # ---------------------------------------------------------------- source reports
@@ -123,49 +134,52 @@ def _notes(*notes: Column) -> Column:
     return F.filter(F.array(*notes), lambda x: x.isNotNull()) if notes else empty
 
 
-def _one_row(spark, name: str) -> DataFrame:
-    return spark.range(1).select(F.lit(name).alias("source_name"))
+def _as_list(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """A result table (one row per column or per block pair) as one sorted array of structs per source."""
+    first = [*order, *[c for c in rows.columns if c not in order and c not in by]]
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*first))).alias(out))
 
 
-def _as_list(rows: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """A result table (one row per column or per block pair) as one sorted array of structs."""
-    first = [*order, *[c for c in rows.columns if c not in order]]
-    return rows.agg(F.sort_array(F.collect_list(F.struct(*first))).alias(out))
+def _strings(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
 def source_report(name: str, rows: DataFrame, *, expected: Sequence[str], actual: Sequence[str], profile: Sequence[str],
-                  drift_columns: Sequence[str], date: str, extra_warnings: Sequence[tuple[Column, str]] = (),
+                  drift_columns: Sequence[str], date: str, series=None, extra_warnings: Sequence[tuple[Column, str]] = (),
                   extra_errors: Sequence[tuple[Column, str]] = (), counts: Sequence[Column] = (),
                   missing_is_error: bool = False) -> DataFrame:
-    """One nested row: coverage, schema, gaps, column checks, drift checks, warnings, errors, passed.
+    """One nested row per source: coverage, schema, gaps, column checks, drift checks, warnings, errors, passed.
 
-    ``counts`` are named aggregates over the rows that the extra notes may refer to.
+    With ``series`` all stations of one kind are audited by the same jobs and give a row each, named
+    "name series". ``counts`` are named aggregates over the rows that the extra notes may refer to.
     """
-    spark = rows.sparkSession
+    by = keys(series)
     missing, extra = schema_diff(actual, expected)
-    head = rows.agg(F.count("*").alias("n_rows"), F.min(F.to_date(date)).alias("first_date"),
-                    F.max(F.to_date(date)).alias("last_date"), *counts)
-    gaps = missing_days(rows, date=date).agg(F.count("*").alias("n_gaps"))
-    present = [c for c in profile if c in rows.columns]
-    checks = _as_list(column_profile(rows, present), ["name"], "column_checks")
-    drifts = _as_list(drift(rows, [c for c in drift_columns if c in rows.columns], date=date),
+    out = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.min(F.to_date(date)).alias("first_date"),
+                                F.max(F.to_date(date)).alias("last_date"), *counts)
+    gaps = missing_days(rows, date=date, series=series).groupBy(*by).agg(F.count("*").alias("n_gaps"))
+    profiled = [c for c in profile if c in rows.columns]
+    values = value_table(rows, profiled, series=series, date=date)
+    checks = _as_list(column_profile(rows, profiled, series=series, values=values), by, ["name"], "column_checks")
+    drifts = _as_list(drift(rows, [c for c in drift_columns if c in profiled], date=date, series=series, values=values), by,
                       ["name", "period_a"], "drift_checks")
-    out = _one_row(spark, name)
-    for part in (head, gaps, checks, drifts):
-        out = attach(out, part, [])
-    lists = {"missing_columns": missing, "extra_columns": extra, "expected_columns": list(expected),
-             "actual_columns": list(actual)[:30]}
-    out = out.withColumns({c: F.array(*[F.lit(v) for v in vs]).cast("array<string>") for c, vs in lists.items()})
+    for part in (gaps, checks, drifts):
+        out = attach(out, part, by)
+    out = out.withColumns({"n_gaps": F.coalesce("n_gaps", F.lit(0)).cast("long"),
+                           "drift_checks": F.coalesce("drift_checks", F.array().cast(drifts.schema["drift_checks"].dataType)),
+                           "missing_columns": _strings(missing), "extra_columns": _strings(extra),
+                           "expected_columns": _strings(expected), "actual_columns": _strings(list(actual)[:30])})
     lost = _note(F.size("missing_columns") > 0, F.concat(F.lit("Missing columns: "), F.array_join("missing_columns", ", ")))
     warnings = [_note(F.col("n_gaps") > 0, F.concat(F.col("n_gaps").cast("string"), F.lit(" date gaps detected.")))]
     errors = [_note(cond, F.lit(text)) for cond, text in extra_errors]
     (errors if missing_is_error else warnings).append(lost)
     warnings += [_note(cond, F.lit(text)) for cond, text in extra_warnings]
     out = out.withColumns({"warnings": _notes(*warnings), "errors": _notes(*errors)})
-    return out.withColumn("passed", F.size("errors") == 0).select(
-        "source_name", "n_rows", F.lit(len(actual)).alias("n_columns"), "first_date", "last_date", "n_gaps",
+    title = F.concat_ws(" ", F.lit(name), *[F.col(c).cast("string") for c in by])
+    return out.select(
+        title.alias("source_name"), "n_rows", F.lit(len(actual)).alias("n_columns"), "first_date", "last_date", "n_gaps",
         "expected_columns", "actual_columns", "missing_columns", "extra_columns", "column_checks", "drift_checks",
-        "warnings", "errors", "passed")
+        "warnings", "errors", (F.size("errors") == 0).alias("passed"))
 
 
 def counter_report(days: DataFrame, columns: Sequence[str], *, name: str = "counter", date: str = "date",
@@ -178,15 +192,16 @@ def counter_report(days: DataFrame, columns: Sequence[str], *, name: str = "coun
         extra_errors=[(F.col("n_rows") == 0, "No counter day could be read.")])
 
 
-def weather_report(hours: DataFrame, *, name: str = "weather", date: str = "timestamp") -> DataFrame:
+def weather_report(hours: DataFrame, *, name: str = "weather", date: str = "timestamp", series=None) -> DataFrame:
     """Audit of hourly weather; negative precipitation is an error, implausible values are warnings."""
-    have = set(hours.columns)
+    fields = [c for c in hours.columns if c not in keys(series)]
+    have = set(fields)
 
     def extreme(fn, column: str, out: str) -> Column:
         return (fn(number(column)) if column in have else F.lit(None).cast("double")).alias(out)
 
     return source_report(
-        name, hours, expected=("timestamp", *sorted(WEATHER_COLUMNS)), actual=hours.columns, profile=WEATHER_COLUMNS,
+        name, hours, expected=("timestamp", *sorted(WEATHER_COLUMNS)), actual=fields, series=series, profile=WEATHER_COLUMNS,
         drift_columns=("temp_c", "precip_1h_mm", "wind_speed_ms"), date=date,
         counts=[extreme(F.min, "temp_c", "t_lo"), extreme(F.max, "temp_c", "t_hi"), extreme(F.min, "precip_1h_mm", "p_lo"),
                 extreme(F.max, "wind_speed_ms", "w_hi")],
@@ -203,9 +218,8 @@ def survey_report(answers: DataFrame, *, satisfaction: str, region: str, expecte
     rows = answers.select(rating.alias("satisfaction"), F.col(region).cast("string").alias("_region"))
     head = rows.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("satisfaction").between(1, 5)).alias("n_out_of_range"),
                     F.count_if(F.col("_region").isNull()).alias("region_missing"), F.count_distinct("_region").alias("n_regions"))
-    checks = _as_list(column_profile(rows, ["satisfaction"]), ["name"], "column_checks")
-    out = attach(attach(_one_row(answers.sparkSession, name), head, []), checks, [])
-    out = out.withColumn("missing_columns", F.array(*[F.lit(c) for c in lost]).cast("array<string>"))
+    checks = _as_list(column_profile(rows, ["satisfaction"]), [], ["name"], "column_checks")
+    out = attach(head, checks, []).withColumns({"source_name": F.lit(name), "missing_columns": _strings(lost)})
     out = out.withColumns({
         "warnings": _notes(_note(F.size("missing_columns") > 0, F.concat(F.lit("Missing columns: "), F.array_join("missing_columns", ", "))),
                            _note(F.col("n_out_of_range") > 0, F.lit("Satisfaction values outside 1..5."))),

@@ -15,7 +15,8 @@ from daygauge.functions.distributions import mackinnon_p, normal_two_sided
 from daygauge.functions.scalars import autocorrelation_free, safe_divide
 from daygauge.operators.daily import attach, keys
 from daygauge.operators.features import ordered
-from daygauge.operators.regression import fit_models, fit_summary, gram, ols, predict, solve_block, unpack
+from daygauge.operators.regression import fit_models, gram, ols, predict, solve_block, unpack
+from daygauge.session import durable
 
 
 def with_residuals(df: DataFrame, target: str, features: Sequence[str], *, series=None) -> tuple[DataFrame, DataFrame]:
@@ -141,8 +142,12 @@ def variance_inflation(coefs: DataFrame, *, series=None, limit: float = 10.0) ->
 
 def robustness_report(df: DataFrame, target: str, features: Sequence[str], weather: Sequence[str], *,
                       date: str = "date", series=None) -> DataFrame:
-    """Diagnostics of the level, difference and lagged-target models in long form: (metric, value)."""
+    """Diagnostics of the level, difference and lagged-target models in long form: (metric, value).
+
+    The day rows are written once, since every model passes over them.
+    """
     by = keys(series)
+    df = durable(df.dropna(subset=[target, *features]).select(*by, date, target, *features))
     coefs, fitted = with_residuals(df, target, features, series=series)
     level_dw = durbin_watson(fitted, date=date, series=series)
     fd, fd_dw = first_difference_fit(df, target, features, date=date, series=series)

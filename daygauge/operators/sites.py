@@ -30,12 +30,9 @@ def cross_region_ccf(days: DataFrame, survey: DataFrame, regions: Sequence[str],
     """Lag correlations of arrivals with each region's answer counts over days on which all of them exist."""
     counts = region_counts(survey, regions, date=date)
     merged = days.select(date, count).join(counts, date, "left").dropna()
-    out = None
-    for i, region in enumerate(regions):
-        one = lag_correlations(merged, count, f"n_{i}", lags, date=date, min_pairs=min_pairs)
-        one = one.select(F.lit(region).alias("region"), "lag", "r", "n", F.coalesce(F.abs("r") > peak, F.lit(False)).alias("is_peak"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    ccf = lag_correlations(merged, count, [f"n_{i}" for i in range(len(regions))], lags, date=date, min_pairs=min_pairs)
+    name = F.coalesce(*[F.when(F.col("driver") == f"n_{i}", F.lit(r)) for i, r in enumerate(regions)])
+    return ccf.select(name.alias("region"), "lag", "r", "n", F.coalesce(F.abs("r") > peak, F.lit(False)).alias("is_peak"))
 
 
 def site_ccf(days: DataFrame, survey: DataFrame, region: str, *, site: str = "site", lags: Sequence[int] = tuple(range(-3, 8)),
@@ -104,10 +101,9 @@ def sensitivity_table(metrics: DataFrame, *, site: str = "site", normalise: bool
                          F.col("weather_lift").alias("weather_lift_r2"), (F.col("lost_visitors") / 1000).alias("lost_visitors_k"))
     if not normalise:
         return out
-    columns = [c for c in out.columns if c != site]
-    tops = out.agg(*[F.max(c).alias(f"_t_{c}") for c in columns])
-    return attach(out, tops, []).select(site, *[
-        (F.col(c) / F.when(F.col(f"_t_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_t_{c}"))).alias(c) for c in columns])
+    # One row per site, so the window over all of them is as short as the list of sites.
+    tops = {c: F.max(c).over(Window.partitionBy()) for c in out.columns if c != site}
+    return out.select(site, *[(F.col(c) / F.when(top == 0, F.lit(1.0)).otherwise(top)).alias(c) for c, top in tops.items()])
 
 
 def side_by_side(days: DataFrame, sites: Sequence[str], *, site: str = "site", date: str = "date", count: str = "count",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daygauge.operators import quality as ql
 from daygauge.plans.registry import query, r6
-from daygauge.plans.roles import ANSWERS, HOURS, READINGS, answers, count_days, hours, readings, sql_days
+from daygauge.plans.roles import ANSWERS, HOURS, READINGS, answers, count_days, hours, readings, sql_days, table
 from daygauge.plans.statistics import DRIFT
 from daygauge.session import scratch_path
 from daygauge.sources import sinks as sk
@@ -37,7 +37,6 @@ def _(spark, sf):
 @query("price_profile", "WITH l AS (SELECT l_returnflag AS site, l_extendedprice, l_quantity FROM lineitem) " + sql_profile("l", ["l_extendedprice", "l_quantity"], {}),
        {"mean": 5, "std": 5, "q25": 6, "q75": 6})
 def _(spark, sf):
-    from daygauge.plans.roles import table
     rows = table(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "site")
     return ql.column_profile(rows, ["l_extendedprice", "l_quantity"], series="site")
 
@@ -46,9 +45,8 @@ def counter_audit(spark, sf) -> DataFrame:
     return ql.counter_report(count_days(spark, sf), ["aggregate from", "aggregate to", "total count"])
 
 
-def weather_audit(spark, sf, station: str) -> DataFrame:
-    rows = hours(spark, sf).where(F.col("station") == station).drop("station")
-    return ql.weather_report(rows, name=f"weather {station}")
+def weather_audit(spark, sf) -> DataFrame:
+    return ql.weather_report(hours(spark, sf), series="station")
 
 
 def survey_audit(spark, sf) -> DataFrame:
@@ -75,15 +73,14 @@ def sql_weather_report(station: str) -> str:
     CASE WHEN max(wind_speed_ms) > 60 THEN 'Extreme wind speed.' END], lambda x: x IS NOT NULL) AS w, min(precip_1h_mm) >= 0 AS passed FROM hours WHERE station = '{station}'"""
 
 
-STATIONS = ("click", "error", "view")
+STATIONS = ("click", "error", "purchase", "signup", "view")
 
 
 @query("weather_report", f"WITH {HOURS}, r AS ({' UNION ALL '.join(sql_weather_report(s) for s in STATIONS)}) SELECT * EXCLUDE (w), array_to_string(w, ' ') AS warnings FROM r")
 def _(spark, sf):
-    reports = [weather_audit(spark, sf, s) for s in STATIONS]
-    out = reports[0].unionByName(reports[1]).unionByName(reports[2])
-    return out.select("source_name", "n_rows", "n_columns", "first_date", "last_date", "n_gaps", F.size("column_checks").alias("n_checks"),
-                      F.array_join("warnings", " ").alias("warnings"), "passed")
+    return weather_audit(spark, sf).select(
+        "source_name", "n_rows", "n_columns", "first_date", "last_date", "n_gaps", F.size("column_checks").alias("n_checks"),
+        F.array_join("warnings", " ").alias("warnings"), "passed")
 
 
 @query("survey_report", f"""WITH {ANSWERS} SELECT 'survey' AS source_name, count(*) AS n_rows, CAST(10 AS INT) AS n_columns, count(*) FILTER (WHERE satisfaction < 1 OR satisfaction > 5) AS n_out_of_range,
@@ -96,15 +93,12 @@ def _(spark, sf):
         F.size("warnings").alias("n_warnings"), "passed")
 
 
-def all_audits(spark, sf) -> list[DataFrame]:
-    return [counter_audit(spark, sf), *[weather_audit(spark, sf, s) for s in STATIONS], survey_audit(spark, sf)]
-
-
 @query("audit_totals", f"""WITH {sql_days()}, {HOURS}, {ANSWERS}
-SELECT CAST(5 AS BIGINT) AS total_sources_audited, CAST((SELECT count(*) FROM days) + (SELECT count(*) FROM hours WHERE station IN ('click', 'error', 'view')) + (SELECT count(*) FROM answers) AS BIGINT) AS total_rows_audited,
+SELECT CAST(7 AS BIGINT) AS total_sources_audited, CAST((SELECT count(*) FROM days) + (SELECT count(*) FROM hours) + (SELECT count(*) FROM answers) AS BIGINT) AS total_rows_audited,
 true AS overall_passed""")
 def _(spark, sf):
-    return ql.audit_totals(all_audits(spark, sf)).select("total_sources_audited", "total_rows_audited", "overall_passed")
+    totals = ql.audit_totals([counter_audit(spark, sf), weather_audit(spark, sf), survey_audit(spark, sf)])
+    return totals.select("total_sources_audited", "total_rows_audited", "overall_passed")
 
 
 @query("audit_report_json", f"""WITH {READINGS}, d AS (SELECT site, date, CAST(sum(people) AS BIGINT) AS count FROM readings GROUP BY 1, 2)

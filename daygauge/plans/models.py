@@ -13,6 +13,7 @@ from daygauge.operators.features import WEATHER_FEATURES
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import (FEATURES, FEW, INTENT, count_days, day_table, model_table, sql_days, sql_features, sql_ols,
                                   sql_predicted, sql_t_p, sql_terms)
+from daygauge.session import durable
 from daygauge.sources import sinks as sk
 
 NO_WEATHER = [f for f in FEATURES if f not in WEATHER_FEATURES]
@@ -23,7 +24,8 @@ FULL_FIT = f"{sql_features()}, {sql_ols('model', 'count', FEATURES)}"
 
 
 def site_rows(spark, sf) -> DataFrame:
-    return day_table(spark, sf, "site").dropna(subset=["count", *FEW])
+    """Day rows of the site models, written once: the raw tables are read a single time however often a model passes."""
+    return durable(day_table(spark, sf, "site").dropna(subset=["count", *FEW]).select("site", "date", "count", *FEW))
 
 
 def full_fit(spark, sf) -> DataFrame:

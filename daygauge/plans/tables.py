@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygauge.functions import scalars as sc
@@ -21,6 +21,7 @@ from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import (ANSWERS, HOURS, INTENT, READINGS, SITE_SEVERITY, SITES, TEXTS, WORDS, answers, count_days, day_table,
                                   feature_table, holidays, hours, intent_days, model_table, readings, sql_any, sql_days, sql_features,
                                   table, texts, weather_days, ALL_TEXT, FEATURES)
+from daygauge.session import durable
 from daygauge.sources import columns as cl
 from daygauge.sources import sinks as sk
 
@@ -153,7 +154,7 @@ SITE_MODEL = f"""site_model AS (SELECT site, date, count, {INTENT}, temp, precip
 
 
 def site_model(spark, sf) -> DataFrame:
-    return st.site_model_table(count_days(spark, sf, "site"), weather_days(spark, sf, "site"), intent_days(spark, sf), INTENT)
+    return durable(st.site_model_table(count_days(spark, sf, "site"), weather_days(spark, sf, "site"), intent_days(spark, sf), INTENT))
 
 
 @query("site_model_table", f"WITH {sql_days(True)}, {SITE_MODEL} SELECT * FROM site_model",
