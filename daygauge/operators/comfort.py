@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daygauge.functions.scalars import bin_by_edges, cut, discomfort_index, has_text, wind_chill
 from daygauge.operators.association import spearman
 from daygauge.operators.daily import keys
+from daygauge.session import durable
 
 # Visitor bins of the crowding analysis, right-closed.
 VISITOR_EDGES = (0, 5000, 8000, 12000, 15000, 20000, 50000)
@@ -97,10 +98,10 @@ def match_satisfaction(days: DataFrame, sat: DataFrame, *, count: str = "count",
                        min_days: int = 20) -> DataFrame:
     """Counts with satisfaction by day, or by month when no more than ``min_days`` days match.
 
-    The choice needs one action; it stops at ``min_days`` + 1 rows.
+    The choice needs one action, for which the matched days (one row each) are written.
     """
     counts = days.select(date, F.col(count).cast("double").alias("count"))
-    daily = counts.join(sat, date, "inner")
+    daily = durable(counts.join(sat, date, "inner"))
     if daily.limit(min_days + 1).count() > min_days:
         return daily.select(date, "count", "mean_satisfaction", "n_responses", "mean_nps")
     monthly = counts.groupBy(F.trunc(date, "MM").alias(date)).agg(F.avg("count").alias("count"))

@@ -77,12 +77,15 @@ def flag_outliers(days: DataFrame, value: str, *, series=None, k: float = 1.5, o
 
 
 def missing_days(days: DataFrame, *, date: str = "date", series=None) -> DataFrame:
-    """Calendar days between a series' first and last day on which it has no row."""
+    """Calendar days between a series' first and last day on which it has no row.
+
+    The hole after each day is opened up to the next day seen, so neither a calendar nor an anti-join is needed.
+    """
     by = keys(series)
-    seen = days.where(F.col(date).isNotNull()).select(*by, F.to_date(date).alias("date")).distinct()
-    span = seen.groupBy(*by).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    calendar = span.select(*by, F.explode(F.sequence("lo", "hi")).alias("date"))
-    return calendar.join(seen, [*by, "date"], "left_anti")
+    seen = days.select(*by, F.to_date(date).alias("date")).where("date is not null").distinct()
+    following = F.lead("date").over(Window.partitionBy(*by).orderBy("date"))
+    holes = seen.withColumn("_next", following).where(F.datediff("_next", "date") > 1)
+    return holes.select(*by, F.explode(F.sequence(F.date_add("date", 1), F.date_sub("_next", 1))).alias("date"))
 
 
 def coverage(rows: DataFrame, *, date: str = "date", series=None) -> DataFrame:

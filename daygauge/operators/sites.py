@@ -136,7 +136,7 @@ def wind_nudge(wide: DataFrame, *, threshold: float = 10.0, n_sites: int = 3, mi
 
 def weather_shield(wide: DataFrame, *, threshold: float = 10.0, first: int = 0, sheltered: int = 2, min_days: int = 8) -> DataFrame:
     """Change at the sheltered site on windy days with a below-median count at the first site."""
-    rows = attach(wide, wide.agg(F.median(f"count_{first}").alias("_med")), [])
+    rows = wide.withColumn("_med", F.median(f"count_{first}").over(Window.partitionBy()))
     shield = (F.col("wind") > threshold) & (F.col(f"count_{first}") < F.col("_med"))
     target = F.col(f"count_{sheltered}")
     out = rows.agg(F.count_if(shield).alias("n_shield"), F.avg(F.when(shield, target)).alias("_s"),

@@ -9,7 +9,7 @@ from daygauge.operators import quality as ql
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import ANSWERS, HOURS, READINGS, answers, count_days, hours, readings, sql_days, table
 from daygauge.plans.statistics import DRIFT
-from daygauge.session import scratch_path
+from daygauge.session import durable, scratch_path
 from daygauge.sources import sinks as sk
 
 PROFILED = ["people", "temp_c", "wind_speed_ms", "snow_depth_cm"]
@@ -42,15 +42,15 @@ def _(spark, sf):
 
 
 def counter_audit(spark, sf) -> DataFrame:
-    return ql.counter_report(count_days(spark, sf), ["aggregate from", "aggregate to", "total count"])
+    return ql.counter_report(durable(count_days(spark, sf)), ["aggregate from", "aggregate to", "total count"])
 
 
 def weather_audit(spark, sf) -> DataFrame:
-    return ql.weather_report(hours(spark, sf), series="station")
+    return ql.weather_report(durable(hours(spark, sf)), series="station")
 
 
 def survey_audit(spark, sf) -> DataFrame:
-    return ql.survey_report(answers(spark, sf), satisfaction="satisfaction", region="prefecture", expected=("satisf", "nps", "income"))
+    return ql.survey_report(durable(answers(spark, sf)), satisfaction="satisfaction", region="prefecture", expected=("satisf", "nps", "income"))
 
 
 BLOCK_COUNT = """blocks AS (SELECT date_trunc('month', date) AS m, row_number() OVER (ORDER BY date_trunc('month', date)) - 1 AS k FROM (SELECT DISTINCT date_trunc('month', date) AS date FROM days))"""
@@ -104,7 +104,7 @@ def _(spark, sf):
 @query("audit_report_json", f"""WITH {READINGS}, d AS (SELECT site, date, CAST(sum(people) AS BIGINT) AS count FROM readings GROUP BY 1, 2)
 SELECT 'counter A' AS source_name, count(*) AS n_rows, CAST(avg(count) AS DOUBLE) AS mean, median(count) IS NOT NULL AS passed FROM d WHERE site = 'A'""", r6("mean"))
 def _(spark, sf):
-    days = count_days(spark, sf, "site").where("site = 'A'").drop("site")
+    days = durable(count_days(spark, sf, "site").where("site = 'A'").drop("site"))
     path = scratch_path(spark, "audit")
     sk.write_report(ql.counter_report(days, ["aggregate from", "aggregate to", "total count"], name="counter A"), path)
     report = spark.read.json(path)

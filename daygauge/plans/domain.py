@@ -13,10 +13,10 @@ from daygauge.operators import gap as gp
 from daygauge.operators import regression as rg
 from daygauge.operators import sites as st
 from daygauge.operators import text as tx
-from daygauge.plans.models import SITE_FIT, site_rows
+from daygauge.plans.models import SITE_FIT
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import (ALL_TEXT, ANSWERS, CROWD_WORDS, FEATURES, FEW, INTENT, QUIET_WORDS, RANKS, SITES, SPEND, TEXTS,
-                                  USD_RATE, WORDS, answers, count_days, day_table, feature_table, intent_days, readings, sql_any, sql_corr_p, sql_days,
+                                  USD_RATE, WORDS, answers, count_days, day_table, feature_table, intent_days, landed_days, readings, sql_any, sql_corr_p, sql_days,
                                   sql_features, sql_ols, sql_predicted, texts, weather_days)
 from daygauge.plans.statistics import sql_chi2_p
 from daygauge.plans.tables import SITE_MODEL, WIDE, site_model, three_sites
@@ -178,9 +178,10 @@ LOST = f"""{SITE_FIT}, {FLAGGED}, lost AS (SELECT few.site, few.date, few.count,
 
 
 def gap_days(spark, sf) -> DataFrame:
-    rows = site_rows(spark, sf)
+    days = landed_days(spark, sf, "site")
+    rows = days.dropna(subset=["count", *FEW])
     predicted = rg.predict(rows, rg.ols(rows, "count", FEW, series="site"), FEW, series="site")
-    return gp.lost_on_gap_days(predicted, flagged(spark, sf), series="site")
+    return gp.lost_on_gap_days(predicted, gp.opportunity_gap(days, INTENT, series="site"), series="site")
 
 
 @query("lost_population_days", f"WITH {LOST} SELECT * FROM lost", r6("lost_population"))
@@ -231,12 +232,12 @@ def weighted(weights: bool) -> str:
 
 def total_loss(spark, sf) -> DataFrame:
     # Forty sites' worth, so that the derived numbers move ranks.
-    return gap_days(spark, sf).groupBy("site").agg((40.0 * F.sum(F.greatest("lost_population", F.lit(0.0)))).alias("t"))
+    return durable(gap_days(spark, sf).groupBy("site").agg((40.0 * F.sum(F.greatest("lost_population", F.lit(0.0)))).alias("t")))
 
 
 @query("rank_simulation_by_gap_days", f"WITH {BY_DAYS}, {sql_simulation(1)} SELECT * FROM sim", SIM_DIGITS)
 def _(spark, sf):
-    return gp.rank_simulation(baseline(spark), gp.monthly_loss(gap_days(spark, sf), series="site"), series="site")
+    return gp.rank_simulation(baseline(spark), durable(gp.monthly_loss(gap_days(spark, sf), series="site")), series="site")
 
 
 @query("rank_simulation_by_season", f"WITH {weighted(True)}, {sql_simulation(1)} SELECT * FROM sim", SIM_DIGITS)
@@ -414,7 +415,7 @@ site_model AS (SELECT site, date, count, {INTENT}, temp, precip, wind, coalesce(
 
 @query("multi_site_run", f"WITH {RUN} SELECT * FROM metrics", NODE_DIGITS)
 def _(spark, sf):
-    counts = st.with_proxy_sites(count_days(spark, sf, "site"), proxy(spark, sf), "P").drop("source")
+    counts = st.with_proxy_sites(durable(count_days(spark, sf, "site")), proxy(spark, sf), "P").drop("source")
     national = dl.daily_measures(readings(spark, sf), sums={"precip_1h_mm": "precip"},
                                  means={"temp_c": "temp", "wind_speed_ms": "wind", "snow_depth_cm": "snow_depth"})
     model = durable(st.site_model_table(counts, national, intent_days(spark, sf), INTENT))

@@ -11,7 +11,7 @@ from daygauge.operators import regression as rg
 from daygauge.operators import robustness as rb
 from daygauge.operators.features import WEATHER_FEATURES
 from daygauge.plans.registry import query, r6
-from daygauge.plans.roles import (FEATURES, FEW, INTENT, count_days, day_table, model_table, sql_days, sql_features, sql_ols,
+from daygauge.plans.roles import (FEATURES, FEW, INTENT, count_days, day_table, landed_days, model_table, sql_days, sql_features, sql_ols,
                                   sql_predicted, sql_t_p, sql_terms)
 from daygauge.session import durable
 from daygauge.sources import sinks as sk
@@ -157,7 +157,7 @@ def _(spark, sf):
 
 @query("newey_west_tests")
 def _(spark, sf):
-    return rb.newey_west(model_table(spark, sf), "count", FEATURES)
+    return rb.newey_west(durable(model_table(spark, sf)), "count", FEATURES)
 
 
 FD_COLUMNS = ", ".join(f"{c} - lag({c}) OVER w AS {c}" for c in ["count", *FEW])
@@ -264,7 +264,7 @@ def forest_input(spark, sf) -> DataFrame:
 
 @query("forest_scores")
 def _(spark, sf):
-    rows = forest_input(spark, sf)
+    rows = durable(forest_input(spark, sf))
     return fo.train_scores(fo.fit_forest(rows, trees=TREES), rows)
 
 
@@ -280,8 +280,9 @@ def _(spark, sf):
 
 @query("forest_permutation_importance")
 def _(spark, sf):
-    model = fo.fit_forest(forest_input(spark, sf), trees=TREES)
-    return fo.permutation_importance(model, model_table(spark, sf), "count", FEATURES, order=["date"], repeats=10)
+    days = durable(model_table(spark, sf))
+    model = fo.fit_forest(fo.forest_rows(days, "count", FEATURES), trees=TREES)
+    return fo.permutation_importance(model, days, "count", FEATURES, order=["date"], repeats=10)
 
 
 # ---------------------------------------------------------------- tables of results
@@ -293,7 +294,7 @@ UNION ALL SELECT 'line', 'r2', regr_r2(count, {INTENT}) FROM few)"""
 @query("model_comparison", f"""WITH {ONE_FIT}, {METRICS} SELECT model, coalesce(max(CASE WHEN metric = 'r2' THEN printf('%.4f', value) END), '--') AS r2,
 coalesce(max(CASE WHEN metric = 'n' THEN printf('%.4f', value) END), '--') AS n FROM metrics GROUP BY model""")
 def _(spark, sf):
-    rows = day_table(spark, sf).dropna(subset=["count", *FEW])
+    rows = landed_days(spark, sf).dropna(subset=["count", *FEW])
     fit = rg.fit_summary(rg.ols(rows, "count", FEW)).withColumn("model", F.lit("level"))
     long = fit.select("model", F.inline(F.array(F.struct(F.lit("r2").alias("metric"), F.col("r2").alias("value")),
                                                 F.struct(F.lit("n").alias("metric"), F.col("n").cast("double").alias("value")))))

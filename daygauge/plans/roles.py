@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from daygauge.operators import daily as dl
 from daygauge.operators import features as ft
+from daygauge.session import durable
 
 SITES = ("A", "N", "R")
 INTENT = "directions"
@@ -34,8 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("site"), F.to_date("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("people"),
-        (F.col("l_quantity") - 15).alias("temp_c"), F.round(F.col("l_tax") * 100).alias("precip_1h_mm"),
-        F.round(F.col("l_discount") * 100).alias("wind_speed_ms"),
+        (F.col("l_quantity") - 15).alias("temp_c"), F.floor(F.col("l_tax") * 100 + 0.5).cast("double").alias("precip_1h_mm"),
+        F.floor(F.col("l_discount") * 100 + 0.5).cast("double").alias("wind_speed_ms"),
         F.floor(F.col("l_extendedprice") / 10000).cast("double").alias("sun_1h_h"),
         (30 + 8.0 * F.col("l_linenumber")).alias("humidity_pct"),
         F.when(F.col("l_linestatus") == "F", F.floor(F.col("l_quantity") / 10).cast("double")).alias("snow_depth_cm"))
@@ -43,7 +44,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 READINGS = """readings AS (
   SELECT l_returnflag AS site, CAST(l_shipdate AS DATE) AS date, CAST(l_quantity AS BIGINT) AS people,
-         l_quantity - 15 AS temp_c, round(l_tax * 100) AS precip_1h_mm, round(l_discount * 100) AS wind_speed_ms,
+         l_quantity - 15 AS temp_c, floor(l_tax * 100 + 0.5) AS precip_1h_mm, floor(l_discount * 100 + 0.5) AS wind_speed_ms,
          floor(l_extendedprice / 10000) AS sun_1h_h, 30 + 8.0::DOUBLE * l_linenumber AS humidity_pct,
          CASE WHEN l_linestatus = 'F' THEN floor(l_quantity / 10) END AS snow_depth_cm
   FROM lineitem)"""
@@ -68,8 +69,24 @@ def holidays(spark, sf_dir) -> DataFrame:
     return days.where(F.date_format("date", "MM-dd").isin(*HOLIDAYS)).distinct()
 
 
+def day_readings(spark, sf_dir, series=None) -> DataFrame:
+    """Counts and weather in one pass, since both come from the same readings."""
+    days = dl.daily_measures(readings(spark, sf_dir), series=series, sums={"people": "count", "precip_1h_mm": "precip"}, means=MEANS)
+    return days.withColumn("count", F.col("count").cast("long"))
+
+
 def day_table(spark, sf_dir, series=None) -> DataFrame:
     """Counts with weather and intent."""
+    return dl.join_daily(day_readings(spark, sf_dir, series), intent_days(spark, sf_dir), series=series)
+
+
+def landed_days(spark, sf_dir, series=None) -> DataFrame:
+    """The day table written once, for queries that pass over it several times: the raw tables are read a single time."""
+    return durable(day_table(spark, sf_dir, series))
+
+
+def joined_sources(spark, sf_dir, series=None) -> DataFrame:
+    """The same table by joining three sources, each reduced to days on its own."""
     return dl.join_daily(count_days(spark, sf_dir, series), weather_days(spark, sf_dir, series), intent_days(spark, sf_dir), series=series)
 
 

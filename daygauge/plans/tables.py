@@ -19,7 +19,7 @@ from daygauge.operators import sites as st
 from daygauge.operators import text as tx
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import (ANSWERS, HOURS, INTENT, READINGS, SITE_SEVERITY, SITES, TEXTS, WORDS, answers, count_days, day_table,
-                                  feature_table, holidays, hours, intent_days, model_table, readings, sql_any, sql_days, sql_features,
+                                  feature_table, holidays, hours, intent_days, joined_sources, model_table, readings, sql_any, sql_days, sql_features,
                                   table, texts, weather_days, ALL_TEXT, FEATURES)
 from daygauge.session import durable
 from daygauge.sources import columns as cl
@@ -140,7 +140,7 @@ DAY_DOUBLES = {c: 9 for c in ("precip", "temp", "sun", "wind", "snow_depth", "hu
 
 @query("daily_table", f"WITH {sql_days()} SELECT * FROM days", DAY_DOUBLES)
 def _(spark, sf):
-    return day_table(spark, sf)
+    return joined_sources(spark, sf)
 
 
 @query("daily_table_by_site", f"WITH {sql_days(True)} SELECT * FROM days", DAY_DOUBLES)

@@ -74,9 +74,8 @@ def read_cells(spark: SparkSession, path, *, width: int = 64, encoding: str = "U
 
 
 def first_lines(cells: DataFrame) -> DataFrame:
-    """The first line of every file: (_file, header, _top)."""
-    return (cells.where(F.col("_at.block") == 0).groupBy("_file")
-            .agg(F.min_by("cells", "_at").alias("header"), F.min("_at").alias("_top")))
+    """The first line of every file: (_file, header)."""
+    return cells.where(F.col("_at.block") == 0).groupBy("_file").agg(F.min_by("cells", "_at").alias("header"))
 
 
 def index_where(header: Column, test) -> Column:
@@ -107,9 +106,9 @@ def cells_by_header(cells: DataFrame, wanted: dict[str, object]) -> DataFrame:
 
     A value is a test for ``index_where`` or a fixed position. The header table has one short row per file.
     """
-    heads = first_lines(cells).select("_file", "_top", *[
+    heads = first_lines(cells).select("_file", "header", *[
         (F.lit(w) if isinstance(w, int) else index_where(F.col("header"), w)).cast("int").alias(f"_i_{n}")
         for n, w in wanted.items()])
-    rows = cells.join(heads, "_file").where(F.col("_at") > F.col("_top"))
+    rows = cells.join(heads, "_file").where(~F.col("cells").eqNullSafe(F.col("header")))
     return rows.select("_file", "_at", *[F.get("cells", F.col(f"_i_{n}")).alias(n) for n in wanted],
                        *[F.col(f"_i_{n}").isNotNull().alias(f"has_{n}") for n in wanted])
