@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one buffer and a window keeps every row of it in one task;
 both fail on a raw column of which one group holds a third. Here a column is first reduced to (group, value, n), then
 range partitioned by (group, value), so that a large group spreads over many tasks and equal values stay in one row.
-Running totals are the running total inside a partition plus the totals of the partitions before it.
+Running totals are the running total inside a partition plus the totals of the partitions before it. Quantiles do this
+for the few values near them only.
 
 The partition number becomes data and has to survive a lost executor, hence the checkpoint.
 """
@@ -73,10 +74,66 @@ def quantiles_from(positions: DataFrame, by: Sequence[str], probs: Sequence[floa
         (F.col(f"_lo_{n}") + F.col(f"_w_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in names])
 
 
+def checked_small(table: DataFrame, limit: int = 10_000) -> DataFrame:
+    """A per-group table evaluated once: a literal, broadcast table if it has at most ``limit`` short rows, else a written
+    one for a shuffle join, whose skewed side the adaptive planner splits."""
+    rows = table.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return durable(table)
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
+def quantile_brackets(rows: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], extra: Sequence[Column] = (),
+                      accuracy: int = 1_000) -> DataFrame:
+    """Per group the count (``_n``), an interval (``_lo[i]``, ``_hi[i]``) that should hold quantile i, and extra aggregates.
+
+    The sketch errs by a rank of 1/accuracy; the interval is taken four times as wide.
+    """
+    margin = 4 / accuracy
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    sketch = rows.groupBy(*by).agg(F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
+                                   F.percentile_approx(value, ends, accuracy).alias("_e"), *extra)
+    lo = F.array(*[F.col("_min") if p <= margin else F.col("_e")[i] for i, p in enumerate(probs)])
+    hi = F.array(*[F.col("_max") if p >= 1 - margin else F.col("_e")[len(probs) + i] for i, p in enumerate(probs)])
+    others = [c for c in sketch.columns if c not in (*by, "_n", "_min", "_max", "_e")]
+    return checked_small(sketch.select(*by, "_n", lo.alias("_lo"), hi.alias("_hi"), *others))
+
+
+def quantiles_within(rows: DataFrame, brackets: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
+                     names: Sequence[str]) -> DataFrame:
+    """Exact interpolated quantiles, given brackets.
+
+    One more pass counts the rows below each interval and keeps those inside it, a few in a thousand; only these are
+    ordered. Should an interval have missed its quantile, all values are ordered instead.
+    """
+    group = [*by, "_t"]
+    known = rows.where(F.col(value).isNotNull()).select(*by, value).join(brackets.select(*by, "_n", "_lo", "_hi"), list(by))
+    hits = [F.when(F.col(value) < F.col("_lo")[i], F.struct(F.lit(i).alias("_t"), F.lit(None).cast("double").alias("_v")))
+            .when(F.col(value) <= F.col("_hi")[i], F.struct(F.lit(i).alias("_t"), F.col(value).cast("double").alias("_v")))
+            for i in range(len(probs))]
+    kept = known.select(*by, "_n", F.inline(F.array(*hits))).where("_t is not null")
+    counted = kept.groupBy(*group, "_n", "_v").agg(F.count("*").alias("n"))
+    # Rows below the interval carry no value and sort first, so running totals count them in.
+    places = running_totals(placed_values(counted, group, "_v"), group, "_v", ["n"], carry=["_n"])
+    p = F.get(F.array(*[F.lit(float(x)) for x in probs]), F.col("_t"))
+    h = (F.col("_n") - 1) * p
+
+    def at(k: Column) -> Column:
+        inside = F.col("_v").isNotNull() & (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
+        return F.max(F.when(inside, F.col("_v")))
+
+    found = places.groupBy(*group).agg(at(F.floor(h)).alias("_a"), at(F.ceil(h)).alias("_b"), F.max(h - F.floor(h)).alias("_w"))
+    found = found.withColumn("_q", F.col("_a") + F.col("_w") * (F.col("_b") - F.col("_a")))
+    wide = checked_small(found.groupBy(*by).agg(*[F.max(F.when(F.col("_t") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]))
+    if wide.where(" or ".join(f"`{n}` is null" for n in names)).isEmpty():
+        return wide
+    return quantiles_from(running_totals(value_counts(rows, by, value), by, value, ["n"]), by, probs, names, value)
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str]) -> DataFrame:
-    positions = running_totals(value_counts(df, by, value), by, value, ["n"])
-    return quantiles_from(positions, by, probs, names, value)
+    """Exact interpolated quantiles of a raw column per group."""
+    return quantiles_within(df, quantile_brackets(df, by, value, probs), by, value, probs, names)
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], out: str = "position") -> DataFrame:

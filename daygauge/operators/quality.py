@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from daygauge.functions.distributions import ks_p
 from daygauge.functions.scalars import finite_or_null, has_text, number
 from daygauge.operators.daily import attach, coverage, keys, missing_days
-from daygauge.operators.order_stats import quantiles_from, running_totals, unpivot, value_counts
+from daygauge.operators.order_stats import (checked_small, quantile_brackets, quantiles_from, quantiles_within, running_totals,
+                                            unpivot, value_counts)
 
 WEATHER_COLUMNS = ("temp_c", "precip_1h_mm", "sun_1h_h", "wind_speed_ms", "humidity_pct", "snow_depth_cm")
 
@@ -36,20 +37,25 @@ def column_profile(df: DataFrame, columns: Sequence[str], *, series=None, z: flo
                    values: DataFrame | None = None) -> DataFrame:
     """Profile of raw numeric columns, one row per series and column.
 
-    Moments are one aggregation. Quartiles and outlier counts come from the ``value_table``, so a series of any size is
-    spread over tasks.
+    Three passes with partial aggregation: moments and quartile brackets, exact quartiles, outlier counts. Given a
+    ``value_table``, the last two read that instead of the rows.
     """
     by = [*keys(series), "name"]
     dtypes = dict(df.dtypes)
-    basics = unpivot(df, columns, keys(series)).groupBy(*by).agg(
-        F.count("*").alias("n_total"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    long = unpivot(df, columns, keys(series))
+    moments = [F.count("*").alias("n_total"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"),
+               F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")]
+    probs, names = (0.25, 0.75), ("q25", "q75")
     if values is None:
-        counts = value_table(df, columns, series=series)
+        counts = long.where("value is not null").withColumn("n", F.lit(1).cast("long"))
+        brackets = quantile_brackets(long, by, "value", probs, extra=moments)
+        basics = brackets.drop("_n", "_lo", "_hi")
+        quartiles = quantiles_within(long, brackets.where("_n > 0"), by, "value", probs, names)
     else:
         counts = values.where(F.col("name").isin(*columns)).groupBy(*by, "_part", "value").agg(F.sum("n").alias("n"))
-    quartiles = quantiles_from(running_totals(counts, by, "value", ["n"]), by, (0.25, 0.75), ("q25", "q75"))
-    stats = basics.join(quartiles, by, "left")
+        basics = long.groupBy(*by).agg(*moments)
+        quartiles = quantiles_from(running_totals(counts, by, "value", ["n"]), by, probs, names)
+    stats = checked_small(basics.join(quartiles, by, "left"))
     reach = k * (F.col("q75") - F.col("q25"))
     outside = (F.col("value") < F.col("q25") - reach) | (F.col("value") > F.col("q75") + reach)
     far = F.abs(F.col("value") - F.col("mean")) / F.when(F.col("std") > 0, F.col("std")) > z
@@ -94,6 +100,7 @@ def drift(rows: DataFrame, columns: Sequence[str], *, date: str = "date", series
         *by, "_month", (F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("_c"), F.sum("_n").over(whole).alias("_rows"),
         F.floor((F.row_number().over(in_order) - 1) / blocks_of).cast("int").alias("_block")).where(F.col("_rows") >= min_rows)
 
+    blocks = checked_small(blocks)
     sides = placed.join(blocks, [*by, "_month"]).select(*by, "_part", "value", "_c", F.inline(F.array(
         F.struct(F.col("_block").alias("_pair"), F.col("n").alias("n_a"), F.lit(0).cast("long").alias("n_b")),
         F.struct((F.col("_block") - 1).alias("_pair"), F.lit(0).cast("long").alias("n_a"), F.col("n").alias("n_b")))))

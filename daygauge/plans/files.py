@@ -11,6 +11,7 @@ from daygauge.plans.roles import HOURS, INTENT, TEXTS, hours, table, texts
 from daygauge.session import scratch_path
 from daygauge.sources import counters, intent, sinks, station, survey, weather
 from daygauge.sources.columns import locate_header, read_cells
+from daygauge.streaming import incremental
 
 DAY_IN_PATH = r"day=(\d{4}-\d{2}-\d{2})"
 TYPE_IN_PATH = r"kind=([^/]+)/"
@@ -221,6 +222,19 @@ def _(spark, sf):
     return spark.read.parquet(path).select("timestamp", "precip_1h_mm")
 
 
+@query("incremental_upsert", f"WITH {UPSERT} SELECT * FROM merged")
+def _(spark, sf):
+    # The old rows are taken in first; then files with the new ones arrive and only those are read.
+    old, new = upsert_sides(spark, sf)
+    root, path, seen = scratch_path(spark, "arrivals"), scratch_path(spark, "weather"), scratch_path(spark, "seen")
+    for name, side in (("1", old), ("2", new)):
+        text = side.select(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "precip_1h_mm", F.col("source_file").alias("origin"))
+        text.write.option("header", True).csv(f"{root}/{name}")
+        stream = incremental.new_rows(spark, root, "timestamp timestamp_ntz, precip_1h_mm double, origin string")
+        incremental.start_upsert(stream, path, ["timestamp"], ["origin"], checkpoint=seen).awaitTermination()
+    return spark.read.parquet(path).select("timestamp", "precip_1h_mm")
+
+
 @query("fixed_order_csv", f"WITH {HOURS} SELECT strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, CAST(CAST(temp_c AS BIGINT) AS VARCHAR) AS temp_c, CAST(NULL AS VARCHAR) AS weather_type, CAST(1 AS INT) AS month FROM hours")
 def _(spark, sf):
     path = scratch_path(spark, "csv")
