@@ -12,6 +12,7 @@ The partition number becomes data and has to survive a lost executor, hence the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,28 +104,27 @@ def quantiles_within(rows: DataFrame, brackets: DataFrame, by: Sequence[str], va
                      names: Sequence[str]) -> DataFrame:
     """Exact interpolated quantiles, given brackets.
 
-    One more pass counts the rows below each interval and keeps those inside it, a few in a thousand; only these are
-    ordered. Should an interval have missed its quantile, all values are ordered instead.
+    One more pass keeps the values inside an interval, a few in a thousand, and only counts those between intervals;
+    just these counts are ordered. Should an interval have missed its quantile, all values are ordered instead.
     """
-    group = [*by, "_t"]
-    known = rows.where(F.col(value).isNotNull()).select(*by, value).join(brackets.select(*by, "_n", "_lo", "_hi"), list(by))
-    hits = [F.when(F.col(value) < F.col("_lo")[i], F.struct(F.lit(i).alias("_t"), F.lit(None).cast("double").alias("_v")))
-            .when(F.col(value) <= F.col("_hi")[i], F.struct(F.lit(i).alias("_t"), F.col(value).cast("double").alias("_v")))
-            for i in range(len(probs))]
-    kept = known.select(*by, "_n", F.inline(F.array(*hits))).where("_t is not null")
-    counted = kept.groupBy(*group, "_n", "_v").agg(F.count("*").alias("n"))
-    # Rows below the interval carry no value and sort first, so running totals count them in.
-    places = running_totals(placed_values(counted, group, "_v"), group, "_v", ["n"], carry=["_n"])
-    p = F.get(F.array(*[F.lit(float(x)) for x in probs]), F.col("_t"))
-    h = (F.col("_n") - 1) * p
+    by, every = list(by), range(len(probs))
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")).join(
+        brackets.select(*by, "_n", "_lo", "_hi"), by)
+    # The number of intervals left behind rises with the value; within it, what lies before the next interval comes first.
+    zone = reduce(lambda a, b: a + b, [(F.col("_v") > F.col("_hi")[i]).cast("int") for i in every])
+    inside = reduce(lambda a, b: a | b, [F.col("_v").between(F.col("_lo")[i], F.col("_hi")[i]) for i in every])
+    place = F.struct(zone.alias("zone"), F.when(inside, F.col("_v")).alias("v"))
+    counted = known.select(*by, "_n", place.alias("_at")).groupBy(*by, "_n", "_at").agg(F.count("*").alias("n"))
+    places = running_totals(placed_values(counted, by, "_at"), by, "_at", ["n"], carry=["_n"])
 
     def at(k: Column) -> Column:
-        inside = F.col("_v").isNotNull() & (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
-        return F.max(F.when(inside, F.col("_v")))
+        return F.max(F.when((F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n")), F.col("_at.v")))
 
-    found = places.groupBy(*group).agg(at(F.floor(h)).alias("_a"), at(F.ceil(h)).alias("_b"), F.max(h - F.floor(h)).alias("_w"))
-    found = found.withColumn("_q", F.col("_a") + F.col("_w") * (F.col("_b") - F.col("_a")))
-    wide = checked_small(found.groupBy(*by).agg(*[F.max(F.when(F.col("_t") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]))
+    aggs = []
+    for p, name in zip(probs, names, strict=True):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        aggs.append((at(F.floor(h)) + F.max(h - F.floor(h)) * (at(F.ceil(h)) - at(F.floor(h)))).alias(name))
+    wide = checked_small(places.groupBy(*by).agg(*aggs))
     if wide.where(" or ".join(f"`{n}` is null" for n in names)).isEmpty():
         return wide
     return quantiles_from(running_totals(value_counts(rows, by, value), by, value, ["n"]), by, probs, names, value)

@@ -152,7 +152,8 @@ def survey_proxy(survey: DataFrame, columns: Sequence[str], pattern: str, *, dat
 
 def with_proxy_sites(counts: DataFrame, proxy: DataFrame, proxy_site: str, *, site: str = "site") -> DataFrame:
     """Counter days plus the proxy's days for a site without a counter; a site that has counts keeps them alone."""
-    stand_in = proxy.withColumn(site, F.lit(proxy_site)).join(counts.select(site).distinct(), site, "left_anti")
+    own_days = counts.where(F.col(site) == proxy_site).agg(F.count("*").alias("n")).scalar()
+    stand_in = proxy.withColumn(site, F.lit(proxy_site)).where(own_days == 0)
     marked = counts.withColumn("source", F.lit("counter"))
     return marked.unionByName(stand_in.withColumn("source", F.lit("survey_proxy")))
 

@@ -49,7 +49,7 @@ def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 def _reader(spark: SparkSession, encoding: str, recursive: bool, multiline: bool):
     return (spark.read.option("encoding", encoding).option("recursiveFileLookup", recursive).option("escape", '"')
-            .option("pathGlobFilter", "*.csv").option("multiLine", multiline))
+            .option("pathGlobFilter", "*.csv").option("multiLine", multiline).option("ignoreCorruptFiles", True))
 
 
 def read_named(spark: SparkSession, path, *, recursive: bool = True, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:

@@ -43,6 +43,20 @@ def test_quantiles_are_exact(frame):
         assert np.allclose(got.loc[g, list("abcde")].astype(float), part.value.quantile([0, 0.1, 0.5, 0.9, 1]))
 
 
+def test_missed_bracket_orders_everything(frame):
+    pdf = pd.DataFrame({"g": ["a"] * 101 + ["b"] * 7, "value": [*np.arange(101.0), *np.arange(7.0)]})
+    df = frame(pdf)
+    wrong = df.groupBy("g").agg(F.count("value").alias("_n"), F.array(F.lit(90.0)).alias("_lo"), F.array(F.lit(95.0)).alias("_hi"))
+    got = {r.g: r.q for r in od.quantiles_within(df, wrong, ["g"], "value", [0.5], ["q"]).collect()}
+    assert got == {"a": 50.0, "b": 3.0}
+
+
+def test_large_tables_are_not_broadcast(spark):
+    small, large = spark.range(10), spark.range(30)
+    plans = [spark.range(100).join(od.checked_small(t, limit=20), "id")._jdf.queryExecution().optimizedPlan().toString() for t in (small, large)]
+    assert "broadcast" in plans[0] and "broadcast" not in plans[1]
+
+
 def test_global_numbering(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
     got = od.numbered(rows, ["v"]).collect()
