@@ -197,7 +197,7 @@ SEASON_KEPT = [f for f in SEASON_FEATURES if f not in WEATHER_FEATURES]
 SEASONS = f"""{sql_features(True)}, seasons AS (SELECT *, CASE WHEN month IN (6, 7, 8) THEN 'summer' ELSE 'winter' END AS season FROM model WHERE month IN (6, 7, 8, 12, 1, 2)),
 {sql_ols('seasons', 'count', SEASON_FEATURES, ['site', 'season'])}, {sql_ols('seasons', 'count', SEASON_KEPT, ['site', 'season'], name='red')},
 lifts AS (SELECT site, season, fit.n, 1 - fit.sse / fit.sst AS r2_full, 1 - red.sse / red.sst AS r2_reduced, red.sse / red.sst - fit.sse / fit.sst AS lift
-  FROM fit JOIN red USING (site, season))"""
+  FROM fit JOIN red USING (site, season) WHERE fit.n >= 15)"""
 
 
 def season_lifts(spark, sf) -> DataFrame:
@@ -209,8 +209,8 @@ def _(spark, sf):
     return season_lifts(spark, sf)
 
 
-@query("seasonal_ratio", f"""WITH {SEASONS}, p AS (SELECT site, max(lift) FILTER (WHERE season = 'summer') AS summer_lift, max(lift) FILTER (WHERE season = 'winter') AS winter_lift FROM lifts GROUP BY site)
-SELECT *, winter_lift / summer_lift AS ratio FROM p""", r6("summer_lift", "winter_lift", "ratio"))
+@query("seasonal_ratio", f"""WITH {SEASONS}, p AS (SELECT site, coalesce(max(lift) FILTER (WHERE season = 'summer'), 0) AS summer_lift, coalesce(max(lift) FILTER (WHERE season = 'winter'), 0) AS winter_lift FROM lifts GROUP BY site)
+SELECT *, CASE WHEN summer_lift > 0 THEN winter_lift / summer_lift ELSE 'Infinity'::DOUBLE END AS ratio FROM p""", r6("summer_lift", "winter_lift", "ratio"))
 def _(spark, sf):
     return gp.season_ratio(season_lifts(spark, sf), series="site")
 
