@@ -204,6 +204,7 @@ def _(spark, sf):
 
 
 BASE = "base(month, rank, gap_k) AS (VALUES " + ", ".join(f"(CAST({m} AS INT), CAST({r} AS INT), {g}::DOUBLE)" for m, (r, g) in RANKS.items()) + ")"
+# Weights of the months in the seasonal distribution.
 WEIGHTS = {1: 6.26, 2: 6.26, 3: 2.5, 4: 2.5, 5: 2.5, 6: 1.0, 7: 1.0, 8: 1.0, 9: 1.0, 10: 2.5, 11: 2.5, 12: 6.26}
 
 

@@ -56,10 +56,10 @@ def test_intent_years(spark, tmp_path):
 
 
 def test_survey_files(spark, tmp_path):
-    write(tmp_path / "2023.csv", '県,回答日,満足度,おすすめ度,理由,不便\n福井,2023-05-01,5,"10(強く)","良い\n景色",\n石川,bad,4,8,,道\n')
-    write(tmp_path / "2024.csv", "県,回答日,場所,サービス理由,理由,満足度\n福井,2024-05-01,寺,店,静か,2\n")
+    write(tmp_path / "2023.csv", '県,回答日,満足度,おすすめ度,理由,不便\n甲県,2023-05-01,5,"10(強く)","良い\n景色",\n乙県,bad,4,8,,道\n')
+    write(tmp_path / "2024.csv", "県,回答日,場所,サービス理由,理由,満足度\n甲県,2024-05-01,寺,店,静か,2\n")
     dates = survey.survey_dates(spark, str(tmp_path)).collect()
-    assert {(r.prefecture, str(r.date)) for r in dates} == {("福井", "2023-05-01"), ("福井", "2024-05-01")}
+    assert {(r.prefecture, str(r.date)) for r in dates} == {("甲県", "2023-05-01"), ("甲県", "2024-05-01")}
     names = {"satisfaction": "満足度", "nps": "おすすめ度", "location": "場所", "reason": "理由", "inconvenience": "不便"}
     rows = {str(r.date): r for r in survey.survey_satisfaction(spark, str(tmp_path), names).collect()}
     assert rows["2023-05-01"].nps_raw == 10.0 and rows["2023-05-01"].reason == "良い\n景色" and rows["2023-05-01"].location == ""
