@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if configured is None:
-            if not context.master.startswith("local"):
+            if context.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             configured = tempfile.mkdtemp(prefix="daygauge-")
         context.setCheckpointDir(configured)
@@ -59,7 +59,7 @@ def durable(df: DataFrame) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of a cluster; local workers see it already."""
     context = spark.sparkContext
-    if context.master.startswith("local") or getattr(context, "_daygauge_shipped", False):
+    if context.master.split("[")[0] == "local" or getattr(context, "_daygauge_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="daygauge-"), "daygauge"), "zip",
