@@ -112,3 +112,16 @@ def sql_crc32(data: str) -> str:
         entries.append(value)
     rest = f"list_reduce({data}, lambda c, b: xor(c >> 8, (([{', '.join(map(str, entries))}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
     return f"xor({rest}, 4294967295::BIGINT)"
+
+
+def identified(docs: DataFrame, key: str, text: str, column: str = "_rid") -> DataFrame:
+    """``docs`` with a long that orders documents: the key where it is whole and unique, else a dense number by (key, hash of text).
+
+    Rows that agree in key and text are one document and share the number. A null key comes first.
+    """
+    doubtful = docs.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull()).limit(1).count()
+    if not doubtful:
+        return docs.withColumn(column, F.col(key).cast("bigint"))
+    tied = docs.withColumn("_hash", F.xxhash64(text))
+    numbers = numbered(tied.select(F.col(key).alias("_key"), F.col("_hash").alias("_of")).distinct(), ["_key", "_of"], column)
+    return tied.join(numbers, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_of"))).drop("_key", "_of", "_hash")
