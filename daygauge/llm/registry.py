@@ -1,4 +1,4 @@
 """Imports every module that registers a query."""
 
-from daygauge.llm import mixing, sharding, simhash, substrings  # noqa: F401
+from daygauge.llm import mixing, packing, sharding, simhash, substrings  # noqa: F401
 from daygauge.llm.common import ORACLES, QUERIES  # noqa: F401
