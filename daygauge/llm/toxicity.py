@@ -6,13 +6,14 @@ import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygauge.llm.common import batches, held_out, query, table, training_rows, written
 
-#: Training documents per class; one half gives the lexicon, the other the weights.
+#: Training documents per class. Weights are learned on each half with the lexicon of the other; scores use the lexicon of all.
 PER_CLASS = 4000
 MOST_TERMS = 4096
 #: A term stands in so many toxic documents and in so many times the share of clean ones, at least.
@@ -223,6 +224,26 @@ def fit_weights(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return mean, scale, w
 
 
+def _cross_fitted(sample: DataFrame, labels: DataFrame):
+    """Weights of the features that each half of the sample has by the lexicon of the other; None if a class is missing."""
+    parts = []
+    for half in (0, 1):
+        lexicon = Lexicon(*learn_lexicon(sample.where(F.col("half") != half)))
+
+        def features(batch: pa.RecordBatch, lexicon=lexicon) -> pa.RecordBatch:
+            rows = [text_features(t or "", lexicon) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+
+        own = sample.where(F.col("half") == half).select("doc_id", "text", "y")
+        parts.append(own.mapInArrow(batches(features), "doc_id bigint, y int, x array<double>").toPandas())
+    rows = pd.concat(parts).sort_values("doc_id", kind="stable")
+    shares = dict(labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("toxic").count().collect())
+    y = rows["y"].to_numpy(np.float64)
+    if not 0 < y.sum() < len(y):
+        return None
+    return fit_weights(np.array(list(rows["x"])), y, np.where(y == 1, shares[1] / y.sum(), shares[0] / (1 - y).sum()))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs`` with ``score`` (probability of label 1) and ``predicted`` (1 from ``threshold`` on).
 
@@ -234,21 +255,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, p
     docs = docs.drop("score", "predicted")
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     sample = written(_halves(training_rows(named, labels, "toxic", per_class)), "toxicity-sample")
-    terms, harmless = learn_lexicon(sample.where("half = 0"))
+    terms, harmless = learn_lexicon(sample)
     lexicon = Lexicon(terms, harmless)
-
-    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [text_features(t or "", lexicon) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
-
-    model = None
-    if terms:
-        rows = (sample.where("half = 1").select("doc_id", "text", "y").mapInArrow(batches(features), "doc_id bigint, y int, x array<double>")
-                .toPandas().sort_values("doc_id", kind="stable"))
-        shares = dict(labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("toxic").count().collect())
-        y = rows["y"].to_numpy(np.float64)
-        if 0 < y.sum() < len(y):
-            model = fit_weights(np.array(list(rows["x"])), y, np.where(y == 1, shares[1] / y.sum(), shares[0] / (1 - y).sum()))
+    model = _cross_fitted(sample, labels) if terms else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("_scored").to_pylist()
