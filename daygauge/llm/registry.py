@@ -1,4 +1,4 @@
 """Imports every module that registers a query."""
 
-from daygauge.llm import mixing, packing, pages, quality, sharding, simhash, substrings, toxicity  # noqa: F401
+from daygauge.llm import mixing, nearest, packing, pages, piecewise, quality, sharding, simhash, substrings, toxicity  # noqa: F401
 from daygauge.llm.common import ORACLES, QUERIES  # noqa: F401
