@@ -22,12 +22,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group (three-word shingles, two bits); of repeated rows one."""
     ship_package(spark)
-    rows = identified(docs, "doc_id", "text", "_rid")
-    groups = written(simhash.near_duplicates(rows, shingle=3, distance=2, key="_rid"), "groups")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_rid"))
+    rows = identified(docs, "doc_id", "text", "_group_rid")
+    groups = written(simhash.near_duplicates(rows, shingle=3, distance=2, key="_group_rid"), "groups")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_group_rid"))
     n, different = groups.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    chosen = rows.join(kept.distinct(), "_rid", "left_semi")
-    return (chosen if n == different else chosen.dropDuplicates(["_rid"])).select(docs.columns)
+    chosen = rows.join(kept.distinct(), "_group_rid", "left_semi")
+    return (chosen if n == different else chosen.dropDuplicates(["_group_rid"])).select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daygauge.session import scratch_path, shared_dir
 
@@ -80,6 +81,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def schema_with(df: DataFrame, *added: tuple[str, T.DataType], without: Sequence[str] = ()) -> T.StructType:
+    """The schema of ``df`` without some columns and with others at its end."""
+    return T.StructType([f for f in df.schema if f.name not in without] + [T.StructField(name, kind) for name, kind in added])
+
+
 def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A mapInArrow function from one on single batches."""
 
@@ -122,6 +128,7 @@ def identified(docs: DataFrame, key: str, text: str, column: str = "_rid") -> Da
     doubtful = docs.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull()).limit(1).count()
     if not doubtful:
         return docs.withColumn(column, F.col(key).cast("bigint"))
-    tied = docs.withColumn("_hash", F.xxhash64(text))
-    numbers = numbered(tied.select(F.col(key).alias("_key"), F.col("_hash").alias("_of")).distinct(), ["_key", "_of"], column)
-    return tied.join(numbers, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_of"))).drop("_key", "_of", "_hash")
+    tied = docs.withColumn("_id_hash", F.xxhash64(text))
+    numbers = numbered(tied.select(F.col(key).alias("_id_key"), F.col("_id_hash").alias("_id_of")).distinct(), ["_id_key", "_id_of"], column)
+    return (tied.join(numbers, F.col(key).eqNullSafe(F.col("_id_key")) & (F.col("_id_hash") == F.col("_id_of")))
+            .drop("_id_key", "_id_of", "_id_hash"))

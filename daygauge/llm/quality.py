@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from daygauge.llm.common import batches, held_out, query, table, training_rows
+from daygauge.llm.common import batches, held_out, query, schema_with, table, training_rows
 
 #: Bytes of a passage; a rest of less than REST joins the last one.
 PASSAGE, REST = 768, 256
@@ -186,8 +187,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pe
         kept = [i for i, name in enumerate(batch.schema.names) if name != "_scored"]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(scores)], names=[*(batch.schema.names[i] for i in kept), "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    scored = docs.withColumn("_scored", F.col(text)).mapInArrow(batches(run), f"{fields}, score double")
+    scored = docs.withColumn("_scored", F.col(text)).mapInArrow(batches(run), schema_with(docs, ("score", T.DoubleType())))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from daygauge.llm.common import identified, partitions, query, table, written
+from daygauge.llm.common import identified, partitions, query, schema_with, table, written
 
 WINDOW = 20
 #: Words of an anchor; a window holds WINDOW - ANCHOR + 1 of them and belongs to the one of the smallest hash.
@@ -21,6 +22,8 @@ CHUNK_WORDS = 1 << 19
 COMMON_ANCHOR = 8
 STEP, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 DUPLICATE, BLOCK, BOUNDARY, MARK = range(4)
+#: Columns that the last step reads and does not return.
+OWN = ("_dup_text", "_dup_lo", "_dup_n")
 
 
 class _Words(dict):
@@ -274,8 +277,8 @@ def factors(docs: DataFrame, text: str = "text", rid: str = "_rid") -> DataFrame
 
 def _keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        rest = [i for i, name in enumerate(batch.schema.names) if name not in ("_dup_text", "_lo", "_n")]
-        texts, los, ns = (batch.column(name) for name in ("_dup_text", "_lo", "_n"))
+        rest = [i for i, name in enumerate(batch.schema.names) if name not in OWN]
+        texts, los, ns = (batch.column(name) for name in OWN)
         words_, removed, kept = [], [], []
         for i in range(batch.num_rows):
             words = (texts[i].as_py() or "").encode("utf-8", "surrogatepass").split()
@@ -303,12 +306,12 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     key come first, rows with one key are ordered by a hash of the text, rows alike in both are one document. Columns of ``docs``
     named like a result are replaced. An empty table gives no rows.
     """
-    docs = identified(docs.drop("n_words", "n_removed", "kept"), key, text)
-    spans = factors(docs, text).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("_s"))
-    joined = (docs.join(spans, F.col("_rid") == F.col("doc"), "left")
-              .withColumns({"_dup_text": F.col(text), "_lo": F.col("_s.lo"), "_n": F.col("_s.n")}).drop("doc", "_s", "_rid"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_dup_text", "_lo", "_n")]
-    return joined.mapInArrow(_keep, ", ".join([*fields, "n_words bigint, n_removed bigint, kept string"]))
+    docs = identified(docs.drop("n_words", "n_removed", "kept"), key, text, "_dup_rid")
+    spans = factors(docs, text, "_dup_rid").groupBy(F.col("doc").alias("_dup_doc")).agg(F.collect_list(F.struct("lo", "n")).alias("_dup_spans"))
+    joined = (docs.join(spans, F.col("_dup_rid") == F.col("_dup_doc"), "left")
+              .withColumns({"_dup_text": F.col(text), "_dup_lo": F.col("_dup_spans.lo"), "_dup_n": F.col("_dup_spans.n")})
+              .drop("_dup_doc", "_dup_spans", "_dup_rid"))
+    return joined.mapInArrow(_keep, schema_with(joined, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()), without=OWN))
 
 
 @query("op5_substrings")
