@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +22,32 @@ END = 1
 OWN_QUEUES = 192
 SHARED_QUEUES = 64
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
+#: Words looked up at once.
+CHUNK_WORDS = 125_000
 #: Sequences whose quotas are worked out at once.
 BLOCK = 4096
 
 
+#: Characters whose words can be found here as the tokenizer finds them: ASCII and Latin letters with their usual signs. Fixed values.
+_LETTERS = "a-zß-öø-ÿ\u0100-\u012f\u0131-\u017f"
+_PLAIN = re.compile(f"[\t\n\x0b\f\r -~¡¿«»§°·À-ÖØ-öø-ÿ\u0100-\u012f\u0131-\u017f‐-―‘-„†-…€]*")
+#: The tokenizer's own pattern for words, for lower-case text of such characters.
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t\n\x0b\f\r {_LETTERS}0-9]+")
+
+
+def _words(text: str) -> list[str]:
+    """Parts of a text whose ids, one after the other, are those of the text."""
+    if "<|" in text or not _PLAIN.fullmatch(text):
+        return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
+    return _WORDS.findall(text.lower())
+
+
 class WordIds:
-    """Token ids of whole texts, by words between ASCII white space, which no token of this vocabulary crosses.
+    """Token ids of whole texts, gathered word by word: no token of this vocabulary crosses a word of its pattern.
 
-    The ids of each distinct word are computed once, by the tokenizer, and gathered from one flat array.
+    Ids of a distinct word are computed once, by the tokenizer. Texts with other characters than Latin ones are cut at ASCII white
+    space only, and the tokenizer finds the words.
     """
 
     _shared: dict[str, WordIds] = {}
@@ -47,40 +66,63 @@ class WordIds:
         return cls._shared[path]
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, new: list[bytes]) -> None:
+        self.number: dict[str, int] = {}
+        self.used = 0
+        self.pool, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(array):
+            return array
+        larger = np.zeros(max(size, 2 * len(array)), array.dtype)
+        larger[:len(array)] = array
+        return larger
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.number]
         if len(self.number) + len(new) > KEPT_WORDS:
             self.forget()
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        lengths = np.array(list(map(len, found)), np.int64)
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        at = len(self.pool) + np.cumsum(lengths) - lengths
-        for i, word in enumerate(new, len(self.number)):
-            self.number[word] = i
-        self.pool, self.starts, self.lengths = (np.concatenate(x) for x in ((self.pool, flat), (self.starts, at), (self.lengths, lengths)))
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").split()
-        parts = []
-        for at in range(0, len(words), KEPT_WORDS // 4):
-            some = words[at:at + KEPT_WORDS // 4]
-            while True:
-                try:
-                    numbers = np.fromiter(map(self.number.__getitem__, some), np.int64, len(some))
-                    break
-                except KeyError:
-                    unknown = list({w for w in some if w not in self.number})
-                    if len(self.number) + len(unknown) > KEPT_WORDS:
-                        self.forget()
-                        unknown = list(set(some))
-                    self.learn(unknown)
+            new = list(words)
+        if not new:
+            return
+        plain = [w for w in new if w.isalpha() and _PLAIN.fullmatch(w)]
+        other = list(set(new).difference(plain))
+        new = plain + other
+        found, lengths = [], []
+        for at in range(0, len(plain), 512):  # one word each between spaces, told apart by their number
+            own = self.tokenizer.encode(" ".join(plain[at:at + 512]), add_special_tokens=False)
+            found.append(own.ids)
+            lengths.append(np.bincount(np.array(own.word_ids, np.int64), minlength=len(plain[at:at + 512])))
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        found += each
+        lengths = np.concatenate([*lengths, np.fromiter(map(len, each), np.int64, len(each))])
+        low, high, total = len(self.number), len(self.number) + len(new), int(lengths.sum())
+        self.pool = self._room(self.pool, self.used + total)
+        self.starts, self.lengths = self._room(self.starts, high), self._room(self.lengths, high)
+        self.pool[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.starts[low:high] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[low:high] = lengths
+        self.used += total
+        self.number.update(zip(new, range(low, high), strict=True))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, the end id last."""
+        split = [_words(t) for t in texts]
+        flat = list(chain.from_iterable(split))
+        parts, counts = [], []
+        for at in range(0, len(flat), CHUNK_WORDS):
+            some = flat[at:at + CHUNK_WORDS]
+            self.learn(set(some))
+            numbers = np.fromiter(map(self.number.__getitem__, some), np.int64, len(some))
             lengths = self.lengths[numbers]
             ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            parts.append(self.pool[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(total)])
-        return np.concatenate([*parts, np.array([END], np.uint32)])
+            parts.append(self.pool[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(int(ends[-1]))])
+            counts.append(lengths)
+        ids = np.concatenate([*parts, np.zeros(0, np.uint32)])
+        before = np.concatenate(([0], np.cumsum(np.concatenate([*counts, np.zeros(0, np.int64)]))))
+        edges = before[np.concatenate(([0], np.cumsum([len(w) for w in split])))]
+        end = np.array([END], np.uint32)
+        return [np.concatenate((ids[a:b], end)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -96,7 +138,7 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             sources = batch.column(1).to_pylist()
             for low in range(0, batch.num_rows, 256):
                 own = sources[low:low + 256]
-                ids = [words.ids(t or "") for t in batch.column(2).slice(low, 256).to_pylist()]
+                ids = words.ids([t or "" for t in batch.column(2).slice(low, 256).to_pylist()])
                 at = []
                 for name, doc in zip(own, ids, strict=True):
                     at.append(before.get(name, 0))
