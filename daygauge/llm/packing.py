@@ -22,7 +22,7 @@ END = 1
 OWN_QUEUES = 192
 SHARED_QUEUES = 64
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 #: Words looked up at once.
 CHUNK_WORDS = 125_000
 #: Sequences whose quotas are worked out at once.
