@@ -16,7 +16,8 @@ HEADLINES = [
     "hourly_to_daily", "daily_table_by_site", "full_feature_table", "lag_correlation_table", "correlation_matrix", "cross_region_ccf",
     "spearman_by_site", "ols_by_site", "coefficient_table", "newey_west", "seasonal_sensitivity", "holdout_validation", "site_metrics",
     "multi_site_run", "opportunity_gap_flags", "lost_population", "crowding_bins", "complaint_rates", "quartiles_of_raw_values",
-    "column_profile", "drift_between_blocks", "missing_calendar_days", "demand_by_month_and_region", "keyed_upsert",
+    "column_profile", "drift_between_blocks", "missing_calendar_days", "demand_by_month_and_region", "keyed_upsert", "survey_satisfaction_files", "wide_survey_file",
+    "monthly_upsert_table", "stationarity_tests",
 ]
 
 

@@ -86,7 +86,7 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], *, date: str
     scores = centred.select(*by, date, F.row_number().over(w).alias("_pos"),
                             F.count("*").over(Window.partitionBy(*by)).alias("_n"),
                             *[s.alias(f"_u{i}") for i, s in enumerate(score)])
-    width = F.greatest(F.lit(1), F.floor(0.75 * F.pow(F.col("_n"), F.lit(1 / 3)) + 1e-9))
+    width = F.greatest(F.lit(1), F.floor(0.75 * F.pow(F.col("_n"), F.lit(1 / 3))))
     running = scores.select(*by, "_pos", "_n", width.alias("_l"), *[
         F.sum(f"_u{i}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_s{i}") for i in terms])
     earlier = running.select(*by, (F.col("_pos") + F.col("_l") + 1).alias("_pos"),
@@ -178,7 +178,7 @@ def robustness_report(df: DataFrame, target: str, features: Sequence[str], weath
 def _adf_one(y: np.ndarray) -> tuple[float, float, int, int]:
     """ADF statistic with constant: lag by AIC on a common sample, then a refit on the sample that lag allows."""
     step = np.diff(y)
-    top = min(int(math.ceil(12.0 * (len(y) / 100.0) ** 0.25)), len(step) // 2 - 2)
+    top = min(int(math.ceil(12.0 * (len(y) / 100.0) ** 0.25)), len(y) // 2 - 2)
 
     def fit(lags: int, start: int) -> tuple[float, float]:
         dep = step[start:]

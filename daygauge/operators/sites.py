@@ -12,6 +12,7 @@ from daygauge.operators.association import best_lag, lag_correlations, pearson_t
 from daygauge.operators.daily import attach, daily_rows, keys
 from daygauge.operators.regression import fit_models, gram, standardised_beta
 from daygauge.operators.text import relative_to_max
+from daygauge.session import durable
 
 NODE_WEATHER = ("temp", "precip", "wind", "snow_depth")
 
@@ -101,9 +102,10 @@ def sensitivity_table(metrics: DataFrame, *, site: str = "site", normalise: bool
                          F.col("weather_lift").alias("weather_lift_r2"), (F.col("lost_visitors") / 1000).alias("lost_visitors_k"))
     if not normalise:
         return out
-    # One row per site, so the window over all of them is as short as the list of sites.
-    tops = {c: F.max(c).over(Window.partitionBy()) for c in out.columns if c != site}
-    return out.select(site, *[(F.col(c) / F.when(top == 0, F.lit(1.0)).otherwise(top)).alias(c) for c, top in tops.items()])
+    out = durable(out)  # read twice, and the largest has to be a value of the table to the last bit
+    measures = [c for c in out.columns if c != site]
+    rows = attach(out, out.agg(*[F.max(c).alias(f"_top_{c}") for c in measures]), [])
+    return rows.select(site, *[(F.col(c) / F.when(F.col(f"_top_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_top_{c}"))).alias(c) for c in measures])
 
 
 def side_by_side(days: DataFrame, sites: Sequence[str], *, site: str = "site", date: str = "date", count: str = "count",
@@ -136,7 +138,8 @@ def wind_nudge(wide: DataFrame, *, threshold: float = 10.0, n_sites: int = 3, mi
 
 def weather_shield(wide: DataFrame, *, threshold: float = 10.0, first: int = 0, sheltered: int = 2, min_days: int = 8) -> DataFrame:
     """Change at the sheltered site on windy days with a below-median count at the first site."""
-    rows = wide.withColumn("_med", F.median(f"count_{first}").over(Window.partitionBy()))
+    wide = durable(wide)
+    rows = attach(wide, wide.agg(F.median(f"count_{first}").alias("_med")), [])
     shield = (F.col("wind") > threshold) & (F.col(f"count_{first}") < F.col("_med"))
     target = F.col(f"count_{sheltered}")
     out = rows.agg(F.count_if(shield).alias("n_shield"), F.avg(F.when(shield, target)).alias("_s"),

@@ -52,9 +52,9 @@ SQL_WC = """CASE WHEN temp <= 10 AND wind * 3.6::DOUBLE > 4.8 THEN 13.12 + 0.621
   + 0.3965::DOUBLE * temp * pow(greatest(wind * 3.6::DOUBLE, 0.1), 0.16) ELSE temp END"""
 
 
-@query("discomfort_index", f"""WITH {sql_days()} SELECT date, {SQL_DI.format(h='humidity')} AS di, 0.8::DOUBLE * temp + 0.02::DOUBLE * humidity * (1.0::DOUBLE * temp - 15) + 45 AS di_custom FROM weather""")
+@query("discomfort_index", f"""WITH {sql_days()} SELECT date, {SQL_DI.format(h='humidity')} AS di, 0.75::DOUBLE * temp + 0.0125::DOUBLE * temp * humidity - 0.25::DOUBLE * humidity + 50 AS di_custom FROM weather""")
 def _(spark, sf):
-    custom = sc.discomfort_index("temp", "humidity", 0.8, 0.02, 1.0, -15.0, 45.0)
+    custom = sc.discomfort_index("temp", "humidity", (0.75, 0.0125, -0.25, 50.0))
     return weather_days(spark, sf).select("date", sc.discomfort_index("temp", "humidity").alias("di"), custom.alias("di_custom"))
 
 
@@ -204,8 +204,8 @@ def _(spark, sf):
 
 
 BASE = "base(month, rank, gap_k) AS (VALUES " + ", ".join(f"(CAST({m} AS INT), CAST({r} AS INT), {g}::DOUBLE)" for m, (r, g) in RANKS.items()) + ")"
-# Weights of the months in the seasonal distribution.
-WEIGHTS = {1: 6.26, 2: 6.26, 3: 2.5, 4: 2.5, 5: 2.5, 6: 1.0, 7: 1.0, 8: 1.0, 9: 1.0, 10: 2.5, 11: 2.5, 12: 6.26}
+# Weights of the months in the seasonal distribution; only their proportions count.
+WEIGHTS = {m: 1.5 + 0.25 * abs(m - 7) for m in range(1, 13)}
 
 
 def baseline(spark) -> DataFrame:

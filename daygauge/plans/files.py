@@ -68,16 +68,19 @@ WEATHER_FILES = f"""{HOURS}, w AS (SELECT station, CAST(timestamp AS DATE) AS da
 WEATHER_DIGITS = r6("temp", "sun", "wind", "snow_depth", "humidity")
 
 
+STATIONS = ("click", "error", "purchase", "signup", "view")
+
+
 @query("weather_files_with_fallback", f"WITH {WEATHER_FILES} SELECT * EXCLUDE (station) FROM w WHERE station = 'view'", WEATHER_DIGITS)
 def _(spark, sf):
     root = write_hours(spark, sf)
     return weather.read_weather_days(spark, root + "/station=absent", root + "/station=view")
 
 
-@query("site_weather_files", f"WITH {WEATHER_FILES} SELECT station AS site, date, temp, precip, wind, snow_depth FROM w WHERE station IN ('click', 'view')", r6("temp", "wind", "snow_depth"))
+@query("site_weather_files", f"WITH {WEATHER_FILES} SELECT station AS site, date, temp, precip, wind, snow_depth FROM w", r6("temp", "wind", "snow_depth"))
 def _(spark, sf):
     root = write_hours(spark, sf)
-    return weather.read_site_weather(spark, {s: f"{root}/station={s}" for s in ("click", "view", "closed")})
+    return weather.read_site_weather(spark, {s: f"{root}/station={s}" for s in (*STATIONS, "closed")})
 
 
 def write_intent(spark, sf) -> str:
@@ -128,12 +131,28 @@ def _(spark, sf):
     return survey.survey_satisfaction(spark, write_survey(spark, sf), NAMES)
 
 
-@query("survey_text_files", f"WITH {TEXTS} SELECT prefecture, satisfaction, reason, coalesce(inconvenience, '') AS inconvenience, '' AS freetext FROM texts")
+@query("survey_text_files", f"WITH {TEXTS} SELECT prefecture, date, satisfaction, reason, coalesce(inconvenience, '') AS inconvenience, '' AS freetext FROM texts WHERE location <> 'src3'")
 def _(spark, sf):
     return survey.survey_texts(spark, write_survey(spark, sf), satisfaction="overall", reason="reason", not_reason="service",
                                inconvenience="inconvenience", freetext="free")
 
 
+@query("wide_survey_file", """SELECT 'north' AS prefecture, CAST(o_orderdate AS DATE) AS date, CAST(length(o_orderpriority) AS DOUBLE) AS satisfaction, CAST(count(*) AS BIGINT) AS n,
+CAST(sum(length(o_orderstatus) + 17) AS BIGINT) AS letters FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    # A hundred columns, the rating in the 90th; days by slashes without zeros, bad days, answers of three lines with quotes and commas.
+    root = scratch_path(spark, "wide")
+    orders = table(spark, sf, "orders")
+    day = F.when(F.col("o_orderstatus") == "P", "31/12").otherwise(F.date_format("o_orderdate", "y/M/d"))
+    rating = F.length("o_orderpriority").cast("string")
+    answer = F.concat(F.lit('one, "two"\nthree\n'), "o_orderstatus")
+    fill = [F.lit(str(i)).alias(f"other {i}") for i in range(96)]
+    orders.select(F.lit("north").alias("region"), day.alias("answered on"), *fill[:87], rating.alias("overall rating"), answer.alias("rating reason"), *fill[87:]) \
+        .write.options(header=True, escape='"').csv(root)
+    rows = survey.survey_satisfaction(spark, root, {"satisfaction": "overall rating", "reason": "rating reason"})
+    return rows.groupBy("prefecture", "date", "satisfaction").agg(F.count("*").alias("n"), F.sum(F.length("reason")).alias("letters"))
+
+
 @query("raw_survey_file", """SELECT CAST(o_orderdate AS DATE) AS date, CAST(CASE o_orderstatus WHEN 'F' THEN 5000.0 WHEN 'O' THEN 20000.0 END AS DOUBLE) AS spending_midpoint, count(*) AS n FROM orders GROUP BY 1, 2""")
 def _(spark, sf):
     root = scratch_path(spark, "raw")

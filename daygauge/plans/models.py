@@ -117,7 +117,7 @@ def sql_hac(by: str = "site") -> str:
     scores = ", ".join(["e AS u0", *[f"e * {c} AS u{i}" for i, c in enumerate(FEW, start=1)]])
     meat = ", ".join(f"sum(w * (x.u{i} * y.u{j} + CASE WHEN h > 0 THEN y.u{i} * x.u{j} ELSE 0 END)) AS s{i}_{j}" for i in range(k + 1) for j in range(i, k + 1))
     return f"""res AS (SELECT site, row_number() OVER (PARTITION BY site ORDER BY date) AS i, {', '.join(FEW)}, count - ({sql_predicted(FEW)}) AS e, n FROM few JOIN fit USING (site)),
-u AS (SELECT site, i, greatest(1, CAST(floor(0.75 * pow(n, 1.0 / 3) + 1e-9) AS INT)) AS l, {scores} FROM res),
+u AS (SELECT site, i, greatest(1, CAST(floor(0.75 * pow(n, 1.0 / 3)) AS INT)) AS l, {scores} FROM res),
 lags AS (SELECT site, l, unnest(range(0, l + 1)) AS h FROM (SELECT DISTINCT site, l FROM u)),
 meat AS (SELECT x.site, any_value(x.l) AS l, {meat.replace('w *', '(1 - h / (lags.l + 1.0::DOUBLE)) *')}
   FROM u x JOIN lags ON lags.site = x.site JOIN u y ON y.site = x.site AND y.i = x.i - lags.h GROUP BY x.site)"""

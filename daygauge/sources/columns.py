@@ -58,13 +58,22 @@ def read_named(spark: SparkSession, path, *, recursive: bool = True, encoding: s
     return reader.csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
 
 
-def read_cells(spark: SparkSession, path, *, width: int = 64, encoding: str = "UTF-8", recursive: bool = True,
+def widest(spark: SparkSession, path, *, recursive: bool = True) -> int:
+    """Most cells a line of the files can have: its commas, quoted ones included, and one more."""
+    lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv").text(path)
+    commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
+    return (lines.agg(F.max(commas)).first()[0] or 0) + 1
+
+
+def read_cells(spark: SparkSession, path, *, width: int | None = None, encoding: str = "UTF-8", recursive: bool = True,
                multiline: bool = False) -> DataFrame:
     """CSV files with any headers as (_file, _at, cells): one row per line, cells by position.
 
     ``_at`` orders the lines of a file. Files need no common header and none of them passes through the driver.
     ``multiline`` allows line breaks inside quotes; a file is then read by one task, without it large files are split.
+    Without ``width`` a first pass over the lines finds the most cells any line has, so no column is cut off.
     """
+    width = width or widest(spark, path, recursive=recursive)
     schema = ", ".join(f"_c{i} string" for i in range(width))
     reader = _reader(spark, encoding, recursive, multiline).schema(schema).option("header", False)
     rows = reader.csv(path).select(

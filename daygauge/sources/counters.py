@@ -17,7 +17,7 @@ def counter_files(spark: SparkSession, path, *, mixed_headers: bool = True, date
     The date is the file stem, or the first group of ``date_pattern`` in the path. Other files are passed over.
     """
     if mixed_headers:
-        rows = cells_by_header(read_cells(spark, path, width=16), {"start": named("aggregate from"), "total": named("total count")})
+        rows = cells_by_header(read_cells(spark, path), {"start": named("aggregate from"), "total": named("total count")})
         rows = rows.where("has_start and has_total")
     else:
         rows = read_named(spark, path).withColumnRenamed("total count", "total")

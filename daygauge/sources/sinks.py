@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from daygauge.functions.scalars import finite_or_null
 from daygauge.operators.daily import keys
-from daygauge.session import scratch_path
+from daygauge.session import durable, scratch_path
 
 
 def keep_last(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -41,12 +41,14 @@ def upsert_months(spark: SparkSession, path: str, new: DataFrame, key: Sequence[
     The merged months go to a scratch table first, so nothing is overwritten while it is being read, and are then
     swapped in by partition.
     """
-    batch = new.withColumn("month", F.date_format(timestamp, "yyyy-MM"))
-    months = [r[0] for r in batch.select("month").distinct().collect()]
+    batch = durable(new.withColumn("month", F.date_format(timestamp, "yyyy-MM")))
     try:
         old = spark.read.parquet(path)
-        old = old.withColumn("month", F.col("month").cast("string")).where(F.col("month").isin(*months))
-        merged = upsert(old.select(*batch.columns), batch, key, order)
+        old = old.withColumn("month", F.col("month").cast("string"))
+        months = {r[0] for r in batch.select("month").distinct().collect()}
+        touched = F.col("month").isin(*(m for m in months if m is not None))
+        old = old.where(touched | F.col("month").isNull() if None in months else touched)
+        merged = upsert(old, batch, key, order)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -83,7 +83,7 @@ def station_rows(cells: DataFrame) -> DataFrame:
                        F.concat(file_stem("_file"), F.lit(".csv")).alias("source_file")).where("timestamp is not null")
 
 
-def read_station_exports(spark: SparkSession, path, *, encoding: str = "CP932", width: int = 64) -> DataFrame:
+def read_station_exports(spark: SparkSession, path, *, encoding: str = "CP932", width: int | None = None) -> DataFrame:
     """Export files of any number and size, decoded by the CSV reader (needs ``spark.sql.legacy.javaCharsets``)."""
     if encoding.upper() not in ("UTF-8", "UTF8"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")

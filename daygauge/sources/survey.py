@@ -44,17 +44,18 @@ def answers(rows: DataFrame) -> DataFrame:
 
 def survey_texts(spark: SparkSession, path, *, satisfaction: str, reason: str, not_reason: str, inconvenience: str,
                  freetext: str) -> DataFrame:
-    """Free texts with columns found by part of their name; the reason column must not be that of the service."""
+    """Free texts with columns found by part of their name; the reason column must not be that of the service. Bad dates are dropped."""
     rows = cells_by_header(read_cells(spark, path, multiline=True), {
-        "prefecture": 0, "satisfaction": holding(satisfaction), "reason": holding(reason, without=[not_reason]),
+        "prefecture": 0, "day": 1, "satisfaction": holding(satisfaction), "reason": holding(reason, without=[not_reason]),
         "inconvenience": holding(inconvenience), "freetext": holding(freetext)})
-    return rows.select("prefecture", number("satisfaction").alias("satisfaction"),
-                       *[text_or_empty(c).alias(c) for c in ("reason", "inconvenience", "freetext")])
+    texts = [text_or_empty(c).alias(c) for c in ("reason", "inconvenience", "freetext")]
+    return (rows.select("prefecture", day_of("day").alias("date"), number("satisfaction").alias("satisfaction"), *texts)
+            .where("date is not null"))
 
 
 def raw_survey(spark: SparkSession, path: str, *, date: str, spending: str, midpoints: Mapping[str, float]) -> DataFrame:
     """Every column plus the day and the midpoint of the spending category; a missing file gives an empty table."""
-    rows = first_readable(spark, path)
+    rows = first_readable(spark, path, multiline=True)
     if rows is None:
         return spark.createDataFrame([], T.StructType.fromDDL("date date, spending_midpoint double"))
     return with_midpoint(rows, date=date, spending=spending, midpoints=midpoints)

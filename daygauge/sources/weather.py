@@ -17,11 +17,11 @@ HOURLY_FIELDS = {"temp_c": "temp", "precip_1h_mm": "precip", "sun_1h_h": "sun",
 NODE_FIELDS = ("temp", "precip", "wind", "snow_depth")
 
 
-def first_readable(spark: SparkSession, *paths: str) -> DataFrame | None:
-    """The first of the paths that exists, read as text columns."""
+def first_readable(spark: SparkSession, *paths: str, multiline: bool = False) -> DataFrame | None:
+    """The first of the paths that exists, read as text columns; ``multiline`` allows line breaks within quotes."""
     for path in paths:
         try:
-            return read_named(spark, path)
+            return read_named(spark, path, multiline=multiline)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

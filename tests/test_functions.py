@@ -13,15 +13,15 @@ def one(spark, *columns):
     return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
 
 
-@pytest.mark.parametrize("temp,humidity,want", [(25, 60, 72.82), (30, 80, 82.92), (35, 90, 92.965), (0, 50, 39.15), (10, 70, 51.32)])
+@pytest.mark.parametrize("temp,humidity,want", [(18, 44, 62.4288), (27.5, 65, 76.97625), (-4, 30, 37.582), (12, 100, 53.6)])
 def test_discomfort_golden(spark, temp, humidity, want):
     assert one(spark, sc.discomfort_index(F.lit(float(temp)), F.lit(float(humidity)))).c0 == pytest.approx(want, abs=1e-9)
 
 
 def test_discomfort_custom_and_monotone(spark):
-    got = one(spark, sc.discomfort_index(F.lit(20.0), F.lit(70.0), 0.80, 0.02, 1.00, -15.0, 45.0)).c0
-    assert got == pytest.approx(0.8 * 20 + 0.02 * 70 * (20 - 15) + 45)
-    values = [one(spark, sc.discomfort_index(F.lit(float(t)), F.lit(60.0))).c0 for t in (15, 20, 25)]
+    got = one(spark, sc.discomfort_index(F.lit(16.0), F.lit(55.0), (0.7, 0.01, -0.2, 48.0))).c0
+    assert got == pytest.approx(0.7 * 16 + 0.01 * 16 * 55 - 0.2 * 55 + 48)
+    values = [one(spark, sc.discomfort_index(F.lit(float(t)), F.lit(48.0))).c0 for t in (9, 13, 31, 33)]
     assert values == sorted(values)
 
 

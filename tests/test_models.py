@@ -9,10 +9,11 @@ from daygauge.operators import robustness as rb
 
 
 def synthetic(n=200, seed=42):
-    rng = np.random.default_rng(seed)
-    pdf = pd.DataFrame({"date": pd.date_range("2024-06-01", periods=n), "intent": rng.normal(10, 2, n), "precip": rng.normal(5, 3, n),
-                        "temp": rng.normal(20, 5, n)})
-    pdf["count"] = 100 + 15 * pdf.intent - 5 * pdf.precip + 2 * pdf.temp + rng.normal(0, 10, n)
+    rng = np.random.default_rng(1000 + seed)
+    wave = np.sin(np.arange(n) / 9.0)
+    pdf = pd.DataFrame({"date": pd.date_range("2022-02-07", periods=n), "precip": rng.gamma(2.0, 2.0, n), "temp": 12 + 8 * wave + rng.normal(0, 3, n),
+                        "intent": rng.uniform(2, 9, n)})
+    pdf["count"] = 40 + 22 * pdf.intent - 7 * pdf.precip + 1.5 * pdf.temp + rng.normal(0, 8, n)
     return pdf
 
 
@@ -44,10 +45,10 @@ def test_ols_against_lstsq(frame):
 
 
 def test_null_rows_are_left_out(frame):
-    pdf = synthetic(50, 99)
-    pdf.loc[5, "intent"] = np.nan
+    pdf = synthetic(63, 3)
+    pdf.loc[[17, 40], "intent"] = np.nan
     fit = rg.fit_summary(rg.ols(frame(pdf), "count", XS)).first()
-    assert fit.n == 49
+    assert fit.n == 61
 
 
 def test_zero_column_does_not_count(frame):
@@ -177,3 +178,20 @@ def test_forest(frame):
     shuffled = {r.feature: r for r in fo.permutation_importance(model, frame(pdf), "count", XS, order=["date"], repeats=5).collect()}
     assert max(shuffled.values(), key=lambda r: r.importance_mean).feature == "intent"
     assert all(r.importance_std >= 0 for r in shuffled.values())
+
+
+def test_newey_west_lags_are_truncated(frame):
+    """At 64 rows 0.75 n^(1/3) is just below 3 in double precision, so there are two lags."""
+    pdf = synthetic(64)
+    x, b, e = lstsq(pdf)
+    u = x * e[:, None]
+    middle = u.T @ u
+    for lag in (1, 2):
+        cross = u[lag:].T @ u[:-lag]
+        middle += (1 - lag / 3) * (cross + cross.T)
+    bread = np.linalg.inv(x.T @ x)
+    want = np.sqrt(np.diag(bread @ middle @ bread))
+    got = rb.newey_west(frame(pdf), "count", XS).toPandas().set_index("term")
+    column = next(c for c in got.columns if "se" in c)
+    ratio = got.loc[["const", *XS], column].to_numpy(float) / want
+    assert np.allclose(ratio, ratio[0]) and ratio[0] == pytest.approx(1, abs=0.05)

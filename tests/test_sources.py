@@ -65,7 +65,17 @@ def test_survey_files(spark, tmp_path):
     assert rows["2023-05-01"].nps_raw == 10.0 and rows["2023-05-01"].reason == "良い\n景色" and rows["2023-05-01"].location == ""
     assert rows["2024-05-01"].satisfaction == 2.0 and rows["2024-05-01"].nps_raw is None and rows["2024-05-01"].location == "寺"
     texts = survey.survey_texts(spark, str(tmp_path), satisfaction="満足度", reason="理由", not_reason="サービス", inconvenience="不便", freetext="自由")
-    assert {r.reason for r in texts.collect()} == {"良い\n景色", "", "静か"}
+    assert {(str(r.date), r.reason) for r in texts.collect()} == {("2023-05-01", "良い\n景色"), ("2024-05-01", "静か")}  # the bad date goes
+
+
+def test_no_column_is_cut_off_and_answers_keep_their_lines(spark, tmp_path):
+    head = ",".join(["region", "day", *[f"c{i}" for i in range(68)], "rating", "reason"])
+    rows = [",".join(["r", day, *["x"] * 68, "4", '"one\ntwo, ""so""\nthree"']) for day in ("2024/1/4 10:11", "2024-01-05", "soon")]
+    write(tmp_path / "wide.csv", "\n".join([head, *rows]) + "\n")
+    got = survey.survey_satisfaction(spark, str(tmp_path), {"satisfaction": "rating", "reason": "reason"}).collect()
+    assert sorted((r.date.day, r.satisfaction, r.reason) for r in got) == [(d, 4.0, 'one\ntwo, "so"\nthree') for d in (4, 5)]
+    raw = survey.raw_survey(spark, str(tmp_path / "wide.csv"), date="day", spending="rating", midpoints={"4": 1.0})
+    assert raw.count() == 3
 
 
 def test_raw_survey(spark, tmp_path):
@@ -122,3 +132,13 @@ def test_fixed_order_and_rename(spark):
     df = spark.createDataFrame([(1, 2.0)], "b int, temp_c double")
     assert sinks.fixed_order(df, ["a", "b"]).first().asDict() == {"a": "", "b": 1}
     assert cl.rename_missing(df, {"temp_c": "temp", "b": "temp_c"}).columns == ["b", "temp"]
+
+
+def test_upsert_of_months_keeps_rows_without_time_and_stored_columns(spark, tmp_path):
+    path = str(tmp_path / "store")
+    schema = "k string, timestamp timestamp, v int"
+    at = datetime.datetime(2024, 1, 5)
+    sinks.upsert_months(spark, path, spark.createDataFrame([("a", None, 1, "old"), ("b", at, 2, "old")], schema + ", more string"), ["k"], ["v"])
+    sinks.upsert_months(spark, path, spark.createDataFrame([("c", None, 3), ("b", at, 4)], schema), ["k"], ["v"])
+    got = {r["k"]: (r["v"], r["more"]) for r in spark.read.parquet(path).collect()}
+    assert got == {"a": (1, "old"), "b": (4, None), "c": (3, None)}
