@@ -58,9 +58,13 @@ def read_named(spark: SparkSession, path, *, recursive: bool = True, encoding: s
     return reader.csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
 
 
-def widest(spark: SparkSession, path, *, recursive: bool = True) -> int:
-    """Most cells a line of the files can have: its commas, quoted ones included, and one more."""
+def widest(spark: SparkSession, path, *, recursive: bool = True, headers: bool = False) -> int:
+    """Most cells a line of the files can have, by its commas; with ``headers`` only the first line of each file counts."""
     lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv").text(path)
+    if headers:
+        lines = (lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                              F.monotonically_increasing_id().alias("_line")).where("_block = 0")
+                 .groupBy("_file").agg(F.min_by("value", "_line").alias("value")))
     commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
     return (lines.agg(F.max(commas)).first()[0] or 0) + 1
 
@@ -71,9 +75,9 @@ def read_cells(spark: SparkSession, path, *, width: int | None = None, encoding:
 
     ``_at`` orders the lines of a file. Files need no common header and none of them passes through the driver.
     ``multiline`` allows line breaks inside quotes; a file is then read by one task, without it large files are split.
-    Without ``width`` a first pass over the lines finds the most cells any line has, so no column is cut off.
+    Without ``width`` a first pass finds the most cells any line has (with ``multiline``, any header), so no column is cut off.
     """
-    width = width or widest(spark, path, recursive=recursive)
+    width = width or widest(spark, path, recursive=recursive, headers=multiline)
     schema = ", ".join(f"_c{i} string" for i in range(width))
     reader = _reader(spark, encoding, recursive, multiline).schema(schema).option("header", False)
     rows = reader.csv(path).select(
