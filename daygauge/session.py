@@ -57,9 +57,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster; local workers see it already."""
+    """Make this package importable in the Python workers, wherever they start (a local worker sees no path the driver added)."""
     context = spark.sparkContext
-    if context.master.split("[")[0] == "local" or getattr(context, "_daygauge_shipped", False):
+    if getattr(context, "_daygauge_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="daygauge-"), "daygauge"), "zip",
