@@ -17,8 +17,8 @@ from daygauge.llm.common import batches, held_out, query, schema_with, table, tr
 #: Training documents per class. Weights are learned on each half with the lexicon of the other; scores use the lexicon of all.
 PER_CLASS = 4000
 MOST_TERMS = 4096
-#: A term stands in so many toxic documents and in so many times the share of clean ones, at least.
-LEAST_DOCUMENTS, LEAST_RATIO = 4, 12.0
+#: A term stands in so many toxic documents, in such a share of them, and in so many times the share of clean ones, at least.
+LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 4, 0.005, 12.0
 #: Words on either side of a hit that make its context.
 CONTEXT = 6
 KEPT_WORDS = 400_000
@@ -185,15 +185,18 @@ def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], set[str]]:
-    """Terms with their strength, and near forms of them that are harmless, from texts with ``y``."""
+    """Terms with their strength, and near forms of them that are harmless, from texts with ``y``.
+
+    The share of toxic documents with a term is taken one standard error low, so that chance makes no term of a rare word.
+    """
     n = dict(sample.groupBy("y").count().collect())
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return {}, set()
     stats = written(sample.select("text", "y").mapInArrow(_words, "word string, y int").groupBy("word")
                     .agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("u")), "word-counts")
-    least = max(LEAST_DOCUMENTS, round(0.002 * toxic))
-    ratio = (F.col("t") / toxic) / ((F.col("u") + 1) / clean)
+    least = max(LEAST_DOCUMENTS, round(LEAST_SHARE * toxic))
+    ratio = ((F.col("t") - F.sqrt("t")) / toxic) / ((F.col("u") + 1) / clean)
     rows = (stats.where((F.col("t") >= least) & (ratio >= LEAST_RATIO) & (F.length("word") >= 3))
             .select("word", "t", F.log(ratio).alias("s")).orderBy(F.desc("t"), "word").limit(MOST_TERMS).collect())
     terms = {r["word"]: min(r["s"], 6.0) / 6.0 for r in rows}
