@@ -26,7 +26,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], *, series=None) ->
     by = keys(series)
     rows = df.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
     left = rows.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
-    pairs = left.select(*by, "_i", "_x", F.posexplode("_v").alias("_j", "_y")).where("_i < _j")
+    rest = F.posexplode(F.slice("_v", F.col("_i") + 2, len(columns))).alias("_k", "_y")
+    pairs = left.select(*by, "_i", "_x", rest).withColumn("_j", F.col("_i") + F.col("_k") + 1)
     out = pairs.groupBy(*by, "_i", "_j").agg(pearson("_x", "_y").alias("r"), pair_count("_x", "_y").alias("n"))
     return out.select(*by, _name_at(columns, "_i").alias("col_a"), _name_at(columns, "_j").alias("col_b"), "r", "n")
 

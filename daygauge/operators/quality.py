@@ -14,6 +14,7 @@ from daygauge.operators.daily import attach, coverage, keys, missing_days
 from daygauge.operators.order_stats import (checked_small, quantile_brackets, quantiles_from, quantiles_within, running_totals,
                                             unpivot, value_counts)
 
+COUNTER_COLUMNS = ("aggregate from", "aggregate to", "total count")
 WEATHER_COLUMNS = ("temp_c", "precip_1h_mm", "sun_1h_h", "wind_speed_ms", "humidity_pct", "snow_depth_cm")
 
 
@@ -151,19 +152,41 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def file_totals(files: DataFrame) -> DataFrame:
+    """One row over a ``file_audit``: files, unreadable files, all column names, those that some readable file lacks."""
+    def union(column: Column | str) -> Column:
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_set(column))))
+
+    return files.agg(F.count("*").alias("_files"), F.count_if(~F.col("readable")).alias("_unreadable"),
+                     union("columns").alias("_actual"),
+                     union(F.when(F.col("readable"), F.col("missing_columns"))).alias("_lacking"))
+
+
+def file_notes() -> list[Column]:
+    """Errors that ``file_totals`` give rise to."""
+    return [_note(F.col("_files") == 0, F.lit("No file found.")),
+            _note(F.col("_unreadable") > 0, F.concat(F.col("_unreadable").cast("string"), F.lit(" unreadable files.")))]
+
+
 def source_report(name: str, rows: DataFrame, *, expected: Sequence[str], actual: Sequence[str], profile: Sequence[str],
                   drift_columns: Sequence[str], date: str, series=None, extra_warnings: Sequence[tuple[Column, str]] = (),
                   extra_errors: Sequence[tuple[Column, str]] = (), counts: Sequence[Column] = (),
-                  missing_is_error: bool = False) -> DataFrame:
+                  missing_is_error: bool = False, files: DataFrame | None = None, sources: Sequence[str] | None = None,
+                  shown: int = 30) -> DataFrame:
     """One nested row per source: coverage, schema, gaps, column checks, drift checks, warnings, errors, passed.
 
     With ``series`` all stations of one kind are audited by the same jobs and give a row each, named
-    "name series". ``counts`` are named aggregates over the rows that the extra notes may refer to.
+    "name series"; each of ``sources`` gets a row, also if it has no rows. ``counts`` are named aggregates over the rows
+    that the extra notes may refer to. With ``files`` (a ``file_audit``) the columns are those of the files and not
+    ``actual``, a column counts as missing if any readable file lacks it, and files without a header are errors.
+    ``actual_columns`` holds the first ``shown`` names.
     """
     by = keys(series)
-    missing, extra = schema_diff(actual, expected)
     out = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.min(F.to_date(date)).alias("first_date"),
                                 F.max(F.to_date(date)).alias("last_date"), *counts)
+    if sources is not None:
+        every = rows.sparkSession.createDataFrame([(s,) for s in sources], f"{by[0]} string")
+        out = every.join(out, by, "full").fillna(0, ["n_rows"])
     gaps = missing_days(rows, date=date, series=series).groupBy(*by).agg(F.count("*").alias("n_gaps"))
     profiled = [c for c in profile if c in rows.columns]
     values = value_table(rows, profiled, series=series, date=date)
@@ -172,35 +195,44 @@ def source_report(name: str, rows: DataFrame, *, expected: Sequence[str], actual
                       ["name", "period_a"], "drift_checks")
     for part in (gaps, checks, drifts):
         out = attach(out, part, by)
+    out = attach(out, file_totals(files), []) if files is not None else out.withColumn("_actual", _strings(actual))
+    want = _strings(sorted(set(expected)))
+    lacking = F.col("_lacking") if files is not None else F.array_except(want, "_actual")
     out = out.withColumns({"n_gaps": F.coalesce("n_gaps", F.lit(0)).cast("long"),
+                           "column_checks": F.coalesce("column_checks", F.array().cast(checks.schema["column_checks"].dataType)),
                            "drift_checks": F.coalesce("drift_checks", F.array().cast(drifts.schema["drift_checks"].dataType)),
-                           "missing_columns": _strings(missing), "extra_columns": _strings(extra),
-                           "expected_columns": _strings(expected), "actual_columns": _strings(list(actual)[:30])})
+                           "missing_columns": F.array_sort(lacking), "extra_columns": F.array_sort(F.array_except("_actual", want)),
+                           "expected_columns": _strings(expected), "actual_columns": F.slice("_actual", 1, shown)})
     lost = _note(F.size("missing_columns") > 0, F.concat(F.lit("Missing columns: "), F.array_join("missing_columns", ", ")))
     warnings = [_note(F.col("n_gaps") > 0, F.concat(F.col("n_gaps").cast("string"), F.lit(" date gaps detected.")))]
-    errors = [_note(cond, F.lit(text)) for cond, text in extra_errors]
+    errors = [_note(cond, F.lit(text)) for cond, text in extra_errors] + (file_notes() if files is not None else [])
     (errors if missing_is_error else warnings).append(lost)
     warnings += [_note(cond, F.lit(text)) for cond, text in extra_warnings]
     out = out.withColumns({"warnings": _notes(*warnings), "errors": _notes(*errors)})
     title = F.concat_ws(" ", F.lit(name), *[F.col(c).cast("string") for c in by])
     return out.select(
-        title.alias("source_name"), "n_rows", F.lit(len(actual)).alias("n_columns"), "first_date", "last_date", "n_gaps",
+        title.alias("source_name"), "n_rows", F.size("_actual").alias("n_columns"), "first_date", "last_date", "n_gaps",
         "expected_columns", "actual_columns", "missing_columns", "extra_columns", "column_checks", "drift_checks",
         "warnings", "errors", (F.size("errors") == 0).alias("passed"))
 
 
-def counter_report(days: DataFrame, columns: Sequence[str], *, name: str = "counter", date: str = "date",
-                   count: str = "count") -> DataFrame:
-    """Audit of day totals read from counter files whose header was ``columns``; no day at all is an error."""
+def counter_report(days: DataFrame, columns: Sequence[str] = (), *, name: str = "counter", date: str = "date",
+                   count: str = "count", files: DataFrame | None = None) -> DataFrame:
+    """Audit of day totals read from counter files whose header was ``columns``, or from the ``files`` of a
+    ``file_audit``; no day at all is an error."""
     return source_report(
-        name, days, expected=("aggregate from", "aggregate to", "total count"), actual=columns, profile=[count],
+        name, days, expected=COUNTER_COLUMNS, actual=columns, profile=[count], files=files,
         drift_columns=[count], date=date, missing_is_error=True, counts=[F.count_if(F.col(count) == 0).alias("n_zero")],
         extra_warnings=[(F.col("n_zero") > 0, "Zero-count days (possible counter outage).")],
         extra_errors=[(F.col("n_rows") == 0, "No counter day could be read.")])
 
 
-def weather_report(hours: DataFrame, *, name: str = "weather", date: str = "timestamp", series=None) -> DataFrame:
-    """Audit of hourly weather; negative precipitation is an error, implausible values are warnings."""
+def weather_report(hours: DataFrame, *, name: str = "weather", date: str = "timestamp", series=None,
+                   stations: Sequence[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Audit of hourly weather; negative precipitation is an error, implausible values are warnings.
+
+    Each of ``stations`` gets a report; for one without rows that no row could be read is an error.
+    """
     fields = [c for c in hours.columns if c not in keys(series)]
     have = set(fields)
 
@@ -209,7 +241,7 @@ def weather_report(hours: DataFrame, *, name: str = "weather", date: str = "time
 
     return source_report(
         name, hours, expected=("timestamp", *sorted(WEATHER_COLUMNS)), actual=fields, series=series, profile=WEATHER_COLUMNS,
-        drift_columns=("temp_c", "precip_1h_mm", "wind_speed_ms"), date=date,
+        sources=stations, files=files, drift_columns=("temp_c", "precip_1h_mm", "wind_speed_ms"), date=date,
         counts=[extreme(F.min, "temp_c", "t_lo"), extreme(F.max, "temp_c", "t_hi"), extreme(F.min, "precip_1h_mm", "p_lo"),
                 extreme(F.max, "wind_speed_ms", "w_hi")],
         extra_warnings=[(F.col("t_lo") < -40, "Suspicious minimum temperature."), (F.col("t_hi") > 50, "Suspicious maximum temperature."),
@@ -217,8 +249,10 @@ def weather_report(hours: DataFrame, *, name: str = "weather", date: str = "time
         extra_errors=[(F.col("n_rows") == 0, "No weather row could be read."), (F.col("p_lo") < 0, "Negative precipitation detected.")])
 
 
-def survey_report(answers: DataFrame, *, satisfaction: str, region: str, expected: Sequence[str], name: str = "survey") -> DataFrame:
-    """Audit of survey answers: expected names are matched as parts of column names."""
+def survey_report(answers: DataFrame, *, satisfaction: str, region: str, expected: Sequence[str], name: str = "survey",
+                  files: DataFrame | None = None) -> DataFrame:
+    """Audit of survey answers: expected names are matched as parts of column names. With ``files`` (a ``file_audit``)
+    no file and files without a header are errors."""
     columns = answers.columns
     lost = [e for e in expected if not any(e in c for c in columns)]
     rating = number(satisfaction)
@@ -226,11 +260,13 @@ def survey_report(answers: DataFrame, *, satisfaction: str, region: str, expecte
     head = rows.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("satisfaction").between(1, 5)).alias("n_out_of_range"),
                     F.count_if(F.col("_region").isNull()).alias("region_missing"), F.count_distinct("_region").alias("n_regions"))
     checks = _as_list(column_profile(rows, ["satisfaction"]), [], ["name"], "column_checks")
-    out = attach(head, checks, []).withColumns({"source_name": F.lit(name), "missing_columns": _strings(lost)})
+    out = attach(head, checks, [])
+    out = (out if files is None else attach(out, file_totals(files), [])).withColumns({"source_name": F.lit(name), "missing_columns": _strings(lost)})
     out = out.withColumns({
         "warnings": _notes(_note(F.size("missing_columns") > 0, F.concat(F.lit("Missing columns: "), F.array_join("missing_columns", ", "))),
                            _note(F.col("n_out_of_range") > 0, F.lit("Satisfaction values outside 1..5."))),
-        "errors": _notes(_note(F.col("n_rows") == 0, F.lit("No survey row could be read.")))})
+        "errors": _notes(_note(F.col("n_rows") == 0, F.lit("No survey row could be read.")),
+                         *(file_notes() if files is not None else []))})
     pct = F.bround(F.col("region_missing") / F.greatest(F.col("n_rows"), F.lit(1)) * 100, 2)
     return out.select("source_name", "n_rows", F.lit(len(columns)).alias("n_columns"), "n_out_of_range", "n_regions",
                       "region_missing", pct.alias("region_pct_missing"), "missing_columns", "column_checks", "warnings",

@@ -33,7 +33,8 @@ def gram(df: DataFrame, target: str, features: Sequence[str], *, series=None) ->
     by, names = keys(series), [*features, target]
     rows = df.dropna(subset=names).select(*by, F.array(*[F.col(c).cast("double") for c in names]).alias("_v"))
     left = rows.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
-    pairs = left.select(*by, "_i", "_x", F.posexplode("_v").alias("_j", "_y")).where("_i <= _j")
+    rest = F.posexplode(F.slice("_v", F.col("_i") + 1, len(names))).alias("_k", "_y")
+    pairs = left.select(*by, "_i", "_x", rest).withColumn("_j", F.col("_i") + F.col("_k"))
     cells = pairs.groupBy(*by, "_i", "_j").agg(
         F.covar_pop("_x", "_y").alias("c"), F.avg("_x").alias("m"), F.count("*").alias("n"))
     cell = F.sort_array(F.collect_list(F.struct("_i", "_j", "c", "m")))

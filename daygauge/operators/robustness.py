@@ -97,7 +97,8 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], *, date: str
         *by, "_l", *[F.col(f"_s{i}").alias(f"_v{i}") for i in terms])
     moving = inner.unionByName(tail).select(*by, "_l", F.array(*[f"_v{i}" for i in terms]).alias("_v"))
     left = moving.select(*by, "_l", "_v", F.posexplode("_v").alias("_i", "_x"))
-    pairs = left.select(*by, "_l", "_i", "_x", F.posexplode("_v").alias("_j", "_y")).where("_i <= _j")
+    rest = F.posexplode(F.slice("_v", F.col("_i") + 1, len(terms))).alias("_k", "_y")
+    pairs = left.select(*by, "_l", "_i", "_x", rest).withColumn("_j", F.col("_i") + F.col("_k"))
     cells = pairs.groupBy(*by, "_i", "_j").agg(
         F.max("_l").alias("lags"), (F.sum(F.col("_x") * F.col("_y")) / (F.max("_l") + 1)).alias("c"))
     meat = cells.groupBy(*by).agg(F.max("lags").alias("lags"), F.transform(

@@ -46,7 +46,7 @@ def counter_audit(spark, sf) -> DataFrame:
 
 
 def weather_audit(spark, sf) -> DataFrame:
-    return ql.weather_report(durable(hours(spark, sf)), series="station")
+    return ql.weather_report(durable(hours(spark, sf)), series="station", stations=(*STATIONS, "closed"))
 
 
 def survey_audit(spark, sf) -> DataFrame:
@@ -74,9 +74,12 @@ def sql_weather_report(station: str) -> str:
 
 
 STATIONS = ("click", "error", "purchase", "signup", "view")
+# A station without a row has a report too, and fails.
+WEATHER_REPORTS = f"""r AS ({' UNION ALL '.join(sql_weather_report(s) for s in STATIONS)}
+  UNION ALL SELECT 'weather closed', 0, 7, NULL, NULL, 0, 0, [], false)"""
 
 
-@query("weather_report", f"WITH {HOURS}, r AS ({' UNION ALL '.join(sql_weather_report(s) for s in STATIONS)}) SELECT * EXCLUDE (w), array_to_string(w, ' ') AS warnings FROM r")
+@query("weather_report", f"WITH {HOURS}, {WEATHER_REPORTS} SELECT * EXCLUDE (w), array_to_string(w, ' ') AS warnings FROM r")
 def _(spark, sf):
     return weather_audit(spark, sf).select(
         "source_name", "n_rows", "n_columns", "first_date", "last_date", "n_gaps", F.size("column_checks").alias("n_checks"),
@@ -93,12 +96,15 @@ def _(spark, sf):
         F.size("warnings").alias("n_warnings"), "passed")
 
 
-@query("audit_totals", f"""WITH {sql_days()}, {HOURS}, {ANSWERS}
-SELECT CAST(7 AS BIGINT) AS total_sources_audited, CAST((SELECT count(*) FROM days) + (SELECT count(*) FROM hours) + (SELECT count(*) FROM answers) AS BIGINT) AS total_rows_audited,
-true AS overall_passed""")
+@query("audit_totals", f"""WITH {sql_days()}, {HOURS}, {ANSWERS}, {WEATHER_REPORTS}, lines AS (
+  SELECT n_rows AS n, len(w) + CAST(n_gaps > 0 AS INT) AS warnings, CAST(NOT passed AS INT) AS errors FROM r
+  UNION ALL SELECT count(*), CAST(date_diff('day', min(date), max(date)) + 1 > count(*) AS INT) + CAST(count(*) FILTER (WHERE count = 0) > 0 AS INT), CAST(count(*) = 0 AS INT) FROM days
+  UNION ALL SELECT count(*), 1 + CAST(count(*) FILTER (WHERE satisfaction NOT BETWEEN 1 AND 5) > 0 AS INT), CAST(count(*) = 0 AS INT) FROM answers)
+SELECT count(*) AS total_sources_audited, CAST(sum(n) AS BIGINT) AS total_rows_audited, CAST(sum(warnings) AS BIGINT) AS total_warnings,
+CAST(sum(errors) AS BIGINT) AS total_errors, sum(errors) = 0 AS overall_passed FROM lines""")
 def _(spark, sf):
     totals = ql.audit_totals([counter_audit(spark, sf), weather_audit(spark, sf), survey_audit(spark, sf)])
-    return totals.select("total_sources_audited", "total_rows_audited", "overall_passed")
+    return totals.select("total_sources_audited", "total_rows_audited", "total_warnings", "total_errors", "overall_passed")
 
 
 @query("audit_report_json", f"""WITH {READINGS}, d AS (SELECT site, date, CAST(sum(people) AS BIGINT) AS count FROM readings GROUP BY 1, 2)

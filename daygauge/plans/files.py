@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygauge.operators import daily as dl
+from daygauge.operators import quality as ql
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import HOURS, INTENT, TEXTS, hours, table, texts
-from daygauge.session import scratch_path
+from daygauge.session import durable, scratch_path
 from daygauge.sources import counters, intent, sinks, station, survey, weather
-from daygauge.sources.columns import locate_header, read_cells
+from daygauge.sources.columns import file_audit, locate_header, read_cells
 from daygauge.streaming import incremental
 
 DAY_IN_PATH = r"day=(\d{4}-\d{2}-\d{2})"
@@ -53,6 +54,36 @@ def _(spark, sf):
     return counters.counter_days(files, drop_zero=False, by_series=True)
 
 
+def write_mixed_files(spark, sf) -> str:
+    """The counter files next to files of another kind and files without any header word, one per region."""
+    root = write_counter_files(spark, sf)
+    table(spark, sf, "region").select(F.lit("silent").alias("kind"), F.col("r_regionkey").alias("day"), F.lit(None).cast("string").alias("x")
+                                      ).repartition("kind", "day").write.mode("append").partitionBy("kind", "day").csv(root)
+    return root
+
+
+@query("counter_file_audit", """SELECT event_type AS kind, count(DISTINCT CAST(ts AS DATE)) AS n_files, CAST(0 AS BIGINT) AS n_unreadable, CAST(0 AS BIGINT) AS n_lacking FROM events GROUP BY 1
+UNION ALL SELECT 'other', count(DISTINCT CAST(o_orderdate AS DATE)), 0, count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1995-02-01'
+UNION ALL SELECT 'silent', count(*), count(*), 0 FROM region""")
+def _(spark, sf):
+    files = file_audit(spark, write_mixed_files(spark, sf), ql.COUNTER_COLUMNS)
+    return files.groupBy(F.regexp_extract("file", TYPE_IN_PATH, 1).alias("kind")).agg(
+        F.count("*").alias("n_files"), F.count_if(~F.col("readable")).alias("n_unreadable"),
+        F.count_if(F.col("readable") & (F.size("missing_columns") > 0)).alias("n_lacking"))
+
+
+@query("counter_report_from_files", f"""WITH {COUNTERS}, d AS (SELECT date, sum(count) AS count FROM files GROUP BY date)
+SELECT 'counter' AS source_name, count(*) AS n_rows, 'aggregate from, aggregate to, note, orders, total count' AS actual_columns,
+'aggregate from, aggregate to, total count' AS missing_columns, 'note, orders' AS extra_columns,
+concat_ws(' ', (SELECT count(*) FROM region) || ' unreadable files.', 'Missing columns: aggregate from, aggregate to, total count') AS errors, false AS passed FROM d""")
+def _(spark, sf):
+    root = write_mixed_files(spark, sf)
+    days = counters.counter_days(counters.counter_files(spark, root, date_pattern=DAY_IN_PATH, series_pattern=TYPE_IN_PATH), drop_zero=False)
+    report = ql.counter_report(durable(days), files=file_audit(spark, root, ql.COUNTER_COLUMNS))
+    return report.select("source_name", "n_rows", *[F.array_join(c, ", ").alias(c) for c in ("actual_columns", "missing_columns", "extra_columns")],
+                         F.array_join("errors", " ").alias("errors"), "passed")
+
+
 def write_hours(spark, sf, stations=None) -> str:
     """Hourly files per station with old field names; the temperature of one station is sometimes unreadable."""
     root = scratch_path(spark, "hours")

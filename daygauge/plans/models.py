@@ -255,7 +255,7 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- forest
 
-TREES = 20
+TREES = 500
 
 
 def forest_input(spark, sf) -> DataFrame:

@@ -507,12 +507,16 @@ def _(spark, sf):
     return readings(spark, sf).select("date").distinct()
 
 
-@query("schema_difference", """SELECT 'missing' AS kind, 'gust_ms' AS name UNION ALL SELECT 'missing', 'pressure_hpa'
-UNION ALL SELECT 'extra', 'station' UNION ALL SELECT 'extra', 'snow_depth_cm' UNION ALL SELECT 'extra', 'sun_1h_h'""")
+@query("schema_difference", f"""WITH {HOURS} SELECT 'missing' AS kind, 'gust_ms' AS name, CAST(0 AS BIGINT) AS n_values UNION ALL SELECT 'missing', 'pressure_hpa', 0
+UNION ALL SELECT 'extra', 'station', count(station) FROM hours UNION ALL SELECT 'extra', 'snow_depth_cm', count(snow_depth_cm) FROM hours
+UNION ALL SELECT 'extra', 'sun_1h_h', count(sun_1h_h) FROM hours""")
 def _(spark, sf):
     rows = hours(spark, sf)
     missing, extra = ql.schema_diff(rows.columns, ["timestamp", "temp_c", "precip_1h_mm", "wind_speed_ms", "humidity_pct", "gust_ms", "pressure_hpa"])
-    return spark.createDataFrame([("missing", c) for c in missing] + [("extra", c) for c in extra], "kind string, name string")
+    # A column nobody expects is reported with the number of values it holds.
+    lost = [F.struct(F.lit("missing").alias("kind"), F.lit(c).alias("name"), F.lit(0).cast("long").alias("n_values")) for c in missing]
+    found = [F.struct(F.lit("extra").alias("kind"), F.lit(c).alias("name"), F.count(c).alias("n_values")) for c in extra]
+    return rows.agg(F.array(*lost, *found).alias("_d")).select(F.inline("_d"))
 
 
 # ---------------------------------------------------------------- scalar functions

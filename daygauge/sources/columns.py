@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +88,33 @@ def read_cells(spark: SparkSession, path, *, width: int | None = None, encoding:
 
 
 def first_lines(cells: DataFrame) -> DataFrame:
-    """The first line of every file: (_file, header)."""
-    return cells.where(F.col("_at.block") == 0).groupBy("_file").agg(F.min_by("cells", "_at").alias("header"))
+    """The first line of every file and its place: (_file, header, _top)."""
+    return cells.where(F.col("_at.block") == 0).groupBy("_file").agg(
+        F.min_by("cells", "_at").alias("header"), F.min("_at").alias("_top"))
+
+
+def file_audit(spark: SparkSession, path, required: Sequence[str] = (), *, recursive: bool = True,
+               encoding: str = "UTF-8") -> DataFrame:
+    """One row per CSV file below the path: (file, columns, missing_columns, readable).
+
+    A file whose first line is absent (empty, damaged) or holds no word is not readable. No path or no file gives no row.
+    The names come from the file index that Spark's driver holds for any read, since a scan skips empty files.
+    """
+    schema = "file string, columns array<string>, missing_columns array<string>, readable boolean"
+    listing = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv")
+    plain = F.regexp_replace("_file", "^file:/+", "file:/")  # the index writes local names with more slashes
+    try:
+        files = spark.createDataFrame([(f,) for f in listing.text(path).inputFiles()], "_file string")
+        heads = first_lines(read_cells(spark, path, recursive=recursive, encoding=encoding))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    words = F.filter(F.transform("header", lambda h: F.trim(h)), lambda h: h.isNotNull() & (h != ""))
+    seen = files.select(plain.alias("_file")).join(heads.select(plain.alias("_file"), words.alias("columns")), "_file", "left")
+    wanted = F.array(*[F.lit(c) for c in required]).cast("array<string>")
+    return seen.select(F.col("_file").alias("file"), "columns", F.array_except(wanted, "columns").alias("missing_columns"),
+                       F.coalesce(F.size("columns") > 0, F.lit(False)).alias("readable"))
 
 
 def index_where(header: Column, test) -> Column:
@@ -117,11 +143,12 @@ def holding(*parts: str, without: Sequence[str] = ()):
 def cells_by_header(cells: DataFrame, wanted: dict[str, object]) -> DataFrame:
     """Data lines with the wanted columns, each found in its own file's header; absent ones are NULL.
 
-    A value is a test for ``index_where`` or a fixed position. The header table has one short row per file.
+    A value is a test for ``index_where`` or a fixed position. The header table has one short row per file. The header
+    goes by its place: a later line with the same words is data.
     """
-    heads = first_lines(cells).select("_file", "header", *[
+    heads = first_lines(cells).select("_file", "_top", *[
         (F.lit(w) if isinstance(w, int) else index_where(F.col("header"), w)).cast("int").alias(f"_i_{n}")
         for n, w in wanted.items()])
-    rows = cells.join(heads, "_file").where(~F.col("cells").eqNullSafe(F.col("header")))
+    rows = cells.join(heads, "_file").where(F.col("_at") != F.col("_top"))
     return rows.select("_file", "_at", *[F.get("cells", F.col(f"_i_{n}")).alias(n) for n in wanted],
                        *[F.col(f"_i_{n}").isNotNull().alias(f"has_{n}") for n in wanted])

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daygauge.functions.scalars import finite_or_null
@@ -36,16 +37,25 @@ def not_covered(existing: DataFrame, new: DataFrame, key: Sequence[str]) -> Data
 
 def upsert_months(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], order: Sequence[str], *,
                   timestamp: str = "timestamp") -> None:
-    """Upsert into a parquet table partitioned by month; months the batch does not touch are neither read nor written.
+    """Upsert into a parquet table partitioned by month; months the batch does not touch are not written.
 
-    The merged months go to a scratch table first, so nothing is overwritten while it is being read, and are then
-    swapped in by partition.
+    If the timestamp is part of the key, other months are not read either. Else a key may move to another month, so the
+    keys (no other column) of all months are read to find where the batch's keys are stored; a month that loses its last
+    row goes. The merged months go to a scratch table first, so nothing is overwritten while it is being read, and are
+    then swapped in by partition.
     """
+    emptied = set()
     batch = durable(new.withColumn("month", F.date_format(timestamp, "yyyy-MM")))
     try:
         old = spark.read.parquet(path)
         old = old.withColumn("month", F.col("month").cast("string"))
         months = {r[0] for r in batch.select("month").distinct().collect()}
+        if timestamp not in key:
+            left, right = old.select(*key, "month").alias("l"), batch.select(*key).distinct().alias("r")
+            same = reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key])
+            stored = left.join(right, same, "left_semi").select("month").distinct()
+            months |= {r[0] for r in stored.collect()}
+            emptied = set(months)
         touched = F.col("month").isin(*(m for m in months if m is not None))
         old = old.where(touched | F.col("month").isNull() if None in months else touched)
         merged = upsert(old, batch, key, order)
@@ -55,8 +65,19 @@ def upsert_months(spark: SparkSession, path: str, new: DataFrame, key: Sequence[
         merged = keep_last(batch, key, order)
     staged = scratch_path(spark, "upsert")
     merged.write.parquet(staged)
-    (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month").parquet(path))
+    rows = spark.read.schema(merged.schema).parquet(staged)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    if emptied:
+        emptied -= {r[0] for r in rows.select("month").distinct().collect()}
+    for month in emptied:
+        _remove(spark, f"{path}/month={'__HIVE_DEFAULT_PARTITION__' if month is None else month}")
+    _remove(spark, staged)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours on whatever file system holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fixed_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:

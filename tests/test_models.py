@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -195,3 +197,9 @@ def test_newey_west_lags_are_truncated(frame):
     column = next(c for c in got.columns if "se" in c)
     ratio = got.loc[["const", *XS], column].to_numpy(float) / want
     assert np.allclose(ratio, ratio[0]) and ratio[0] == pytest.approx(1, abs=0.05)
+
+
+def test_newey_west_z_and_p(frame):
+    got = rb.newey_west(frame(synthetic(90)), "count", XS).toPandas()
+    assert np.allclose(got.z, got.coef / got.se_hac)
+    assert np.allclose(got.p_hac, [math.erfc(abs(z) / math.sqrt(2)) for z in got.z], atol=1e-12)

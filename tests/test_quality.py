@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from daygauge.functions.distributions import two_sample_ks_p
 from daygauge.operators import order_stats as od
 from daygauge.operators import quality as ql
+from daygauge.sources.columns import file_audit
+from daygauge.sources.counters import counter_days, counter_files
 
 
 def test_schema_diff():
@@ -112,3 +114,43 @@ def test_counter_report(frame):
     row = ql.counter_report(frame(pdf), ["aggregate from", "total count"]).first()
     assert not row.passed and row.errors == ["Missing columns: aggregate to"]
     assert row.warnings == ["Zero-count days (possible counter outage)."]
+
+
+def test_reports_over_paths(spark, tmp_path):
+    root = tmp_path / "counter"
+    root.mkdir()
+    (root / "a.csv").write_text("aggregate from,aggregate to,total count\n2024-01-01 00:00,2024-01-01 01:00,4\n")
+    (root / "b.csv").write_text("total count,aggregate from\n7,2024-01-02 00:00\n")
+    (root / "c.csv").write_text("")
+    files = file_audit(spark, str(root), ql.COUNTER_COLUMNS)
+    assert {r.file[-5:]: (r.readable, r.missing_columns) for r in files.collect()} == {
+        "a.csv": (True, []), "b.csv": (True, ["aggregate to"]), "c.csv": (False, None)}
+    days = counter_days(counter_files(spark, str(root), date_pattern=r"(\d{4}-\d{2}-\d{2})"), drop_zero=False)
+    row = ql.counter_report(days, files=files).first()
+    assert not row.passed and row.errors[-2:] == ["1 unreadable files.", "Missing columns: aggregate to"]
+    assert row.actual_columns == ["aggregate from", "aggregate to", "total count"] and row.n_columns == 3
+
+
+def test_report_without_any_file(spark, frame, tmp_path):
+    pdf = pd.DataFrame({"date": pd.date_range("2024-01-01", periods=2), "count": [1, 2]})
+    row = ql.counter_report(frame(pdf).limit(0), files=file_audit(spark, str(tmp_path / "none"), ql.COUNTER_COLUMNS)).first()
+    assert not row.passed and row.n_rows == 0 and row.actual_columns == []
+    assert row.errors == ["No counter day could be read.", "No file found."]
+    answers = frame(pd.DataFrame({"sat": [3.0, 9.0], "where": ["n", "s"]}))
+    report = ql.survey_report(answers, satisfaction="sat", region="where", expected=["sat"], files=file_audit(spark, str(tmp_path / "none")))
+    assert report.first().errors == ["No file found."] and report.first().warnings == ["Satisfaction values outside 1..5."]
+
+
+def test_station_without_rows_and_drift_totals(frame):
+    rng = np.random.default_rng(23)
+    temp = np.where(np.arange(330) < 160, 4.0, 19.0) + rng.normal(0, 1, 330)
+    pdf = pd.DataFrame({"station": "north", "timestamp": pd.date_range("2023-02-01", periods=330).astype(str), "temp_c": temp,
+                        "precip_1h_mm": 0.0, "wind_speed_ms": 2.0})
+    df = frame(pdf).withColumn("timestamp", F.to_timestamp("timestamp"))
+    report = ql.weather_report(df, series="station", stations=["north", "south"])
+    rows = {r.source_name: r for r in report.collect()}
+    south = rows["weather south"]
+    assert south.n_rows == 0 and south.errors == ["No weather row could be read."] and south.column_checks == []
+    drifted = sum(d.drift_detected for d in rows["weather north"].drift_checks)
+    totals = ql.audit_totals([report]).first()
+    assert drifted >= 1 and totals.total_drift_events == drifted and totals.total_sources_audited == 2 and totals.total_errors == 1

@@ -142,3 +142,19 @@ def test_upsert_of_months_keeps_rows_without_time_and_stored_columns(spark, tmp_
     sinks.upsert_months(spark, path, spark.createDataFrame([("c", None, 3), ("b", at, 4)], schema), ["k"], ["v"])
     got = {r["k"]: (r["v"], r["more"]) for r in spark.read.parquet(path).collect()}
     assert got == {"a": (1, "old"), "b": (4, None), "c": (3, None)}
+
+
+def test_upsert_of_months_follows_a_key_to_its_new_month(spark, tmp_path):
+    path = str(tmp_path / "moved")
+    schema = "k string, timestamp timestamp, v int"
+    january, march = datetime.datetime(2024, 1, 9), datetime.datetime(2024, 3, 2)
+    sinks.upsert_months(spark, path, spark.createDataFrame([("a", january, 1), (None, january, 2), ("c", march, 3)], schema), ["k"], ["v"])
+    sinks.upsert_months(spark, path, spark.createDataFrame([("a", march, 4), (None, march, 5)], schema), ["k"], ["v"])
+    got = sorted((str(r["k"]), r["month"], r["v"]) for r in spark.read.parquet(path).collect())
+    assert got == [("None", "2024-03", 5), ("a", "2024-03", 4), ("c", "2024-03", 3)]
+
+
+def test_a_later_line_like_the_header_is_data(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("name,n\nx,1\nname,n\n")
+    rows = cl.cells_by_header(cl.read_cells(spark, str(tmp_path)), {"n": cl.named("n")})
+    assert sorted(r.n for r in rows.collect()) == ["1", "n"]
