@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -47,17 +49,21 @@ def contiguous_folds(df: DataFrame, folds: int = 5, *, date: str = "date", serie
     return df.withColumn("fold", F.ntile(folds).over(w) - 1)
 
 
-def cross_validate(rows: DataFrame, *, folds: int = 5, trees: int = 500, depth: int = 10, leaf: int = 5, seed: int = 42) -> DataFrame:
+def cross_validate(rows: DataFrame, *, folds: int = 5, trees: int = 500, depth: int = 10, leaf: int = 5, seed: int = 42,
+                   parallelism: int = 1) -> DataFrame:
     """R squared per fold; ``rows`` carries a ``fold`` column. One fit per fold, each distributed by MLlib.
 
-    The rows are written once, since every fit passes over them several times.
+    The rows are written once, since every fit passes over them several times; ``parallelism`` fits run at a time, as
+    short tables leave most cores idle.
     """
-    rows, out = durable(rows), None
-    for k in range(folds):
+    rows = durable(rows)
+
+    def score(k: int) -> DataFrame:
         model = _forest(trees, depth, leaf, seed).fit(rows.where(F.col("fold") != k))
-        one = model.transform(rows.where(F.col("fold") == k)).agg(F.lit(k).alias("fold"), r2_of().alias("r2"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        return model.transform(rows.where(F.col("fold") == k)).agg(F.lit(k).alias("fold"), r2_of().alias("r2"))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return reduce(DataFrame.unionByName, pool.map(score, range(folds)))
 
 
 def fold_summary(scores: DataFrame) -> DataFrame:
@@ -71,6 +77,12 @@ def impurity_importance(model: RandomForestRegressionModel, features: Sequence[s
                                  ).orderBy(F.col("importance").desc(), "feature")
 
 
+def top_features(importance: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` features of the greatest importance with their rank; ties go to the first name."""
+    best = importance.orderBy(F.col("importance").desc(), "feature").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
+
+
 def permutation_importance(model: RandomForestRegressionModel, df: DataFrame, target: str, features: Sequence[str], *,
                            order: Sequence[str], repeats: int = 10, seed: int = 42) -> DataFrame:
     """Drop in R squared when one feature is shuffled, mean and spread over repeats.

@@ -255,7 +255,7 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- forest
 
-TREES = 500
+TREES, FOLD_TREES = 500, 100  # five fits of 500 trees take minutes on one machine
 
 
 def forest_input(spark, sf) -> DataFrame:
@@ -270,7 +270,7 @@ def _(spark, sf):
 
 @query("forest_cross_validation")
 def _(spark, sf):
-    return fo.fold_summary(fo.cross_validate(forest_input(spark, sf), trees=TREES))
+    return fo.fold_summary(fo.cross_validate(forest_input(spark, sf), trees=FOLD_TREES))
 
 
 @query("forest_importance")
@@ -281,7 +281,7 @@ def _(spark, sf):
 @query("forest_permutation_importance")
 def _(spark, sf):
     days = durable(model_table(spark, sf))
-    model = fo.fit_forest(fo.forest_rows(days, "count", FEATURES), trees=TREES)
+    model = fo.fit_forest(fo.forest_rows(days, "count", FEATURES), trees=FOLD_TREES)
     return fo.permutation_importance(model, days, "count", FEATURES, order=["date"], repeats=10)
 
 

@@ -177,6 +177,8 @@ def test_forest(frame):
     assert train.r2 > 0.85 and 0.4 < cv.cv_r2_mean <= train.r2
     importance = fo.impurity_importance(model, XS, rows.sparkSession).collect()
     assert importance[0].feature == "intent" and sum(r.importance for r in importance) == pytest.approx(1, abs=1e-6)
+    best = fo.top_features(fo.impurity_importance(model, XS, rows.sparkSession), 2).orderBy("rank").collect()
+    assert [(r.feature, r["rank"]) for r in best] == [(r.feature, i + 1) for i, r in enumerate(importance[:2])]
     shuffled = {r.feature: r for r in fo.permutation_importance(model, frame(pdf), "count", XS, order=["date"], repeats=5).collect()}
     assert max(shuffled.values(), key=lambda r: r.importance_mean).feature == "intent"
     assert all(r.importance_std >= 0 for r in shuffled.values())
