@@ -120,13 +120,18 @@ def sql_crc32(data: str) -> str:
     return f"xor({rest}, 4294967295::BIGINT)"
 
 
-def identified(docs: DataFrame, key: str, text: str, column: str = "_rid") -> DataFrame:
+def doubtful_keys(docs: DataFrame, key: str) -> bool:
+    """Whether a key is null or stands in several rows."""
+    return docs.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull()).limit(1).count() > 0
+
+
+def identified(docs: DataFrame, key: str, text: str, column: str = "_rid", doubtful: bool | None = None) -> DataFrame:
     """``docs`` with a long that orders documents: the key where it is whole and unique, else a dense number by (key, hash of text).
 
-    Rows that agree in key and text are one document and share the number. A null key comes first.
+    Rows that agree in key and text are one document and share the number. A null key comes first. ``doubtful`` is what
+    ``doubtful_keys`` has said, if it was asked before.
     """
-    doubtful = docs.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull()).limit(1).count()
-    if not doubtful:
+    if not (doubtful_keys(docs, key) if doubtful is None else doubtful):
         return docs.withColumn(column, F.col(key).cast("bigint"))
     tied = docs.withColumn("_id_hash", F.xxhash64(text))
     numbers = numbered(tied.select(F.col(key).alias("_id_key"), F.col("_id_hash").alias("_id_of")).distinct(), ["_id_key", "_id_of"], column)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daygauge.llm.common import identified, partitions, query, schema_with, table, written
+from daygauge.llm.common import doubtful_keys, identified, partitions, query, schema_with, table, written
 
 WINDOW = 20
 #: Words of an anchor; a window holds WINDOW - ANCHOR + 1 of them and belongs to the one of the smallest hash.
@@ -259,6 +259,8 @@ def _found(rows: DataFrame, boundaries: bool, spark: SparkSession) -> DataFrame:
 def factors(docs: DataFrame, text: str = "text", rid: str = "_rid") -> DataFrame:
     """``(doc, lo, n)``: every window start ``lo`` to ``lo + n - 1`` of a document that repeats an earlier window of WINDOW words.
 
+    ``rid`` must be unique: a document given twice would repeat itself.
+
     Each document is cut into blocks that its own words define: the windows that share an anchor (their smallest hash of ANCHOR
     words), so equal text is cut alike wherever it stands. The blocks of all documents are the reference, indexed by anchor. A
     document is factored against it block by block: a block whose content stands earlier continues the factor; at the boundary,
@@ -306,8 +308,13 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     key come first, rows with one key are ordered by a hash of the text, rows alike in both are one document. Columns of ``docs``
     named like a result are replaced. An empty table gives no rows.
     """
-    docs = identified(docs.drop("n_words", "n_removed", "kept"), key, text, "_dup_rid")
-    spans = factors(docs, text, "_dup_rid").groupBy(F.col("doc").alias("_dup_doc")).agg(F.collect_list(F.struct("lo", "n")).alias("_dup_spans"))
+    docs = docs.drop("n_words", "n_removed", "kept")
+    doubtful = doubtful_keys(docs, key)
+    docs = identified(docs, key, text, "_dup_rid", doubtful)
+    once = docs.select("_dup_rid", text)
+    if doubtful:  # else rows alike would repeat themselves
+        once = written(once.dropDuplicates(["_dup_rid"]), "documents-once")
+    spans = factors(once, text, "_dup_rid").groupBy(F.col("doc").alias("_dup_doc")).agg(F.collect_list(F.struct("lo", "n")).alias("_dup_spans"))
     joined = (docs.join(spans, F.col("_dup_rid") == F.col("_dup_doc"), "left")
               .withColumns({"_dup_text": F.col(text), "_dup_lo": F.col("_dup_spans.lo"), "_dup_n": F.col("_dup_spans.n")})
               .drop("_dup_doc", "_dup_spans", "_dup_rid"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from daygauge.llm import simhash, substrings
@@ -137,3 +138,11 @@ def test_rows_of_one_id_are_ordered_and_alike_rows_are_one(documents):
     assert removed[-1] == (2, True, 30)
     alike = {n for i, same, n in removed if i == 1 and same}
     assert len(alike) == 1 and sorted(alike | {n for i, same, n in removed if i == 1 and not same}) == [0, 30]
+
+
+@pytest.mark.parametrize("n", [30, substrings.CHUNK_WORDS + 30])  # one chunk for both rows, and one for each
+def test_alike_rows_do_not_repeat_themselves(documents, n):
+    passage = " ".join(f"p{i}" for i in range(n))
+    rows = documents([(1, passage)]).union(documents([(1, passage)])).union(documents([(2, "q " + " ".join(f"p{i}" for i in range(25)))]))
+    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.dedup_substrings(rows).collect()]
+    assert sorted(got) == [(1, n, 0), (1, n, 0), (2, 26, 25)]
