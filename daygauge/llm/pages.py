@@ -24,8 +24,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is no markup; it ends at their end tag.
 RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg math object select".split())
 #: Elements that hold no article text, whatever their paths' ratios are.
-OUTSIDE = frozenset("head nav footer aside form button menu dialog fieldset datalist audio video canvas map applet".split()) | RAW
-#: Words of class, id or role that mark such an element; an article, main, body or html element is never one.
+OUTSIDE = frozenset("head nav footer aside button menu dialog fieldset datalist audio video canvas map applet".split()) | RAW
+#: Words of class, id or role that mark an element (as does being a form), which goes unless it holds what the page is about; an
+#: article, main, body or html element is never one.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu "
     "breadcrumb breadcrumbs footer colophon sidebar aside comment comments disqus reply replies respond cookie cookies consent gdpr notice notices "
@@ -41,11 +42,11 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Leaves that belong to an article whose paragraphs are their siblings, although short.
 COMPANIONS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption".split())
+#: What may stand between such a leaf and the parent of a content path.
+BETWEEN = frozenset("ul ol dl li table thead tbody tfoot tr blockquote figure header hgroup".split())
 
 
 def _marked(attributes: str) -> bool:
-    if _HIDDEN.search(attributes):
-        return True
     for found in _HINTS.finditer(attributes):
         value = found[1] or found[2] or found[3] or ""
         if any(t.lower() in MARKS for t in _TOKEN.findall(value)):
@@ -53,10 +54,22 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """The blocks of text of a page in order: the path of block tags down to each, and its text with single spaces."""
+class _Marks:
+    """Marked elements by the place of their start tag: those around each block, those within an article or main element, and which
+    of these two each of them holds."""
+
+    def __init__(self):
+        self.around: list[tuple[int, ...]] = []
+        self.within: set[int] = set()
+        self.holds: dict[int, set[str]] = {}
+
+
+def _parsed(page: str, kept: frozenset[int] = frozenset(), marks: _Marks | None = None) -> list[tuple[tuple[str, ...], str]]:
+    """The blocks of a page without its marked elements, but for those in ``kept``; with ``marks`` no marked element is left out
+    and ``marks`` is filled."""
     found: list[tuple[tuple[str, ...], str]] = []
     stack: list[tuple[str, bool]] = []
+    open_: list[tuple[int, int]] = []  # depth and place of marked elements
     outside = 0
     parts: list[str] = []
     at = 0
@@ -66,10 +79,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 found.append((tuple(name for name, _ in stack if name not in INLINE), text))
+                if marks is not None:
+                    marks.around.append(tuple(place for _, place in open_))
             parts.clear()
 
     def close(depth: int) -> None:
         nonlocal outside
+        if open_ and open_[-1][0] >= depth:
+            flush()
+            while open_ and open_[-1][0] >= depth:
+                open_.pop()
         while len(stack) > depth:
             outside -= stack.pop()[1]
 
@@ -118,26 +137,35 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             continue
         if attributes.endswith("/"):
             continue
-        drop = name in OUTSIDE or name not in TRUSTED and _marked(attributes)
+        drop = name in OUTSIDE or name not in TRUSTED and _HIDDEN.search(attributes) is not None
         if name == "header":
             drop = drop or not any(n in ("article", "main") for n, _ in stack)
+        if not drop and not outside and (name == "form" or name not in TRUSTED and _marked(attributes)):
+            place = tag.start()
+            if marks is None:
+                drop = place not in kept
+            else:
+                flush()
+                open_.append((len(stack), place))
+                marks.holds[place] = set()
+                if any(n in ("article", "main") for n, _ in stack):
+                    marks.within.add(place)
+        if marks is not None and not outside and not drop and name in ("article", "main"):
+            for _, place in open_:
+                marks.holds[place].add(name)
         stack.append((name, drop))
         outside += drop
     flush()
     return found
 
 
-def main_text(page: str, share: float = 0.5) -> str:
-    """The article of a page.
+def _smooth(x: list[float]) -> list[float]:
+    wide = [x[0], *x, x[-1]]
+    return [(wide[i] + 2 * wide[i + 1] + wide[i + 2]) / 4 for i in range(len(x))]
 
-    Per path of block tags the mean length and the mean number of punctuation marks of its blocks are taken; both are smoothed
-    over neighbouring blocks in page order and fused to their geometric mean, and a path is content if its mean is at least
-    ``share`` of the mean that the characters of the page have. Headings, items and short paragraphs beside content blocks, in the
-    same parent, belong to it. Elements that say what they are (menus, footers, forms, adverts) are left out beforehand.
-    """
-    found = blocks(page)
-    if not found:
-        return ""
+
+def _ratios(found: list[tuple[tuple[str, ...], str]]) -> tuple[dict[tuple[str, ...], list[int]], list[float]]:
+    """By path its blocks, characters and punctuation marks; by block the fused ratio."""
     paths = defaultdict(lambda: [0, 0, 0])
     for path, text in found:
         own = paths[path]
@@ -146,12 +174,62 @@ def main_text(page: str, share: float = 0.5) -> str:
         own[2] += len(_PUNCTUATION.findall(text))
     length = [paths[p][1] / paths[p][0] for p, _ in found]
     marks = [paths[p][2] / paths[p][0] for p, _ in found]
+    return paths, [(a * (1 + b)) ** 0.5 for a, b in zip(_smooth(length), _smooth(marks), strict=True)]
+
+
+def _recalled(found: list[tuple[tuple[str, ...], str]], marks: _Marks) -> frozenset[int]:
+    """The marked elements that hold a main element, most of the page, or an article with more than all unmarked text and than any
+    other marked element beside them.
+
+    Where an article or main element is itself in no marked element, only marked elements in it can hold most of it.
+    """
+    weight = [f * len(t) for f, (_, t) in zip(_ratios(found)[1], found, strict=True)]
+    mass, whole, own, free = defaultdict(float), 0.0, 0.0, 0.0
+    for w, (path, _), around in zip(weight, found, marks.around, strict=True):
+        whole += w
+        for place in around:
+            mass[place] += w
+        if not around:
+            free += w
+        if ("article" in path or "main" in path) and marks.within.issuperset(around):
+            own += w
 
-    def smooth(x: list[float]) -> list[float]:
-        wide = [x[0], *x, x[-1]]
-        return [(wide[i] + 2 * wide[i + 1] + wide[i + 2]) / 4 for i in range(len(x))]
+    heaviest = sorted(mass, key=lambda p: -mass[p])
 
-    fused = [(a * (1 + b)) ** 0.5 for a, b in zip(smooth(length), smooth(marks), strict=True)]
+    def first_beside(place: int) -> float:
+        nested = {p for around in marks.around if place in around for p in around}
+        return next((mass[p] for p in heaviest if p not in nested), 0.0)
+
+    def recalled(place: int) -> bool:
+        if "main" in marks.holds[place]:
+            return True
+        if own:
+            return place in marks.within and mass[place] > own / 2
+        return mass[place] > whole / 2 or "article" in marks.holds[place] and mass[place] > free and mass[place] > first_beside(place)
+
+    return frozenset(place for place in mass if recalled(place))
+
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
+    """The blocks of text of a page in order: the path of block tags down to each, and its text with single spaces."""
+    marks = _Marks()
+    found = _parsed(page, marks=marks)
+    return _parsed(page, _recalled(found, marks)) if marks.holds and found else found
+
+
+def main_text(page: str, share: float = 0.5) -> str:
+    """The article of a page.
+
+    Per path of block tags the mean length and the mean number of punctuation marks of its blocks are taken; both are smoothed
+    over neighbouring blocks in page order and fused to their geometric mean, and a path is content if its mean is at least
+    ``share`` of the mean that the characters of the page have, wherever it stands. Headings, items and short paragraphs beside content
+    blocks, in the same parent, belong to it. Elements that say what they are (menus, footers, forms, adverts) are left out
+    beforehand; a form or an element so named by its class or id stays if it holds what the page is about (``_recalled``).
+    """
+    found = blocks(page)
+    if not found:
+        return ""
+    paths, fused = _ratios(found)
     by_path = defaultdict(list)
     for (path, _), value in zip(found, fused, strict=True):
         by_path[path].append(value)
@@ -161,15 +239,17 @@ def main_text(page: str, share: float = 0.5) -> str:
     best = max(score, key=lambda p: (mass[p], score[p]))
     content = {p for p in score if score[p] >= least} | {best}
     holder = best[:best.index("article") + 1] if "article" in best else best[:best.index("main") + 1] if "main" in best else best[:-1]
-    content = {p for p in content if p[:len(holder)] == holder or p[:-1] == best[:-1]}
     parents = {p[:-1] for p in content}
 
     def belongs(path: tuple[str, ...]) -> bool:
         if path in content:
             return True
         if holder and holder[-1] in ("article", "main"):
-            return path[:len(holder)] == holder
-        return bool(path) and path[-1] in COMPANIONS and any(path[:len(q)] == q for q in parents)
+            if path[:len(holder)] == holder:
+                return True
+        elif path and path[-1] in COMPANIONS and path[:len(holder)] == holder:
+            return True
+        return bool(path) and path[-1] in COMPANIONS and any(path[:k] in parents and BETWEEN.issuperset(path[k:-1]) for k in range(len(path)))
 
     return "\n".join(text for path, text in found if belongs(path))
 

@@ -21,6 +21,23 @@ def test_without_article_element():
     assert main_text(page) == f"Title\n{LONG}\nShort.\n{LONG}"
 
 
+def test_paths_above_the_threshold_stay():
+    page = f"<body><div class=post><h1>T</h1><p>{LONG}</p><div class=entry>" + f"<p>{LONG} More of it, here.</p>" * 4 + "</div></div></body>"
+    assert main_text(page) == "\n".join(["T", LONG] + [LONG + " More of it, here."] * 4)
+
+
+def test_marked_wrappers_of_the_article_stay():
+    rest = f'<div class="comments"><article><p>{LONG}</p></article></div><div class="sidebar"><p>{LONG}</p></div>'
+    body = f"<h2>Title</h2><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+    want = "\n".join(["Title"] + [LONG] * 4)
+    for start, end in (("<div class='content has-sidebar'>", "</div>"), ("<div id='legal-article'><article>", "</article></div>"),
+                       ("<form id=aspnet>", "</form>"), ("<div class=widget-area><main>", "</main></div>"),
+                       ("<article><div class=has-sidebar>", "</div></article>"), ("<span class=share-page>", "</span>")):
+        assert main_text(f"<body>{start}{body}{end}{rest}</body>") == want, start
+    assert main_text(f"<body><article>{body}</article><div class=comments>" + f"<article><p>{LONG}</p></article>" * 9 + "</div></body>") == want
+    assert main_text(f"<body><form style='display:none'>{body}</form><p>Seen.</p></body>") == "Seen."
+
+
 def test_odd_markup():
     assert main_text("") == ""
     assert main_text("<html><body></body></html>") == ""
