@@ -70,7 +70,8 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """Texts with their label: for each class at most ``per_class`` rows that are not held out, chosen by a hash of the id.
 
-    The chosen ids are bounded by the parameter and broadcast; no text is shuffled.
+    The chosen ids are bounded by the parameter and broadcast. An id that stands in several rows gives one, the text of the smallest
+    hash, so it weighs as much as any other; tasks reduce their rows of an id to one before the shuffle.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     order = F.md5(F.col("doc_id").cast("string")), F.col("doc_id")
@@ -78,7 +79,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     for value in (0, 1):
         part = known.where(F.col("_y") == value).orderBy(*order).limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return (rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("_row"), F.max("_y").alias("_y"))
+            .select("doc_id", F.col("_row.text").alias("text"), "_y"))
 
 
 def schema_with(df: DataFrame, *added: tuple[str, T.DataType], without: Sequence[str] = ()) -> T.StructType:

@@ -6,7 +6,7 @@ import zlib
 import pytest
 
 from daygauge.llm import quality, toxicity
-from daygauge.llm.common import table
+from daygauge.llm.common import held_out, table, training_rows
 from daygauge.llm.piecewise import edit_distance
 
 DATA = "/root/testdata/sf0.01"
@@ -77,3 +77,16 @@ def test_misspelled_and_quoted_terms(spark):
     scored = toxicity.score_toxicity(spark.createDataFrame(rows + more, "doc_id bigint, text string"), labels)
     got = {r["doc_id"]: r["predicted"] for r in scored.where("doc_id >= 1000").collect()}
     assert got == {1000: 1, 1001: 0, 1002: 0}
+
+
+def test_training_rows_are_bounded_where_an_id_repeats(spark, documents):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    hot = [r["doc_id"] for r in labels.where(~held_out()).orderBy("doc_id").limit(2).collect()]
+    rows = [(i, f"text {i}") for i in range(60)] + [(hot[0], f"other {i}") for i in range(500)] + [(hot[1], "alike")] * 500
+    for per_class in (5, 100):
+        got = training_rows(documents(rows).repartition(3), labels, "quality", per_class).collect()
+        ids = [r["doc_id"] for r in got]
+        assert len(ids) == len(set(ids)) and all(r["_y"] == r["doc_id"] % 2 for r in got)
+        assert all(sum(r["_y"] == y for r in got) <= per_class for y in (0, 1))
+    assert set(hot) <= set(ids) and len(ids) == labels.where(~held_out()).count()
+    assert {(r["doc_id"], r["text"]) for r in got} <= set(rows)
