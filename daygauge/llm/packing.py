@@ -18,7 +18,8 @@ from daygauge.llm.common import query, table, written
 
 SEQUENCE = 2048
 END = 1
-#: Sources with a queue of their own, the largest by tokens; all others share the queues after them by hash.
+#: Sources with a queue of their own, the largest by tokens, besides those with a given proportion; all others share the queues after
+#: them by hash.
 OWN_QUEUES = 192
 SHARED_QUEUES = 64
 #: Words whose ids a worker keeps.
@@ -231,6 +232,8 @@ def pack(docs: DataFrame, tokenizer: str, proportions: Mapping[str | None, float
 
     Without ``proportions`` the target is the corpus itself, so every sequence has the mixture of the whole and all queues end
     together; with them (positive numbers; a source not listed has the smallest), a queue that ends leaves its share to the rest.
+    Every listed source has its own queue, however small it is. Sources that share a queue follow one another there, so windows hold
+    the share of the queue and not that of each of them.
     The last tokens fill sequences of falling powers of two, so there is no padding.
 
     Returns a row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source``. A null text is empty and
@@ -241,9 +244,9 @@ def pack(docs: DataFrame, tokenizer: str, proportions: Mapping[str | None, float
     parts = written(rows.groupBy("part", "source").agg(F.max(F.col("at") + F.col("n")).alias("tokens")), "part-sources")
     sizes = parts.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     largest = sizes.orderBy(F.desc("tokens"), F.asc_nulls_first("source")).limit(OWN_QUEUES).collect()
-    own = {r["source"]: i for i, r in enumerate(largest)}
+    own = {name: i for i, name in enumerate(dict.fromkeys([*(r["source"] for r in largest), *(proportions or ())]))}
     names = parts.sparkSession.createDataFrame([(k, i) for k, i in own.items()], "_name string, _queue int")
-    shared = F.pmod(F.xxhash64("source"), F.lit(SHARED_QUEUES)).cast("int") + OWN_QUEUES
+    shared = F.pmod(F.xxhash64("source"), F.lit(SHARED_QUEUES)).cast("int") + max(OWN_QUEUES, len(own))
     queued = (parts.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_name")), "left")
               .withColumn("queue", F.coalesce("_queue", shared)).drop("_name", "_queue"))
     before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
@@ -254,8 +257,9 @@ def pack(docs: DataFrame, tokenizer: str, proportions: Mapping[str | None, float
     if proportions is None:
         rates = counts.astype(np.float64)
     else:
-        by_queue = {own[name]: share for name, share in proportions.items() if name in own}
-        rates = np.array([by_queue.get(q, min(proportions.values())) for q in queues], np.float64)
+        by_queue = {own[name]: share for name, share in proportions.items()}
+        held = dict(starts.groupBy("queue").agg(F.count_distinct(F.struct("source"))).collect())  # a struct, so a null source counts
+        rates = np.array([by_queue.get(q, min(proportions.values()) * held[q]) for q in queues], np.float64)
     position = {q: i for i, q in enumerate(queues)}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

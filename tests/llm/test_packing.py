@@ -67,6 +67,17 @@ def test_many_sources_share_queues(documents, tokenizer, monkeypatch):
     checked(packing.pack(documents(rows), tokenizer).collect(), rows, tokenizer)
 
 
+def test_listed_sources_keep_their_proportions(documents, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "OWN_QUEUES", 1)
+    monkeypatch.setattr(packing, "SHARED_QUEUES", 1)
+    rows = [(i, "plain words here " * 200, "a") for i in range(30)] + [(100 + i, "plain words here " * 200, "bcde"[i % 4]) for i in range(40)]
+    by_sequence, _ = checked(packing.pack(documents(rows), tokenizer, proportions={"a": 2.0, "b": 4.0, "c": 1.0}).collect(), rows, tokenizer)
+    first = defaultdict(int)
+    for _, n, s in by_sequence[0]:
+        first[s if s in "abc" else "other"] += n
+    assert all(abs(first[s] - 2048 * share / 9) < 2 for s, share in (("a", 2), ("b", 4), ("c", 1), ("other", 2)))
+
+
 def test_quotas_are_consistent():
     rng = np.random.default_rng(3)
     totals = np.append(rng.integers(1, 10_000, 20), [1, 1, 2])
