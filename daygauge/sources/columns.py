@@ -59,13 +59,58 @@ def read_named(spark: SparkSession, path, *, recursive: bool = True, encoding: s
     return reader.csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
 
 
+def _first_records():
+    """A mapInArrow function from (file, value), the lines of files one after the other, to a bound on the cells of each first record."""
+    def run(it):
+        import pyarrow as pa
+
+        file, quoted, done, commas, cells = None, False, True, 0, 1
+
+        def result(n):
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        for batch in it:
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != file:
+                    if not done:  # the last file ends within a quote
+                        yield result(cells)
+                    file, quoted, done, commas, cells = name, False, False, 0, 1
+                if done or not quoted and not line.strip("\ufeff \t"):
+                    continue
+                if not quoted and not commas:
+                    line = line.lstrip("\ufeff")
+                commas += line.count(",")
+                at = 0
+                while True:
+                    if not quoted and line.startswith('"', at):
+                        quoted, at = True, at + 1
+                    if quoted:
+                        end = line.find('"', at)
+                        while end >= 0 and line.startswith('"', end + 1):
+                            end = line.find('"', end + 2)
+                        if end < 0:
+                            break
+                        quoted, at = False, end + 1
+                    at = line.find(",", at) + 1
+                    if not at:
+                        break
+                    cells += 1
+                if not quoted:
+                    done = True
+                    yield result(commas + 1)
+        if not done:
+            yield result(cells)
+
+    return run
+
+
 def widest(spark: SparkSession, path, *, recursive: bool = True, headers: bool = False) -> int:
-    """Most cells a line of the files can have, by its commas; with ``headers`` only the first line of each file counts."""
+    """Most cells a line of the files can have, by its commas; with ``headers`` only the first record of each file counts, which
+    goes on over line breaks in quotes."""
     lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv").text(path)
     if headers:
-        lines = (lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                              F.monotonically_increasing_id().alias("_line")).where("_block = 0")
-                 .groupBy("_file").agg(F.min_by("value", "_line").alias("value")))
+        tops = lines.select(F.col("_metadata.file_path").alias("_file"), "value", F.col("_metadata.file_block_start").alias("_block")).where("_block = 0")
+        return tops.select("_file", "value").mapInArrow(_first_records(), "n bigint").agg(F.max("n")).first()[0] or 1
     commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
     return (lines.agg(F.max(commas)).first()[0] or 0) + 1
 

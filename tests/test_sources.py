@@ -158,3 +158,12 @@ def test_a_later_line_like_the_header_is_data(spark, tmp_path):
     (tmp_path / "s.csv").write_text("name,n\nx,1\nname,n\n")
     rows = cl.cells_by_header(cl.read_cells(spark, str(tmp_path)), {"n": cl.named("n")})
     assert sorted(r.n for r in rows.collect()) == ["1", "n"]
+
+
+def test_headers_with_line_breaks_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,"place\nof ""stay"", in town","third\r\n\nline",b,wanted\n1,"x\ny",z,,yes\n')
+    (tmp_path / "b.csv").write_text('\nid,5" pipe,c\n1,2,3\n')
+    (tmp_path / "c.csv").write_text("")
+    cells = cl.read_cells(spark, str(tmp_path), multiline=True)
+    rows = cl.cells_by_header(cells, {"wanted": cl.named("wanted"), "c": cl.named("c")}).select("wanted", "c").collect()
+    assert {tuple(r) for r in rows} == {("yes", None), (None, "3")} and len(rows) == 2
