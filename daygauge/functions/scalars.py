@@ -85,15 +85,10 @@ def weather_severity(precip: ColumnLike, wind: ColumnLike, light: float = 0.0, h
     return F.least(F.lit(3), flag(precip > light) + flag(precip > heavy) + flag(wind > strong))
 
 
-#: Published coefficients of the index: of the temperature, of the product of both, of the humidity, and the constant. Fixed values.
-DISCOMFORT = (0.81, 0.01 * 0.99, 0.01 * -14.3, 46.3)
-
-
-def discomfort_index(temp: ColumnLike, humidity: ColumnLike, terms: Sequence[float] = DISCOMFORT) -> Column:
-    """Temperature-humidity index: a bilinear form of degrees and percent."""
-    by_temp, by_both, by_humidity, base = terms
+def discomfort_index(temp: ColumnLike, humidity: ColumnLike) -> Column:
+    """Temperature-humidity index of degrees and percent, as published; its coefficients are fixed values."""
     t, h = _c(temp), _c(humidity)
-    return t * by_temp + t * h * by_both + h * by_humidity + base
+    return 0.81 * t + 0.01 * h * (0.99 * t - 14.3) + 46.3
 
 
 def wind_chill(temp: ColumnLike, wind_ms: ColumnLike) -> Column:

@@ -38,10 +38,15 @@ def pearson_test(df: DataFrame, a: str, b: str, *, series=None, min_rows: int =
     return out.where(F.col("n") >= min_rows).withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
-def average_rank(column: str, by: Sequence[str]) -> Column:
-    """Rank within the group with ties averaged."""
-    ties = Window.partitionBy(*by, column)
-    return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count("*").over(ties) - 1) / 2
+#: Decimals of a rank key: values that differ by less count as tied, so that ranks do not hang on the last bit of a sum.
+RANK_DECIMALS = 9
+
+
+def average_rank(column: str, by: Sequence[str], decimals: int = RANK_DECIMALS) -> Column:
+    """Rank within the group with ties averaged; values that agree after rounding to ``decimals`` are tied."""
+    key = F.round(F.col(column).cast("double"), decimals)
+    ties = Window.partitionBy(*by, key)
+    return F.rank().over(Window.partitionBy(*by).orderBy(key)) + (F.count("*").over(ties) - 1) / 2
 
 
 def spearman(days: DataFrame, pairs: Sequence[tuple[str, str]], *, series=None, min_rows: int = 3) -> DataFrame:

@@ -16,7 +16,7 @@ from daygauge.operators import text as tx
 from daygauge.plans.models import SITE_FIT
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import (ALL_TEXT, ANSWERS, CROWD_WORDS, FEATURES, FEW, INTENT, QUIET_WORDS, RANKS, SITES, SPEND, TEXTS,
-                                  USD_RATE, WORDS, answers, count_days, day_table, feature_table, intent_days, landed_days, readings, sql_any, sql_corr_p, sql_days,
+                                  USD_RATE, WORDS, answers, count_days, day_table, feature_table, intent_days, landed_days, readings, sql_any, sql_corr_p, sql_days, sql_rank,
                                   sql_features, sql_ols, sql_predicted, texts, weather_days)
 from daygauge.plans.statistics import sql_chi2_p
 from daygauge.plans.tables import SITE_MODEL, WIDE, site_model, three_sites
@@ -85,14 +85,10 @@ SAT = "sat AS (SELECT date, avg(satisfaction) AS mean_satisfaction, count(satisf
 
 
 def sql_spearman(source: str, pairs, by: str = "site") -> str:
-    key, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
-    group = f" GROUP BY {by}" if by else ""
-    ties = f"PARTITION BY {by}, " if by else "PARTITION BY "
+    key, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     rows = []
     for x, y in pairs:
-        def rank(c):
-            return f"rank() OVER ({part}ORDER BY {c}) + (count(*) OVER ({ties}{c}) - 1) / 2.0::DOUBLE"
-        rows.append(f"SELECT {key}'{x}' AS x, '{y}' AS y, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT {key}{rank(x)} AS rx, {rank(y)} AS ry "
+        rows.append(f"SELECT {key}'{x}' AS x, '{y}' AS y, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT {key}{sql_rank(x, by)} AS rx, {sql_rank(y, by)} AS ry "
                     f"FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL){group}")
     return f"spear AS ({' UNION ALL '.join(rows)})"
 
@@ -294,7 +290,7 @@ RESILIENCE = f"""rows AS (SELECT date, satisfaction AS s, {sql_any(SITE_TEXT, CR
 c AS (SELECT count(*) AS n_responses, count(*) FILTER (WHERE s IN (4, 5)) AS n_high, count(*) FILTER (WHERE s IN (1, 2)) AS n_low, count(*) FILTER (WHERE crowd) AS n_crowd,
   count(*) FILTER (WHERE crowd AND s IN (1, 2)) AS n_crowd_low, count(*) FILTER (WHERE quiet AND s IN (1, 2)) AS n_quiet_low FROM rows),
 d AS (SELECT date, count(s) AS n, avg(s) AS mean_sat FROM rows WHERE s IS NOT NULL GROUP BY date HAVING count(s) >= 3),
-r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY mean_sat) + (count(*) OVER (PARTITION BY mean_sat) - 1) / 2.0::DOUBLE AS ry FROM d),
+r AS (SELECT {sql_rank('n')} AS rx, {sql_rank('mean_sat')} AS ry FROM d),
 l AS (SELECT count(*) AS n_days, corr(rx, ry) AS rho FROM r)"""
 
 

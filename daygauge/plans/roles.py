@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daygauge.operators.association import RANK_DECIMALS
 from daygauge.operators import daily as dl
 from daygauge.operators import features as ft
 from daygauge.session import durable
@@ -236,6 +237,13 @@ def sql_t_p(t: str, df: str, steps: int = 4000) -> str:
     return f"2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * ({area})"
 
 
+def sql_rank(column: str, by: str = "") -> str:
+    """Average rank of values that agree to RANK_DECIMALS decimals."""
+    key, part = f"round(({column})::DOUBLE, {RANK_DECIMALS})", f"PARTITION BY {by} " if by else ""
+    ties = f"PARTITION BY {by}, {key}" if by else f"PARTITION BY {key}"
+    return f"rank() OVER ({part}ORDER BY {key}) + (count(*) OVER ({ties}) - 1) / 2.0::DOUBLE"
+
+
 def sql_corr_p(r: str, n: str) -> str:
     return sql_t_p(f"({r} * sqrt(({n} - 2) / ((1 - {r}) * (1 + {r}))))", f"({n} - 2)")
 

@@ -12,7 +12,7 @@ from daygauge.operators import robustness as rb
 from daygauge.operators import sites as st
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import (ANSWERS, HOURS, INTENT, READINGS, TEXTS, WORDS, answers, count_days, day_table, feature_table,
-                                  hours, readings, sql_any, sql_corr_p, sql_days, sql_features, table, texts)
+                                  hours, readings, sql_any, sql_corr_p, sql_days, sql_rank, sql_features, table, texts)
 
 CCF_LAGS = range(-3, 8)
 
@@ -83,8 +83,7 @@ def _(spark, sf):
 
 
 @query("spearman_by_site", f"""WITH {sql_days(True)}, ranked AS (SELECT site,
-  rank() OVER (PARTITION BY site ORDER BY {INTENT}) + (count(*) OVER (PARTITION BY site, {INTENT}) - 1) / 2.0::DOUBLE AS rx,
-  rank() OVER (PARTITION BY site ORDER BY count) + (count(*) OVER (PARTITION BY site, count) - 1) / 2.0::DOUBLE AS ry
+  {sql_rank(INTENT, 'site')} AS rx, {sql_rank('count', 'site')} AS ry
   FROM days WHERE {INTENT} IS NOT NULL),
 s AS (SELECT site, corr(rx, ry) AS rho, count(*) AS n FROM ranked GROUP BY site)
 SELECT site, '{INTENT}' AS x, 'count' AS y, rho, n, {sql_corr_p('rho', 'n')} AS p FROM s""", r6("rho", "p"))

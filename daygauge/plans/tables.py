@@ -19,7 +19,7 @@ from daygauge.operators import sites as st
 from daygauge.operators import text as tx
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import (ANSWERS, HOURS, INTENT, READINGS, SITE_SEVERITY, SITES, TEXTS, WORDS, answers, count_days, day_table,
-                                  feature_table, holidays, hours, intent_days, joined_sources, model_table, readings, sql_any, sql_days, sql_features,
+                                  feature_table, holidays, hours, intent_days, joined_sources, model_table, readings, sql_any, sql_days, sql_rank, sql_features,
                                   table, texts, weather_days, ALL_TEXT, FEATURES)
 from daygauge.session import durable
 from daygauge.sources import columns as cl
@@ -472,7 +472,7 @@ def _(spark, sf):
         ft.shifted("count", k, w).alias(f"shift_{'m' if k < 0 else ''}{abs(k)}") for k in (-3, -1, 0, 7)])
 
 
-@query("average_ranks", f"""WITH {sql_days(True)} SELECT site, date, rank() OVER (PARTITION BY site ORDER BY count) + (count(*) OVER (PARTITION BY site, count) - 1) / 2.0::DOUBLE AS rank FROM days""", r6("rank"))
+@query("average_ranks", f"""WITH {sql_days(True)} SELECT site, date, {sql_rank('count', 'site')} AS rank FROM days""", r6("rank"))
 def _(spark, sf):
     return count_days(spark, sf, "site").select("site", "date", asc.average_rank("count", ["site"]).alias("rank"))
 

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from daygauge.operators.association import average_rank
 from daygauge.operators import comfort as cf
 from daygauge.operators import gap as gp
 from daygauge.operators import sites as st
@@ -187,3 +188,9 @@ def test_tables_of_results(spark):
     assert [r["rank"] for r in sk.rank_by_size(rows, "value", "metric").orderBy("rank").collect()] == [1, 2, 3]
     odd = spark.createDataFrame([(float("inf"), float("nan"), 1.0)], "a double, b double, c double")
     assert tuple(sk.finite(odd).first()) == (None, None, 1.0)
+
+
+def test_ranks_do_not_hang_on_the_last_bit(spark):
+    values = [(0.1 + 0.2, 1), (0.3, 2), (0.7, 3), (0.30000001, 4)]
+    ranks = spark.createDataFrame(values, "v double, k int").select("k", average_rank("v", []).alias("r")).collect()
+    assert {r["k"]: r["r"] for r in ranks} == {1: 1.5, 2: 1.5, 3: 4.0, 4: 3.0}
