@@ -89,6 +89,14 @@ def schema_with(df: DataFrame, *added: tuple[str, T.DataType], without: Sequence
     return T.StructType([f for f in df.schema if f.name not in without] + [T.StructField(name, kind) for name, kind in added])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as the table has such a column (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A mapInArrow function from one on single batches."""
 
