@@ -49,16 +49,16 @@ def numbered(df: DataFrame, keys: Sequence[str], column: str = "row") -> DataFra
     Rows are placed by range with a tie-breaker, so rows that share a key spread over tasks. The window sees one row per
     partition. Both passes read written tables, so a number once given stays.
     """
-    base = written(df.withColumn("_tie", F.monotonically_increasing_id()), "tied")
-    place = [*keys, "_tie"]
+    tie, part, at, n, start = (free_name(df, name) for name in ("_tie", "_part", "_at", "_n", "_start"))
+    base = written(df.withColumn(tie, F.monotonically_increasing_id()), "tied")
+    place = [*keys, tie]
     placed = written(
         base.repartitionByRange(partitions(df.sparkSession), *place).sortWithinPartitions(*place)
-        .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-        .withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "placed")
-    starts = (placed.groupBy("_part").agg(F.count("*").alias("_n"))
-              .select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-                                          F.lit(0)).alias("_start")))
-    return placed.join(starts, "_part").withColumn(column, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start", "_tie")
+        .withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()})
+        .withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1))), "placed")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part).agg(F.count("*").alias(n)).select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    return placed.join(starts, part).withColumn(column, F.col(start) + F.col(at)).drop(part, at, start, tie)
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -133,7 +133,8 @@ def sql_crc32(data: str) -> str:
 
 def doubtful_keys(docs: DataFrame, key: str) -> bool:
     """Whether a key is null or stands in several rows."""
-    return docs.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull()).limit(1).count() > 0
+    counts = docs.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    return counts.where("n > 1 OR key IS NULL").limit(1).count() > 0
 
 
 def identified(docs: DataFrame, key: str, text: str, column: str = "_rid", doubtful: bool | None = None) -> DataFrame:
@@ -144,7 +145,7 @@ def identified(docs: DataFrame, key: str, text: str, column: str = "_rid", doubt
     """
     if not (doubtful_keys(docs, key) if doubtful is None else doubtful):
         return docs.withColumn(column, F.col(key).cast("bigint"))
-    tied = docs.withColumn("_id_hash", F.xxhash64(text))
-    numbers = numbered(tied.select(F.col(key).alias("_id_key"), F.col("_id_hash").alias("_id_of")).distinct(), ["_id_key", "_id_of"], column)
-    return (tied.join(numbers, F.col(key).eqNullSafe(F.col("_id_key")) & (F.col("_id_hash") == F.col("_id_of")))
-            .drop("_id_key", "_id_of", "_id_hash"))
+    hashed, k, h = (free_name(docs, name) for name in ("_id_hash", "_id_key", "_id_of"))
+    tied = docs.withColumn(hashed, F.xxhash64(text))
+    numbers = numbered(tied.select(F.col(key).alias(k), F.col(hashed).alias(h)).distinct(), [k, h], column)
+    return tied.join(numbers, F.col(key).eqNullSafe(F.col(k)) & (F.col(hashed) == F.col(h))).drop(k, h, hashed)

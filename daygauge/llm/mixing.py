@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygauge.llm.common import partitions, query, table, written
+from daygauge.llm.common import doubtful_keys, free_name, numbered, partitions, query, table, written
 
 #: A rate is split into equal parts up to this size, so that exp(-part) stays far from the smallest double.
 PART_RATE = 16.0
@@ -32,12 +32,34 @@ def target_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, de
         weight = F.sqrt("chars") if temperature == 0.5 else F.pow(F.col("chars"), F.lit(float(temperature)))
     else:
         weight = F.lit(float(default_weight))
-        for name, value in weights.items():
-            weight = F.when(F.col("source") == name, float(value)).otherwise(weight)
+        if weights:
+            given = F.array(*[F.struct(F.lit(name).cast("string").alias("_name"), F.lit(float(value)).alias("_weight")) for name, value in weights.items()])
+            listed = docs.sparkSession.range(1).select(F.inline(given))
+            sizes = sizes.join(listed, F.col("source").eqNullSafe(F.col("_name")), "left").drop("_name")
+            weight = F.coalesce("_weight", weight)
     sized = sizes.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(0.0))
     chars, total = sized.agg(F.sum("chars"), F.sum("weight")).first()
     share = F.col("weight") / F.lit(float(total or 1.0))
-    return sized.withColumn("rate", F.when(F.col("chars") > 0, share * F.lit(float(epoch) * (chars or 0)) / F.col("chars")).otherwise(0.0))
+    rate = F.when(F.col("chars") > 0, share * F.lit(float(epoch) * (chars or 0)) / F.col("chars")).otherwise(0.0)
+    return sized.select("source", "chars", "weight", rate.alias("rate"))
+
+
+def occurrences(docs: DataFrame, key: str, text: str, source: str, column: str) -> DataFrame:
+    """``docs`` with the number, from 0, that tells rows of one key and text apart: 0 in all rows where keys are whole and unique.
+
+    Else rows that stand more than once are numbered in a written table, by range, so a group of any size spreads over tasks.
+    """
+    if not doubtful_keys(docs, key):
+        return docs.withColumn(column, F.lit(0).cast("bigint"))
+    hashed, k, h, row, first = (free_name(docs, name) for name in ("_mix_hash", "_mix_k", "_mix_h", "_mix_row", "_mix_first"))
+    rows = docs.withColumn(hashed, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    groups = written(rows.groupBy(F.col(key).alias(k), F.col(hashed).alias(h)).agg(F.count("*").alias("n")).where("n > 1").select(k, h), "repeated-rows")
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.col(hashed) == F.col(h))
+    single = rows.join(groups, same, "left_anti").withColumn(column, F.lit(0).cast("bigint"))
+    placed = written(numbered(rows.join(groups, same, "left_semi"), [key, hashed, source], row), "numbered-rows")
+    firsts = placed.groupBy(F.col(key).alias(k), F.col(hashed).alias(h)).agg(F.min(row).alias(first))
+    again = placed.join(firsts, same).withColumn(column, F.col(row) - F.col(first)).drop(k, h, row, first)
+    return single.unionByName(again).drop(hashed)
 
 
 def _with_distribution(rates: DataFrame) -> DataFrame:
@@ -65,35 +87,41 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, default_wei
 
     A document's uniform number is a hash of seed, key and text, so its count is reproducible and needs no other row; the count is
     the inverse of the Poisson distribution whose mean is the rate of its source (``target_rates``), a rate above 16 as a sum of
-    parts. Rows are exploded by their count and placed by range of ``shuffle_key``, a hash of seed, key, text and copy.
+    parts. Rows are exploded by their count and placed by range of ``shuffle_key``, a hash of seed, key, text and copy. Rows of one
+    key and text are numbered, and the number goes into both hashes: they draw one by one and spread like others.
 
     Returns the columns of ``docs`` with ``copy`` (from 1), ``copies`` and ``shuffle_key``; columns of ``docs`` with these names
-    are replaced. Null keys and texts hash as empty; repeated rows draw alike and tie in the order; an empty table gives no rows.
+    are replaced. ``weights`` may name the null source. Null keys and texts hash as empty; an empty table gives no rows.
     """
     rates = written(_with_distribution(target_rates(docs, weights, default_weight, epoch, temperature, source, text))
-                    .select(F.col("source").alias("_mix_source"), F.col("_parts").alias("_mix_parts"), F.col("_cdf").alias("_mix_cdf")), "rates")
+                    .select("source", F.col("_parts").alias("parts"), F.col("_cdf").alias("cdf")), "rates")
     docs = docs.drop(*OWN)
-    same = F.col(source).eqNullSafe(F.col("_mix_source"))
+    nth, name, parts, cdf, salt, own = (free_name(docs, n) for n in ("_mix_nth", "_mix_source", "_mix_parts", "_mix_cdf", "_mix_salt", "_mix_own"))
+    columns = docs.columns
+    docs = occurrences(docs, key, text, source, nth)
+    rates = rates.toDF(name, parts, cdf)
+    same = F.col(source).eqNullSafe(F.col(name))
     if rates.count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(rates), same)
     else:
-        salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = F.pmod(F.xxhash64(key, F.col(text)), F.lit(SALTS)).cast("int")
-        joined = docs.withColumn("_mix_own", own).join(salted, same & (F.col("_mix_own") == F.col("_mix_salt"))).drop("_mix_own", "_mix_salt")
-    ident = F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    uniforms = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")),
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn(own, F.pmod(F.xxhash64(key, text, nth), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(own) == F.col(salt)))
+    hashed = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    hashed = F.when(F.col(nth) == 0, hashed).otherwise(F.concat(hashed, F.lit("#"), F.col(nth).cast("string")))
+    ident = F.coalesce(F.col(key).cast("string"), F.lit("")), hashed
+    uniforms = F.transform(F.sequence(F.lit(1), F.col(parts)),
                            lambda j: _bits(F.lit(str(seed)), F.lit("draw"), *ident, j.cast("string")) / F.lit(float(1 << 52)))
-    count = F.aggregate(uniforms, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= u)))
+    count = F.aggregate(uniforms, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
     return (joined.withColumn("copies", count).where("copies > 0")
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
             .withColumn("shuffle_key", _bits(F.lit(str(seed)), F.lit("place"), *ident, F.col("copy").cast("string")))
-            .drop("_mix_source", "_mix_parts", "_mix_cdf")
+            .select(*columns, "copies", "copy", "shuffle_key")
             .repartitionByRange(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key", key, "copy"))
 
 
 def mix_sql(documents: str = "documents", seed: int = 7) -> str:
     """DuckDB: the rows of ``mix`` with its defaults."""
-    ident = "coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))"
+    ident = "coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || CASE WHEN _nth > 0 THEN '#' || _nth::VARCHAR ELSE '' END"
     bits = lambda what, last: f"('0x' || substr(md5('{seed}:{what}:' || {ident} || ':' || {last}), 1, 13))::BIGINT"
     return f"""
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0))::BIGINT AS chars FROM {documents} GROUP BY source),
@@ -103,14 +131,14 @@ parted AS (SELECT source, rate, greatest(ceil(rate / {PART_RATE}), 1)::INT AS pa
 cdf AS (
   SELECT source, k, sum(exp(-rate / parts) * pow(rate / parts, k) / gamma(k + 1.0)) OVER (PARTITION BY source ORDER BY k) AS c
   FROM parted, range(0, {ENTRIES}) AS ks(k)),
-numbers AS (SELECT *, row_number() OVER () AS _row FROM {documents}),
+numbers AS (SELECT *, row_number() OVER () AS _row, row_number() OVER (PARTITION BY doc_id, coalesce(text, '') ORDER BY source NULLS FIRST) - 1 AS _nth FROM {documents}),
 drawn AS (
   SELECT d._row, {bits("draw", "j::VARCHAR")} / {float(1 << 52)} AS u, d.source
   FROM numbers d JOIN parted p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, p.parts + 1)) AS js(j)),
 counted AS (
   SELECT _row, count(c.k)::INT AS copies FROM drawn d LEFT JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.c <= d.u GROUP BY _row),
-copied AS (SELECT n.* EXCLUDE (_row), copies, unnest(range(1, copies + 1))::INT AS copy FROM numbers n JOIN counted USING (_row))
-SELECT *, {bits("place", "copy::VARCHAR")} AS shuffle_key FROM copied"""
+copied AS (SELECT n.*, copies, unnest(range(1, copies + 1))::INT AS copy FROM numbers n JOIN counted USING (_row))
+SELECT * EXCLUDE (_row, _nth), {bits("place", "copy::VARCHAR")} AS shuffle_key FROM copied"""
 
 
 @query("op9_mixing", mix_sql())

@@ -5,6 +5,8 @@ import math
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from daygauge.llm import mixing, sharding
 
 
@@ -90,3 +92,29 @@ def test_many_sources_join_by_salt(documents, monkeypatch):
     small = mixing.mix(documents(rows)).select("doc_id", "copy").collect()
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
     assert sorted(mixing.mix(documents(rows)).select("doc_id", "copy").collect()) == sorted(small)
+
+
+def test_repeated_rows_draw_one_by_one(spark, documents):
+    rows = [(None, "one text of many rows", "hot")] * 6000 + [(1, "some other words", None), (2, "more", "b")]
+    docs = documents(rows).repartition(5)
+    got = mixing.mix(docs, weights={"hot": 1.0, None: 3.0, "b": 1.0}, epoch=1.0, seed=2)
+    sizes = {"hot": 6000 * 21, None: 16, "b": 4}
+    rate = 1.0 / 5.0 * sum(sizes.values()) / sizes["hot"]
+    hot = got.where("source = 'hot'")
+    n = hot.count()
+    assert abs(n - 6000 * rate) < 5 * math.sqrt(6000 * rate)
+    assert hot.select("shuffle_key").distinct().count() > 0.99 * n
+    parts = [len(p) for p in got.rdd.glom().collect()]
+    assert max(parts) < 0.5 * sum(parts)
+    assert got.where("source IS NULL").count() > 1000  # three fifths of the corpus from 16 code points
+    assert sorted(got.select("doc_id", "shuffle_key").collect(), key=str) == sorted(
+        mixing.mix(docs.repartition(3), weights={"hot": 1.0, None: 3.0, "b": 1.0}, epoch=1.0, seed=2).select("doc_id", "shuffle_key").collect(), key=str)
+
+
+def test_inner_names_give_way(documents):
+    docs = documents([(i % 5, "word " * (i % 3 + 1), "ab"[i % 2]) for i in range(30)])
+    for name in ("_mix_nth", "_mix_source", "_mix_parts", "_mix_cdf", "_MIX_SALT", "_mix_hash", "_tie", "_part", "_n"):
+        docs = docs.withColumn(name, F.lit(1))
+    got = mixing.mix(docs)
+    assert got.columns == [*(c for c in docs.columns if c not in mixing.OWN), "copies", "copy", "shuffle_key"]
+    assert got.count() > 0 and got.where("_mix_nth <> 1 OR _tie <> 1").count() == 0
