@@ -19,15 +19,16 @@ FACTOR = 0.5
 
 
 class VantageTree:
-    """A balanced tree over row vectors by Euclidean distance; ``search`` walks it for many queries at once."""
+    """A balanced tree by Euclidean distance over row vectors of one length, whose last component makes it so; ``search`` walks it for
+    many queries at once. ``ids`` decide between points of equal inner product.
+    """
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, square: float):
         self.order = np.arange(len(points))
-        self.points = points
+        self.points, self.square = points, square
         self.nodes: list[tuple] = []
         self._build(0, len(points))
-        self.points = points[self.order]
-        self.squares = (self.points * self.points).sum(axis=1)
+        self.plain, self.ids = np.ascontiguousarray(points[self.order, :-1]), ids[self.order]
 
     def _build(self, low: int, high: int) -> int:
         number = len(self.nodes)
@@ -47,21 +48,30 @@ class VantageTree:
         self.nodes[number] = (low, high, vantage, near.max(), far.min(), far.max(), left, right)
         return number
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (in the order given to the tree, -1 for none) and squared distances of the k nearest points of each query.
+    def search(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
+        """Positions (in the order given to the tree, -1 for none) of the k points of largest inner product with each query; of equal
+        products those of smallest id.
 
-        A side of a node is left out if its distance from the query, by the triangle inequality, is over ``factor`` times the
-        k-th best distance so far: with 1 the search is exact, below 1 more is left out.
+        A query, scaled to the length of the points, and the points lie on one sphere, so products are distances. A side of a node is
+        left out if its distance from the query, by the triangle inequality, is over ``factor`` times the k-th best distance so far:
+        with 1 the search is exact, below 1 more is left out.
         """
-        best = np.full((len(queries), k), np.inf)
+        best = np.full((len(queries), k), np.inf)  # products with their sign turned
         at = np.full((len(queries), k), -1)
-        norms = (queries * queries).sum(axis=1)
+        scale = np.sqrt(self.square) / np.linalg.norm(queries, axis=1)
+        scaled = np.column_stack((queries * scale[:, None], np.zeros(len(queries))))
+        unknown = np.iinfo(np.int64).max
 
         def leaf(low: int, high: int, rows: np.ndarray) -> None:
-            d = np.maximum(norms[rows, None] + self.squares[None, low:high] - 2 * queries[rows] @ self.points[low:high].T, 0.0)
-            everything = np.concatenate((best[rows], d), axis=1)
-            where = np.concatenate((at[rows], np.broadcast_to(np.arange(low, high), d.shape)), axis=1)
+            products = -(queries[rows] @ self.plain[low:high].T)
+            everything = np.concatenate((best[rows], products), axis=1)
+            where = np.concatenate((at[rows], np.broadcast_to(np.arange(low, high), products.shape)), axis=1)
             chosen = np.argpartition(everything, k - 1, axis=1)[:, :k]
+            last = np.take_along_axis(everything, chosen, 1).max(axis=1)
+            tied = np.flatnonzero(np.isfinite(last) & ((everything <= last[:, None]).sum(axis=1) > k))
+            if len(tied):
+                ids = np.where(where[tied] >= 0, self.ids[where[tied]], unknown)
+                chosen[tied] = np.lexsort((ids, everything[tied]), axis=1)[:, :k]
             best[rows], at[rows] = np.take_along_axis(everything, chosen, 1), np.take_along_axis(where, chosen, 1)
 
         def visit(number: int, rows: np.ndarray) -> None:
@@ -72,17 +82,17 @@ class VantageTree:
                 leaf(*node, rows)
                 return
             _, _, vantage, near_most, far_least, far_most, left, right = node
-            d = np.sqrt(np.maximum(((queries[rows] - vantage) ** 2).sum(axis=1), 0.0))
+            d = np.sqrt(np.maximum(((scaled[rows] - vantage) ** 2).sum(axis=1), 0.0))
             inside = d <= (near_most + far_least) / 2
             visit(left, rows[inside])
             visit(right, rows[~inside])
             to_left, to_right = np.maximum(d - near_most, 0.0), np.maximum(np.maximum(far_least - d, d - far_most), 0.0)
-            reach = factor * np.sqrt(best[rows].max(axis=1))
+            reach = factor * np.sqrt(np.maximum(2 * (self.square + scale[rows] * best[rows].max(axis=1)), 0.0)) + 1e-7 * np.sqrt(self.square)
             visit(left, rows[~inside & (to_left <= reach)])
             visit(right, rows[inside & (to_right <= reach)])
 
         visit(0, np.arange(len(queries)))
-        return np.where(at >= 0, self.order[at], -1), best
+        return np.where(at >= 0, self.order[at], -1)
 
 
 def _packed(**arrays: np.ndarray) -> bytes:
@@ -97,12 +107,11 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Distinct ``(vec_id, v)`` of the vectors that take part: a key, as many finite components as most have, not all zero."""
+    """Distinct ``(vec_id, v, d)`` of the vectors that take part: a key, finite components, not all zero; d is their number."""
     clean = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0))
-    sizes = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return written(clean.where(F.size("v") == (sizes["d"] if sizes else 0)).dropDuplicates(["vec_id", "v"]), "vectors")
+    return written(clean.dropDuplicates(["vec_id", "v"]).withColumn("d", F.size("v")), "vectors")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = FACTOR, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -111,17 +120,23 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = FA
     Inner products become distances by one more component, the root of what a vector's square lacks to the largest; the query has
     none there. Equal vectors are one point with their smallest keys (k + 1 of them, more can never be asked for), so thousands of
     copies cost one. Points are dealt to shards by hash; each shard gets a tree of all its points, queries visit every shard in
-    blocks, and per query the best of all shards remain. ``factor`` 1 gives the exact result, less leaves out subtrees sooner.
+    blocks, and per query the best of all shards remain; of equal products the smaller key goes first. ``factor`` 1 gives the exact
+    result, less leaves out subtrees sooner.
 
-    Null, zero or non-finite vectors, vectors of another length than most and null keys take no part; repeated rows count once; an
-    empty table gives no rows.
+    Null, zero or non-finite vectors and null keys take no part; vectors of each length are searched among themselves; repeated rows
+    count once; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     points = usable(vectors, key, vector)
-    count, square = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    if not count:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    top, keep = float(square), k + 1
+    found = None
+    for r in sorted(points.groupBy("d").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).collect()):
+        part = _nearest(points.where(F.col("d") == r["d"]), r["n"], r["square"], k, every, factor)
+        found = part if found is None else found.unionAll(part)
+    return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double") if found is None else found
+
+
+def _nearest(points: DataFrame, count: int, square: float, k: int, every: int, factor: float) -> DataFrame:
+    """``nearest`` for vectors of one length."""
+    spark, top, keep = points.sparkSession, float(square), k + 1
     first = Window.partitionBy("v").orderBy("vec_id")
     distinct = (points.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= keep).groupBy("v")
                 .agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
@@ -149,11 +164,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = FA
                 if shard.as_py() != last:
                     data = np.load(io.BytesIO(stored.as_py()))
                     last, ids, sizes, raw = shard.as_py(), data["ids"], data["sizes"], data["v"]
-                    tree, starts = VantageTree(raw), np.cumsum(data["sizes"]) - data["sizes"]
+                    starts = np.cumsum(sizes) - sizes
+                    tree = VantageTree(raw, ids[starts], top)
                 q = np.load(io.BytesIO(asked_.as_py()))
-                own = np.column_stack((q["v"], np.zeros(len(q["v"]))))
-                scaled = own * (np.sqrt(top) / np.linalg.norm(own, axis=1))[:, None]
-                at, _ = tree.search(scaled, min(keep, len(raw)), factor)
+                at = tree.search(q["v"], min(keep, len(raw)), factor)
                 row, column = np.nonzero(at >= 0)
                 point = at[row, column]
                 score = (raw[point, :-1] * q["v"][row]).sum(axis=1)

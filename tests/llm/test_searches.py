@@ -96,3 +96,20 @@ def test_recall_of_the_default_factor(spark, sf_dir):
     want = {(q, j) for q, _, j, _ in brute(rows, 20, 20)}
     got = {(r["query_id"], r["vec_id"]) for r in nearest.nearest(frame).collect()}
     assert len(got & want) / len(want) >= 0.9
+
+
+def test_ties_of_products_go_by_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.integers(-1, 2, size=12).astype(float).tolist()) for i in rng.permutation(3000)]
+    rows += [(5000 + i, rng.integers(-1, 2, size=5).astype(float).tolist()) for i in range(60)]  # another length, for itself
+    got = {}
+    for r in nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), k=20, factor=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    seen = 0
+    for i, v in rows:
+        if i % 20 or not any(v):
+            continue
+        others = sorted((-float(np.dot(v, w)), j) for j, w in rows if j != i and len(w) == len(v) and any(w))[:20]
+        assert sorted(got[i]) == [(k, j, -s) for k, (s, j) in enumerate(others, 1)]
+        seen += 1
+    assert seen > 100 and len(got) == seen
