@@ -7,16 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daygauge.llm.common import batches, held_out, query, schema_with, table, training_rows
+from daygauge.llm.common import batches, free_name, held_out, query, schema_with, table, training_rows, written
 
 #: Bytes of a passage; a rest of less than REST joins the last one.
 PASSAGE, REST = 768, 256
-#: Training: documents per class, and evenly spaced passages per document. Scores use all passages.
-PER_CLASS, FIT_PASSAGES = 4000, 64
+#: Training: documents per class, and passages of all of them; a document with more than an eighth of these is not taken.
+PER_CLASS, FIT_PASSAGES = 4000, 400_000
 HIDDEN, GATE = 16, 8
 LAGS = 12
 #: Byte classes by their members; what is in none of them is a class of its own.
@@ -141,23 +141,28 @@ def _grouped(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> AttentionModel | None:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fit_passages: int = FIT_PASSAGES) -> AttentionModel | None:
     """The model of at most ``per_class`` labelled documents of each class, none of them held out; None if a class is missing.
 
-    Features come from Spark's tasks; what reaches the driver is bounded by ``per_class`` and FIT_PASSAGES. Documents weigh so that
-    the classes keep the shares they have among all labels, so scores are probabilities.
+    All passages of a chosen document are encoded. What reaches the driver is bounded by ``fit_passages``: documents are taken by a
+    hash of their id as long as their passages stay within it. Documents weigh so that the classes keep the shares they have among
+    all labels, so scores are probabilities.
     """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         texts = [t or "" for t in batch.column(1).to_pylist()]
         for low, high in _grouped(texts):
             features, first = passage_features(texts[low:high])
-            for own in np.split(features, first[1:]):
-                rows.append(own[np.unique(np.linspace(0, len(own) - 1, FIT_PASSAGES).astype(int))].reshape(-1))
+            rows += [own.reshape(-1) for own in np.split(features, first[1:])]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
     sample = training_rows(docs, labels, "quality", per_class).select(F.col("doc_id").cast("bigint"), "text", F.col("_y").cast("int").alias("y"))
-    rows = sample.mapInArrow(batches(run), "doc_id bigint, y int, x array<float>").toPandas().sort_values(["doc_id"], kind="stable")
+    passages = F.size("x") / N_FEATURES
+    encoded = written(sample.mapInArrow(batches(run), "doc_id bigint, y int, x array<float>").where(passages <= fit_passages / 8), "training-passages")
+    # The running total is over at most two classes of per_class rows.
+    order = Window.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
+    taken = encoded.select("doc_id", F.sum(passages).over(order).alias("total")).where(F.col("total") <= fit_passages).select("doc_id")
+    rows = encoded.join(F.broadcast(taken), "doc_id").toPandas().sort_values(["doc_id"], kind="stable")
     shares = dict(labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy("quality").count().collect())
     if not {0, 1} <= set(rows["y"]):
         return None
@@ -174,20 +179,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pe
     Only the text is an input of a score. A null or empty text is one empty passage; equal texts score alike; columns named like
     a result are replaced. Labels are matched by key; where labels lack a class, every score is 0.5. An empty table gives no rows.
     """
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*[c for c in ("score", "predicted") if c not in (key, text)])
+    scored_text = free_name(docs, "_scored")
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     model = train(named, labels, per_class)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column("_scored").to_pylist()]
+        texts = [t or "" for t in batch.column(scored_text).to_pylist()]
         scores = np.full(len(texts), 0.5)
         if model is not None:
             for low, high in _grouped(texts):
                 scores[low:high] = np.round(model.score(*passage_features(texts[low:high])), 12)  # last digits depend on a text's place in the batch
-        kept = [i for i, name in enumerate(batch.schema.names) if name != "_scored"]
+        kept = [i for i, name in enumerate(batch.schema.names) if name != scored_text]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(scores)], names=[*(batch.schema.names[i] for i in kept), "score"])
 
-    scored = docs.withColumn("_scored", F.col(text)).mapInArrow(batches(run), schema_with(docs, ("score", T.DoubleType())))
+    scored = docs.withColumn(scored_text, F.col(text)).mapInArrow(batches(run), schema_with(docs, ("score", T.DoubleType())))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daygauge.llm.common import batches, held_out, query, schema_with, table, training_rows, written
+from daygauge.llm.common import batches, free_name, held_out, query, schema_with, table, training_rows, written
 
 #: Training documents per class. Weights are learned on each half with the lexicon of the other; scores use the lexicon of all.
 PER_CLASS = 4000
-MOST_TERMS = 4096
 #: A term stands in so many toxic documents, in such a share of them, and in so many times the share of clean ones, at least.
 LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 4, 0.005, 12.0
 #: Words on either side of a hit that make its context.
@@ -187,7 +186,8 @@ def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], set[str]]:
     """Terms with their strength, and near forms of them that are harmless, from texts with ``y``.
 
-    The share of toxic documents with a term is taken one standard error low, so that chance makes no term of a rare word.
+    The share of toxic documents with a term is taken one standard error low, so that chance makes no term of a rare word. All terms
+    and forms are kept; they are words of the sample, which is bounded by its rows.
     """
     n = dict(sample.groupBy("y").count().collect())
     toxic, clean = n.get(1, 0), n.get(0, 0)
@@ -198,7 +198,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], set[str]]:
     least = max(LEAST_DOCUMENTS, round(LEAST_SHARE * toxic))
     ratio = ((F.col("t") - F.sqrt("t")) / toxic) / ((F.col("u") + 1) / clean)
     rows = (stats.where((F.col("t") >= least) & (ratio >= LEAST_RATIO) & (F.length("word") >= 3))
-            .select("word", "t", F.log(ratio).alias("s")).orderBy(F.desc("t"), "word").limit(MOST_TERMS).collect())
+            .select("word", F.log(ratio).alias("s")).collect())
     terms = {r["word"]: min(r["s"], 6.0) / 6.0 for r in rows}
     if not terms:
         return {}, set()
@@ -256,7 +256,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, p
     Only the text is an input of a score. A null or empty text has no hits; columns named like a result are replaced; without
     labels of both classes every score is 0. An empty table gives no rows.
     """
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*[c for c in ("score", "predicted") if c not in (key, text)])
+    scored_text = free_name(docs, "_scored")
     named = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     sample = written(_halves(training_rows(named, labels, "toxic", per_class)), "toxicity-sample")
     terms, harmless = learn_lexicon(sample)
@@ -264,16 +265,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, p
     model = _cross_fitted(sample, labels) if terms else None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("_scored").to_pylist()
+        texts = batch.column(scored_text).to_pylist()
         scores = np.zeros(len(texts))
         if model is not None and texts:
             mean, scale, w = model
             x = (np.array([text_features(t or "", lexicon) for t in texts]) - mean) / scale
             scores = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        kept = [i for i, name in enumerate(batch.schema.names) if name != "_scored"]
+        kept = [i for i, name in enumerate(batch.schema.names) if name != scored_text]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(scores)], names=[*(batch.schema.names[i] for i in kept), "score"])
 
-    scored = docs.withColumn("_scored", F.col(text)).mapInArrow(batches(run), schema_with(docs, ("score", T.DoubleType())))
+    scored = docs.withColumn(scored_text, F.col(text)).mapInArrow(batches(run), schema_with(docs, ("score", T.DoubleType())))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -90,3 +90,11 @@ def test_training_rows_are_bounded_where_an_id_repeats(spark, documents):
         assert all(sum(r["_y"] == y for r in got) <= per_class for y in (0, 1))
     assert set(hot) <= set(ids) and len(ids) == labels.where(~held_out()).count()
     assert {(r["doc_id"], r["text"]) for r in got} <= set(rows)
+
+
+@pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
+def test_clashing_columns(documents, spark, score):
+    docs = documents([(1, "some words"), (2, None), (2, "again")]).withColumnsRenamed({"kept": "_scored", "doc": "__SCORED", "place": "predicted"})
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    got = score(docs, labels).collect()
+    assert {(r["doc_id"], r["_scored"], r["__SCORED"]) for r in got} == {(1, "y", "x"), (2, "y", "x")} and len(got) == 3
