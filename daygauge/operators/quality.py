@@ -158,6 +158,7 @@ def file_totals(files: DataFrame) -> DataFrame:
         return F.array_sort(F.array_distinct(F.flatten(F.collect_set(column))))
 
     return files.agg(F.count("*").alias("_files"), F.count_if(~F.col("readable")).alias("_unreadable"),
+                     F.count("damage").alias("_damaged"), F.coalesce(F.sum("n_lost"), F.lit(0)).alias("_lost"),
                      union("columns").alias("_actual"),
                      union(F.when(F.col("readable"), F.col("missing_columns"))).alias("_lacking"))
 
@@ -165,7 +166,9 @@ def file_totals(files: DataFrame) -> DataFrame:
 def file_notes() -> list[Column]:
     """Errors that ``file_totals`` give rise to."""
     return [_note(F.col("_files") == 0, F.lit("No file found.")),
-            _note(F.col("_unreadable") > 0, F.concat(F.col("_unreadable").cast("string"), F.lit(" unreadable files.")))]
+            _note(F.col("_unreadable") > 0, F.concat(F.col("_unreadable").cast("string"), F.lit(" unreadable files."))),
+            _note(F.col("_damaged") > 0, F.concat(F.col("_damaged").cast("string"), F.lit(" damaged files, "), F.col("_lost").cast("string"),
+                                                  F.lit(" records known to be lost.")))]
 
 
 def source_report(name: str, rows: DataFrame, *, expected: Sequence[str], actual: Sequence[str], profile: Sequence[str],

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daygauge.sources.headers import GLOB, csv_reader, file_damage, header_index, scan_by_header
+
 
 def find_column(columns: Sequence[str], *, names: Sequence[str] = (), contains: Sequence[str] = (),
                 without: Sequence[str] = (), position: int | None = None) -> str | None:
@@ -48,69 +49,18 @@ def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
 
 
-def _reader(spark: SparkSession, encoding: str, recursive: bool, multiline: bool):
-    return (spark.read.option("encoding", encoding).option("recursiveFileLookup", recursive).option("escape", '"')
-            .option("pathGlobFilter", "*.csv").option("multiLine", multiline).option("ignoreCorruptFiles", True))
-
-
 def read_named(spark: SparkSession, path, *, recursive: bool = True, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
     """CSV files that share one header, every column as text, with ``_file``. Differing headers are an error."""
-    reader = _reader(spark, encoding, recursive, multiline).option("header", True).option("enforceSchema", False)
+    reader = csv_reader(spark, encoding, recursive, multiline).option("header", True).option("enforceSchema", False)
     return reader.csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
 
 
-def _first_records():
-    """A mapInArrow function from (file, value), the lines of files one after the other, to a bound on the cells of each first record."""
-    def run(it):
-        import pyarrow as pa
-
-        file, quoted, done, commas, cells = None, False, True, 0, 1
-
-        def result(n):
-            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-        for batch in it:
-            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if name != file:
-                    if not done:  # the last file ends within a quote
-                        yield result(cells)
-                    file, quoted, done, commas, cells = name, False, False, 0, 1
-                if done or not quoted and not line.strip("\ufeff \t"):
-                    continue
-                if not quoted and not commas:
-                    line = line.lstrip("\ufeff")
-                commas += line.count(",")
-                at = 0
-                while True:
-                    if not quoted and line.startswith('"', at):
-                        quoted, at = True, at + 1
-                    if quoted:
-                        end = line.find('"', at)
-                        while end >= 0 and line.startswith('"', end + 1):
-                            end = line.find('"', end + 2)
-                        if end < 0:
-                            break
-                        quoted, at = False, end + 1
-                    at = line.find(",", at) + 1
-                    if not at:
-                        break
-                    cells += 1
-                if not quoted:
-                    done = True
-                    yield result(commas + 1)
-        if not done:
-            yield result(cells)
-
-    return run
-
-
-def widest(spark: SparkSession, path, *, recursive: bool = True, headers: bool = False) -> int:
+def widest(spark: SparkSession, path, *, recursive: bool = True, headers: bool = False, encoding: str = "UTF-8") -> int:
     """Most cells a line of the files can have, by its commas; with ``headers`` only the first record of each file counts, which
     goes on over line breaks in quotes."""
-    lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv").text(path)
     if headers:
-        tops = lines.select(F.col("_metadata.file_path").alias("_file"), "value", F.col("_metadata.file_block_start").alias("_block")).where("_block = 0")
-        return tops.select("_file", "value").mapInArrow(_first_records(), "n bigint").agg(F.max("n")).first()[0] or 1
+        return header_index(spark, path, recursive=recursive, encoding=encoding).agg(F.max(F.size("header"))).first()[0] or 1
+    lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", GLOB).text(path)
     commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
     return (lines.agg(F.max(commas)).first()[0] or 0) + 1
 
@@ -123,9 +73,9 @@ def read_cells(spark: SparkSession, path, *, width: int | None = None, encoding:
     ``multiline`` allows line breaks inside quotes; a file is then read by one task, without it large files are split.
     Without ``width`` a first pass finds the most cells any line has (with ``multiline``, any header), so no column is cut off.
     """
-    width = width or widest(spark, path, recursive=recursive, headers=multiline)
+    width = width or widest(spark, path, recursive=recursive, headers=multiline, encoding=encoding)
     schema = ", ".join(f"_c{i} string" for i in range(width))
-    reader = _reader(spark, encoding, recursive, multiline).schema(schema).option("header", False)
+    reader = csv_reader(spark, encoding, recursive, multiline).schema(schema).option("header", False)
     rows = reader.csv(path).select(
         F.array(*[f"_c{i}" for i in range(width)]).alias("cells"), F.col("_metadata.file_path").alias("_file"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("_at"))
@@ -138,28 +88,21 @@ def first_lines(cells: DataFrame) -> DataFrame:
         F.min_by("cells", "_at").alias("header"), F.min("_at").alias("_top"))
 
 
-def file_audit(spark: SparkSession, path, required: Sequence[str] = (), *, recursive: bool = True,
-               encoding: str = "UTF-8") -> DataFrame:
-    """One row per CSV file below the path: (file, columns, missing_columns, readable).
+def file_audit(spark: SparkSession, path, required: Sequence[str] = (), *, recursive: bool = True, encoding: str = "UTF-8",
+               multiline: bool = False) -> DataFrame:
+    """One row per CSV file below the path: file, columns, missing_columns, readable, n_records, n_read, n_lost, damage.
 
-    A file whose first line is absent (empty, damaged) or holds no word is not readable. No path or no file gives no row.
+    A file whose first record is absent (empty, damaged) or holds no word is not readable. The counts are those of ``file_damage``:
+    records that a damaged file holds and the reader does not return are ``n_lost``. No path or no file gives no row.
     The names come from the file index that Spark's driver holds for any read, since a scan skips empty files.
     """
-    schema = "file string, columns array<string>, missing_columns array<string>, readable boolean"
-    listing = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv")
-    plain = F.regexp_replace("_file", "^file:/+", "file:/")  # the index writes local names with more slashes
-    try:
-        files = spark.createDataFrame([(f,) for f in listing.text(path).inputFiles()], "_file string")
-        heads = first_lines(read_cells(spark, path, recursive=recursive, encoding=encoding))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    heads = header_index(spark, path, recursive=recursive, encoding=encoding)
+    damage = file_damage(spark, path, recursive=recursive, encoding=encoding, multiline=multiline)
     words = F.filter(F.transform("header", lambda h: F.trim(h)), lambda h: h.isNotNull() & (h != ""))
-    seen = files.select(plain.alias("_file")).join(heads.select(plain.alias("_file"), words.alias("columns")), "_file", "left")
+    seen = heads.select("file", words.alias("columns")).join(damage, "file")
     wanted = F.array(*[F.lit(c) for c in required]).cast("array<string>")
-    return seen.select(F.col("_file").alias("file"), "columns", F.array_except(wanted, "columns").alias("missing_columns"),
-                       F.coalesce(F.size("columns") > 0, F.lit(False)).alias("readable"))
+    return seen.select("file", "columns", F.array_except(wanted, "columns").alias("missing_columns"),
+                       F.coalesce(F.size("columns") > 0, F.lit(False)).alias("readable"), "n_records", "n_read", "n_lost", "damage")
 
 
 def index_where(header: Column, test) -> Column:
@@ -197,3 +140,22 @@ def cells_by_header(cells: DataFrame, wanted: dict[str, object]) -> DataFrame:
     rows = cells.join(heads, "_file").where(F.col("_at") != F.col("_top"))
     return rows.select("_file", "_at", *[F.get("cells", F.col(f"_i_{n}")).alias(n) for n in wanted],
                        *[F.col(f"_i_{n}").isNotNull().alias(f"has_{n}") for n in wanted])
+
+
+def read_wanted(spark: SparkSession, path, wanted: dict[str, object], *, needed: Sequence[str] = (), encoding: str = "UTF-8", recursive: bool = True,
+                multiline: bool = False, heads: DataFrame | None = None) -> DataFrame:
+    """Data lines of files with any headers, with the wanted columns: ``cells_by_header`` by a ``header_index``.
+
+    Headers are read by tasks that stop behind them; lines are read once, by position and only the wanted columns, and no line is
+    joined to a header. Files that lack one of the ``needed`` columns are not read.
+    """
+    heads = header_index(spark, path, encoding=encoding, recursive=recursive) if heads is None else heads
+    positions = {n: F.lit(w) if isinstance(w, int) else index_where(F.col("header"), w) for n, w in wanted.items()}
+
+    def by_cells() -> DataFrame:
+        rows = cells_by_header(read_cells(spark, path, encoding=encoding, recursive=recursive, multiline=multiline), wanted)
+        for name in needed:
+            rows = rows.where(F.col(f"has_{name}"))
+        return rows
+
+    return scan_by_header(spark, heads, positions, encoding=encoding, multiline=multiline, needed=needed, fallback=by_cells)

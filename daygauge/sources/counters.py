@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daygauge.functions.scalars import day_of, file_stem, number
 from daygauge.operators.daily import daily_sum
-from daygauge.sources.columns import cells_by_header, named, read_cells, read_named
+from daygauge.sources.columns import named, read_named, read_wanted
 
 
 def counter_files(spark: SparkSession, path, *, mixed_headers: bool = True, date_pattern: str | None = None,
@@ -17,8 +17,7 @@ def counter_files(spark: SparkSession, path, *, mixed_headers: bool = True, date
     The date is the file stem, or the first group of ``date_pattern`` in the path. Other files are passed over.
     """
     if mixed_headers:
-        rows = cells_by_header(read_cells(spark, path), {"start": named("aggregate from"), "total": named("total count")})
-        rows = rows.where("has_start and has_total")
+        rows = read_wanted(spark, path, {"start": named("aggregate from"), "total": named("total count")}, needed=["start", "total"])
     else:
         rows = read_named(spark, path).withColumnRenamed("total count", "total")
     sums = rows.groupBy(F.col("_file").alias("file")).agg(F.coalesce(F.sum(number("total")), F.lit(0.0)).cast("long").alias("count"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygauge.functions.scalars import day_of, number
-from daygauge.sources.columns import cells_by_header, first_lines, named, read_cells
+from daygauge.sources.columns import named, read_wanted
+from daygauge.sources.headers import header_index
 
 
 def keep_first(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -23,12 +24,12 @@ def read_intent_days(spark: SparkSession, path, candidates: Sequence[str], *, da
 
     Files are taken in path order and the first row of a date wins. Choosing the column reads the headers only.
     """
-    cells = read_cells(spark, path)
-    names = {r[0] for r in first_lines(cells).select(F.explode("header")).distinct().collect()}
+    heads = header_index(spark, path)
+    names = {r[0] for r in heads.select(F.explode("header").alias("name")).where(F.col("name").isin(list(candidates))).distinct().collect()}
     column = next((c for c in candidates if c in names), None)
     if column is None:
         raise ValueError(f"no intent column among {list(candidates)}")
-    rows = cells_by_header(cells, {"by_name": named(date), "first": 0, "value": named(column)})
+    rows = read_wanted(spark, path, {"by_name": named(date), "first": 0, "value": named(column)}, heads=heads)
     day = day_of(F.when(F.col("has_by_name"), F.col("by_name")).otherwise(F.col("first")))
     days = rows.select(day.alias("date"), number("value").alias(out), "_file", "_at").where("date is not null")
     return keep_first(days, ["date"], ["_file", "_at"]).select("date", out)

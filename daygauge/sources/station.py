@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygauge.functions.scalars import clean_cell, file_stem, hour_ending, number
-from daygauge.sources.columns import read_cells
+from daygauge.sources.headers import header_index, scan_by_header
 
 # Column labels of the export format.
 TIMESTAMP_LABEL = "年月日時"
@@ -41,53 +41,39 @@ def _position(label: Column, wanted: str, *tests) -> Column:
     return F.array_min(F.filter(F.transform(label, mark), lambda i: i.isNotNull()))
 
 
-def station_headers(cells: DataFrame) -> DataFrame:
-    """Column positions per file, from its label, sub-header and quality lines.
+def station_positions() -> dict[str, Column]:
+    """Column positions from the label, sub-header and quality lines, the last three records of a ``header_index``.
 
-    Lines that carry a timestamp are left out first, so the window sees the few header lines of a file only. Each label
-    occurs several times; its value column is the one without a quality note. Wind speed and direction share a label
+    Each label occurs several times; its value column is the one without a quality note. Wind speed and direction share a label
     and differ in the sub-header.
     """
-    head = cells.where(_moment(F.col("cells")[0]).isNull())
-    w = Window.partitionBy("_file").orderBy("_at")
-    lines = head.withColumns({"sub": F.lead("cells", 1).over(w), "quality": F.lead("cells", 2).over(w)})
-    labels = lines.where(F.trim(F.col("cells")[0]) == TIMESTAMP_LABEL)
-    first = labels.groupBy("_file").agg(F.min_by(F.struct("cells", "sub", "quality", "_at"), "_at").alias("h")).select("_file", "h.*")
+    label, sub, quality = (F.element_at("records", i) for i in (-3, -2, -1))
 
     def value(i: Column) -> Column:
-        return _blank(F.get("quality", i))
+        return _blank(F.get(quality, i))
 
     def direction(i: Column) -> Column:
-        return F.coalesce(F.trim(F.get("sub", i)) == WIND_DIRECTION_LABEL, F.lit(False))
+        return F.coalesce(F.trim(F.get(sub, i)) == WIND_DIRECTION_LABEL, F.lit(False))
 
-    label = F.col("cells")
     wind = F.coalesce(_position(label, WIND_LABEL, value, lambda i: ~direction(i)), _position(label, WIND_LABEL, value))
-    return first.select("_file", F.col("_at").alias("_top"), wind.alias("i_wind_speed_ms"),
-                        *[_position(label, text, value).alias(f"i_{name}") for name, text in EXPORT_LABELS.items()])
+    return {"moment": F.lit(0), "wind_speed_ms": wind} | {name: _position(label, text, value) for name, text in EXPORT_LABELS.items()}
 
 
-def station_rows(cells: DataFrame) -> DataFrame:
-    """Typed hourly rows of all export files with the name of their file; unreadable cells are NULL.
+def read_station_exports(spark: SparkSession, path, *, encoding: str = "CP932") -> DataFrame:
+    """Typed hourly rows of export files of any number and size with the name of their file; unreadable cells are NULL.
 
-    A file without the label line or without one of the value columns gives no row.
+    A file without the label line or without one of the value columns gives no row. The header index finds the label line and the
+    two behind it; header lines carry no timestamp. Files are decoded by the CSV reader (needs ``spark.sql.legacy.javaCharsets``).
     """
-    heads = station_headers(cells).dropna()
-    rows = cells.join(heads, "_file").where(F.col("_at") > F.col("_top"))
-
-    def cell(name: str) -> Column:
-        return F.get("cells", F.col(f"i_{name}"))
-
-    typed = [number(F.trim(cell(c))).alias(c) if c != "weather_type" else F.nullif(F.trim(cell(c)), F.lit("")).alias(c)
-             for c in STATION_COLUMNS if c != "timestamp"]
-    return rows.select(_moment(F.col("cells")[0]).alias("timestamp"), *typed,
-                       F.concat(file_stem("_file"), F.lit(".csv")).alias("source_file")).where("timestamp is not null")
-
-
-def read_station_exports(spark: SparkSession, path, *, encoding: str = "CP932", width: int | None = None) -> DataFrame:
-    """Export files of any number and size, decoded by the CSV reader (needs ``spark.sql.legacy.javaCharsets``)."""
     if encoding.upper() not in ("UTF-8", "UTF8"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return station_rows(read_cells(spark, path, width=width, encoding=encoding))
+    heads = header_index(spark, path, encoding=encoding, stop=TIMESTAMP_LABEL, after=2)
+    positions = station_positions()
+    parts = scan_by_header(spark, heads, positions, encoding=encoding, needed=list(positions), width=F.size(F.element_at("records", -3)))
+    typed = [number(F.trim(F.col(c))).alias(c) if c != "weather_type" else F.nullif(F.trim(F.col(c)), F.lit("")).alias(c)
+             for c in STATION_COLUMNS if c != "timestamp"]
+    return parts.select(_moment(F.col("moment")).alias("timestamp"), *typed,
+                        F.concat(file_stem("_file"), F.lit(".csv")).alias("source_file")).where("timestamp is not null")
 
 
 def scraped_hours(rows: DataFrame, *, day: str = "date", hour: str = "hour", cells: Mapping[str, str] | None = None) -> DataFrame:

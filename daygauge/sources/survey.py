@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daygauge.functions.scalars import day_of, first_number, mapped, number, text_or_empty
-from daygauge.sources.columns import cells_by_header, find_column, holding, named, read_cells
+from daygauge.sources.columns import find_column, holding, named, read_wanted
 from daygauge.sources.weather import first_readable
 
 
 def survey_dates(spark: SparkSession, path) -> DataFrame:
     """(prefecture, date) from the first two columns of every file, bad dates dropped."""
-    rows = cells_by_header(read_cells(spark, path, multiline=True), {"prefecture": 0, "day": 1})
+    rows = read_wanted(spark, path, {"prefecture": 0, "day": 1}, multiline=True)
     return rows.select("prefecture", day_of("day").alias("date")).where("date is not null")
 
 
@@ -27,7 +27,7 @@ def survey_satisfaction(spark: SparkSession, path, names: Mapping[str, str]) ->
     roles = ("satisfaction", "satisfaction_service", "nps", "location", "reason", "inconvenience", "freetext")
     wanted: dict[str, object] = {"prefecture": 0, "day": 1}
     wanted |= {r: named(names[r]) for r in roles if r in names}
-    return answers(cells_by_header(read_cells(spark, path, multiline=True), wanted).withColumn("date", day_of("day")))
+    return answers(read_wanted(spark, path, wanted, multiline=True).withColumn("date", day_of("day")))
 
 
 def answers(rows: DataFrame) -> DataFrame:
@@ -45,9 +45,9 @@ def answers(rows: DataFrame) -> DataFrame:
 def survey_texts(spark: SparkSession, path, *, satisfaction: str, reason: str, not_reason: str, inconvenience: str,
                  freetext: str) -> DataFrame:
     """Free texts with columns found by part of their name; the reason column must not be that of the service. Bad dates are dropped."""
-    rows = cells_by_header(read_cells(spark, path, multiline=True), {
+    rows = read_wanted(spark, path, {
         "prefecture": 0, "day": 1, "satisfaction": holding(satisfaction), "reason": holding(reason, without=[not_reason]),
-        "inconvenience": holding(inconvenience), "freetext": holding(freetext)})
+        "inconvenience": holding(inconvenience), "freetext": holding(freetext)}, multiline=True)
     texts = [text_or_empty(c).alias(c) for c in ("reason", "inconvenience", "freetext")]
     return (rows.select("prefecture", day_of("day").alias("date"), number("satisfaction").alias("satisfaction"), *texts)
             .where("date is not null"))

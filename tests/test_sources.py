@@ -3,7 +3,8 @@ import datetime
 import pytest
 
 from daygauge.sources import columns as cl
-from daygauge.sources import counters, intent, sinks, station, survey, weather
+from daygauge.operators import quality as ql
+from daygauge.sources import counters, headers, intent, sinks, station, survey, weather
 
 
 def write(path, text, encoding="utf-8"):
@@ -164,6 +165,61 @@ def test_headers_with_line_breaks_are_read_whole(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,"place\nof ""stay"", in town","third\r\n\nline",b,wanted\n1,"x\ny",z,,yes\n')
     (tmp_path / "b.csv").write_text('\nid,5" pipe,c\n1,2,3\n')
     (tmp_path / "c.csv").write_text("")
-    cells = cl.read_cells(spark, str(tmp_path), multiline=True)
-    rows = cl.cells_by_header(cells, {"wanted": cl.named("wanted"), "c": cl.named("c")}).select("wanted", "c").collect()
-    assert {tuple(r) for r in rows} == {("yes", None), (None, "3")} and len(rows) == 2
+    wanted = {"wanted": cl.named("wanted"), "c": cl.named("c")}
+    by_cells = cl.cells_by_header(cl.read_cells(spark, str(tmp_path), multiline=True), wanted)
+    for rows in (by_cells, cl.read_wanted(spark, str(tmp_path), wanted, multiline=True)):
+        rows = rows.select("wanted", "c").collect()
+        assert {tuple(r) for r in rows} == {("yes", None), (None, "3")} and len(rows) == 2
+
+
+def test_leading_records():
+    text = '\ufeff\n  \n"a\n""b""",c\r\n1,2\n'
+    for size in (1, 3, 50):
+        assert headers.leading_records(text[i:i + size] for i in range(0, len(text), size)) == [['a\n"b"', "c"]]
+    assert headers.leading_records(["x,y"]) == [["x", "y"]] and headers.leading_records([]) is None
+    lines = "t\n,u\nwhen,v,w\ns1,s2\nq\n1,2\n"
+    assert headers.leading_records([lines], "when", 2)[-3:] == [["when", "v", "w"], ["s1", "s2"], ["q"]]
+    assert headers.leading_records([lines], "absent") is None
+
+
+@pytest.mark.parametrize("opens", [True, False])
+def test_scan_follows_the_header_index(spark, tmp_path, monkeypatch, opens):
+    monkeypatch.setattr(headers, "_opens", lambda uri: opens)
+    write(tmp_path / "a b[1].csv", "name,n\nx,1\nname,n\n")
+    write(tmp_path / "d/b.csv", "n,other\n2,y\n")
+    write(tmp_path / "d/c.csv", "nothing\n3\n")
+    write(tmp_path / "d/e.csv", "")
+    index = headers.header_index(spark, str(tmp_path)).collect()
+    assert sorted((r.header or [""])[0] for r in index) == ["", "n", "name", "nothing"]
+    rows = cl.read_wanted(spark, str(tmp_path), {"n": cl.named("n"), "first": 0})
+    assert sorted((r.n or "", r.first, r.has_n) for r in rows.collect()) == [("", "3", False), ("1", "x", True), ("2", "2", True), ("n", "name", True)]
+    plan = rows._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    needed = cl.read_wanted(spark, str(tmp_path), {"n": cl.named("n")}, needed=["n"])
+    assert sorted(r.n for r in needed.collect()) == ["1", "2", "n"]
+    assert cl.read_wanted(spark, str(tmp_path / "d" / "none"), {"n": cl.named("n")}).count() == 0
+    monkeypatch.setattr(headers, "SCANS", 1)  # too many kinds of headers for a scan each
+    assert sorted(r.n for r in cl.read_wanted(spark, str(tmp_path), {"n": cl.named("n")}, needed=["n"]).collect()) == ["1", "2", "n"]
+
+
+def test_damage_is_counted(spark, tmp_path):
+    import gzip
+
+    whole = "n,text\n" + "".join(f'{i},"line {i}\nof ""two"""\n' for i in range(40_000))
+    packed = gzip.compress(whole.encode())
+    (tmp_path / "whole.csv").write_text(whole)
+    (tmp_path / "packed.csv.gz").write_bytes(packed)
+    (tmp_path / "cut.csv.gz").write_bytes(packed[: len(packed) * 2 // 3])
+    (tmp_path / "quote.csv").write_text('n,text\n1,a\n2,"b\n3,c\n4,d\n')
+    (tmp_path / "none.csv").write_text("")
+    audit = {r.file.rsplit("/", 1)[1]: r for r in cl.file_audit(spark, str(tmp_path), ["n"], multiline=True).collect()}
+    assert {f: r.damage for f, r in audit.items()} == {"whole.csv": None, "packed.csv.gz": None, "cut.csv.gz": "truncated", "quote.csv": "open quote", "none.csv": None}
+    assert audit["whole.csv"].n_records == audit["whole.csv"].n_read == audit["packed.csv.gz"].n_read == 40_001
+    assert 0 < audit["cut.csv.gz"].n_records < 40_001
+    assert audit["cut.csv.gz"].n_lost == max(audit["cut.csv.gz"].n_records - audit["cut.csv.gz"].n_read, 0)
+    assert (audit["quote.csv"].n_records, audit["quote.csv"].n_read, audit["quote.csv"].n_lost) == (5, 3, 2)
+    assert audit["none.csv"].n_read == 0 and not audit["none.csv"].readable
+    counts = spark.createDataFrame([(datetime.date(2024, 1, 1), 5)], "date date, count bigint")
+    errors = ql.counter_report(counts, files=cl.file_audit(spark, str(tmp_path), multiline=True)).first().errors
+    lost = sum(r.n_lost for r in audit.values())
+    assert f"2 damaged files, {lost} records known to be lost." in errors
