@@ -11,6 +11,7 @@ from daygauge.functions.distributions import chi2_p, correlation_p
 from daygauge.functions.scalars import pair_count, pearson, signal_band
 from daygauge.operators.daily import keys
 from daygauge.operators.features import ordered, shifted
+from daygauge.operators.moments import pair_correlations
 
 
 def _name_at(names: Sequence, index: str) -> Column:
@@ -18,18 +19,8 @@ def _name_at(names: Sequence, index: str) -> Column:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], *, series=None) -> DataFrame:
-    """Pearson r of every column pair, pairwise complete, in one aggregation: (col_a, col_b, r, n).
-
-    A row is turned into its pairs of values and these are grouped by pair: partial sums per pair are all that is
-    shuffled, and the generated code stays as small as that of one pair.
-    """
-    by = keys(series)
-    rows = df.select(*by, F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
-    left = rows.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
-    rest = F.posexplode(F.slice("_v", F.col("_i") + 2, len(columns))).alias("_k", "_y")
-    pairs = left.select(*by, "_i", "_x", rest).withColumn("_j", F.col("_i") + F.col("_k") + 1)
-    out = pairs.groupBy(*by, "_i", "_j").agg(pearson("_x", "_y").alias("r"), pair_count("_x", "_y").alias("n"))
-    return out.select(*by, _name_at(columns, "_i").alias("col_a"), _name_at(columns, "_j").alias("col_b"), "r", "n")
+    """Pearson r of every column pair, pairwise complete, in one aggregation of matrices: (col_a, col_b, r, n)."""
+    return pair_correlations(df, columns, series=series)
 
 
 def pearson_test(df: DataFrame, a: str, b: str, *, series=None, min_rows: int = 3) -> DataFrame:

@@ -1,7 +1,7 @@
 """Least squares as one grouped aggregation and a k by k solve.
 
-Spark reduces any number of rows to centred cross-products, one short row per series (``covar_pop`` merges partial
-results stably). Every model over the same rows (all features, without the
+Spark reduces any number of rows to centred cross-products, one short row per series (``moments`` merges the matrices of
+tasks stably). Every model over the same rows (all features, without the
 weather features, each variance inflation factor, the one-regressor baseline) is then a solve on sub-blocks of that one
 matrix; no model needs a second pass. The solve runs per row of the reduced table, on executors.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from daygauge.functions.distributions import t_two_sided
 from daygauge.functions.scalars import effect_band, effect_size, pearson, safe_divide, stars
 from daygauge.operators.daily import attach, keys
+from daygauge.operators.moments import complete_moments
 
 TERM_FIELDS = "model string, term string, coef double, se double, t double, p double, beta_std double, vif double"
 FIT_FIELDS = ("n long, n_features int, rank int, df_resid double, r2 double, adj_r2 double, sse double, sst double")
@@ -27,21 +28,10 @@ FIT_FIELDS = ("n long, n_features int, rank int, df_resid double, r2 double, adj
 def gram(df: DataFrame, target: str, features: Sequence[str], *, series=None) -> DataFrame:
     """One row per series: n, means and the upper triangle of centred cross-products / n of complete rows.
 
-    Column order inside the arrays is features, then target. A row is turned into its pairs of values; grouped by pair,
-    only partial sums are shuffled, whatever one series weighs, and the generated code does not grow with the model.
+    Column order inside the arrays is features, then target. Only one matrix per task and series is shuffled, whatever one
+    series weighs (``moments``).
     """
-    by, names = keys(series), [*features, target]
-    rows = df.dropna(subset=names).select(*by, F.array(*[F.col(c).cast("double") for c in names]).alias("_v"))
-    left = rows.select(*by, "_v", F.posexplode("_v").alias("_i", "_x"))
-    rest = F.posexplode(F.slice("_v", F.col("_i") + 1, len(names))).alias("_k", "_y")
-    pairs = left.select(*by, "_i", "_x", rest).withColumn("_j", F.col("_i") + F.col("_k"))
-    cells = pairs.groupBy(*by, "_i", "_j").agg(
-        F.covar_pop("_x", "_y").alias("c"), F.avg("_x").alias("m"), F.count("*").alias("n"))
-    cell = F.sort_array(F.collect_list(F.struct("_i", "_j", "c", "m")))
-    table = cells.groupBy(*by).agg(F.max("n").alias("n"), cell.alias("_cells"))
-    diagonal = F.filter("_cells", lambda s: s["_i"] == s["_j"])
-    return table.select(*by, "n", F.transform(diagonal, lambda s: s["m"]).alias("means"),
-                        F.transform("_cells", lambda s: s["c"]).alias("cross")).where(F.col("n").isNotNull())
+    return complete_moments(df, [*features, target], series=series)
 
 
 def solve_block(n: int, means: np.ndarray, cov: np.ndarray, xs: Sequence[int], y: int) -> dict:
@@ -76,13 +66,13 @@ def solve_block(n: int, means: np.ndarray, cov: np.ndarray, xs: Sequence[int], y
     }
 
 
-def unpack(row) -> tuple[int, np.ndarray, np.ndarray]:
-    means = np.asarray(row.means, dtype=float)
+def unpack(n, means, cross) -> tuple[int, np.ndarray, np.ndarray]:
+    means = np.asarray(means, dtype=float)
     k = len(means)
     cov = np.zeros((k, k))
     upper = np.triu_indices(k)
-    cov[upper] = row.cross
-    return int(row.n), means, cov + np.triu(cov, 1).T
+    cov[upper] = cross
+    return int(n), means, cov + np.triu(cov, 1).T
 
 
 def fit_models(grams: DataFrame, features: Sequence[str], models: Mapping[str, Sequence[str]] | None = None,
@@ -102,7 +92,7 @@ def fit_models(grams: DataFrame, features: Sequence[str], models: Mapping[str, S
         for pdf in batches:
             rows = []
             for row in pdf.itertuples(index=False):
-                n, means, cov = unpack(row)
+                n, means, cov = unpack(row.n, row.means, row.cross)
                 group = tuple(getattr(row, c) for c in by)
                 for name, used in models.items():
                     xs = [order[c] for c in used]

@@ -15,6 +15,7 @@ from daygauge.functions.distributions import mackinnon_p, normal_two_sided
 from daygauge.functions.scalars import autocorrelation_free, safe_divide
 from daygauge.operators.daily import attach, keys
 from daygauge.operators.features import ordered
+from daygauge.operators.moments import complete_moments
 from daygauge.operators.regression import fit_models, gram, ols, predict, solve_block, unpack
 from daygauge.session import durable
 
@@ -74,8 +75,8 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], *, date: str
     mix of series lengths.
     """
     by, features = keys(series), list(features)
-    rows = df.dropna(subset=[target, *features])
-    grams = gram(rows, target, features, series=series)
+    rows = durable(df.dropna(subset=[target, *features]).select(*by, date, target, *features))
+    grams = durable(gram(rows, target, features, series=series))
     fitted = predict(rows, fit_models(grams, features, series=series), features, series=series)
     w = ordered(series, date)
     terms = range(len(features) + 1)
@@ -95,15 +96,10 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], *, date: str
         *by, "_l", *[(F.col(f"_s{i}") - F.coalesce(f"_p{i}", F.lit(0.0))).alias(f"_v{i}") for i in terms])
     tail = running.where((F.col("_pos") >= F.col("_n") - F.col("_l")) & (F.col("_pos") < F.col("_n"))).select(
         *by, "_l", *[F.col(f"_s{i}").alias(f"_v{i}") for i in terms])
-    moving = inner.unionByName(tail).select(*by, "_l", F.array(*[f"_v{i}" for i in terms]).alias("_v"))
-    left = moving.select(*by, "_l", "_v", F.posexplode("_v").alias("_i", "_x"))
-    rest = F.posexplode(F.slice("_v", F.col("_i") + 1, len(terms))).alias("_k", "_y")
-    pairs = left.select(*by, "_l", "_i", "_x", rest).withColumn("_j", F.col("_i") + F.col("_k"))
-    cells = pairs.groupBy(*by, "_i", "_j").agg(
-        F.max("_l").alias("lags"), (F.sum(F.col("_x") * F.col("_y")) / (F.max("_l") + 1)).alias("c"))
-    meat = cells.groupBy(*by).agg(F.max("lags").alias("lags"), F.transform(
-        F.sort_array(F.collect_list(F.struct("_i", "_j", "c"))), lambda s: s["c"]).alias("meat"))
-    joined = attach(grams, meat, by)
+    moving = inner.unionByName(tail)
+    sums = complete_moments(moving, [f"_v{i}" for i in terms], series=[*by, "_l"]).select(
+        *by, F.col("_l").cast("int").alias("lags"), F.col("n").alias("moving_n"), F.col("means").alias("moving_means"), F.col("cross").alias("moving_cross"))
+    joined = attach(grams, sums, by)
     fields = [f for f in grams.schema.fields if f.name in by]
     schema = T.StructType(fields + T.StructType.fromDDL(
         "term string, coef double, se_hac double, z double, p_hac double, lags int, n long").fields)
@@ -112,12 +108,11 @@ def newey_west(df: DataFrame, target: str, features: Sequence[str], *, date: str
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                n, means, cov = unpack(row)
+                n, means, cov = unpack(row.n, row.means, row.cross)
                 k = len(features)
                 fit = solve_block(n, means, cov, range(k), k)
-                middle = np.zeros((k + 1, k + 1))
-                middle[np.triu_indices(k + 1)] = row.meat
-                middle = middle + np.triu(middle, 1).T
+                m, centre, spread = unpack(row.moving_n, row.moving_means, row.moving_cross)
+                middle = m * (spread + np.outer(centre, centre)) / (row.lags + 1)
                 bread = np.zeros((k + 1, k + 1))
                 bread[0, 0], bread[1:, 1:] = 1 / n, fit["unscaled"]
                 back = np.eye(k + 1)
