@@ -76,20 +76,91 @@ def kolmogorov_tail(lam, terms: int = 100):
     return np.clip(np.where(lam <= 0, 1.0, np.where(lam < 1.0, theta, plain)), 0.0, 1.0)
 
 
-EXACT_KS_ROWS = 10_000
+def one_sample_ks_tail(d: float, n: int) -> float:
+    """P(D_n >= d) of the one-sample statistic, by the power of a small matrix for few rows and by the series beyond."""
+    if d >= 1:
+        return 0.0
+    if n * d <= 0.5:
+        return 1.0
+    return matrix_ks_tail(d, n) if n <= SERIES_KS_ROWS else series_ks_tail(d, n)
+
+
+def matrix_ks_tail(d: float, n: int) -> float:
+    """Durbin's matrix: n!/n^n times the middle entry of H^n, where H moves the count of points along the band of width d."""
+    k = math.floor(n * d) + 1
+    size, h = 2 * k - 1, k - n * d
+    i, j = np.indices((size, size))
+    step = i - j + 1
+    matrix = np.where(step >= 0, 1.0, 0.0)
+    low = h ** np.arange(1, size + 1)
+    matrix[:, 0] -= low
+    matrix[-1, :] -= low[::-1]
+    matrix[-1, 0] += (2 * h - 1) ** size if 2 * h > 1 else 0.0
+    logs = np.array([math.lgamma(x + 1) for x in range(size + 1)])
+    matrix *= np.exp(-logs[np.clip(step, 0, size)])
+    power, scale, rest = np.eye(size), 0.0, n
+    square, grown = matrix, 0.0
+    while rest:
+        if rest & 1:
+            power, scale = power @ square, scale + grown
+            top = np.abs(power).max()
+            power, scale = power / top, scale + math.log(top)
+        square, grown, rest = square @ square, 2 * grown, rest >> 1
+        top = np.abs(square).max()
+        square, grown = square / top, grown + math.log(top)
+    entry = power[k - 1, k - 1]
+    if entry <= 0:
+        return 1.0
+    return min(1.0, max(0.0, -math.expm1(math.log(entry) + scale + math.lgamma(n + 1) - n * math.log(n))))
+
+
+def series_ks_tail(d: float, n: float, terms: int = 30) -> float:
+    """Pelz and Good's series: the limit law with corrections of order n**-1/2, n**-1 and n**-3/2; its coefficients are fixed values."""
+    z = math.sqrt(n) * d
+    if z <= 0 or z > 6:  # beyond, P is below 1e-30
+        return float(z <= 0)
+    k = np.arange(-terms, terms + 1)
+    odd, even = (np.pi * (k + 0.5)) ** 2, (np.pi * k) ** 2
+    at_odd, at_even = np.exp(-odd / (2 * z * z)), np.exp(-even / (2 * z * z))
+    root = math.sqrt(math.pi / 2)
+    k0 = root / z * at_odd.sum()
+    k1 = root / (6 * z**4) * ((odd - z**2) * at_odd).sum()
+    k2 = (root / (72 * z**7) * ((6 * z**6 + 2 * z**4 + (2 * z**4 - 5 * z**2) * odd + (1 - 2 * z**2) * odd**2) * at_odd).sum()
+          - root / (36 * z**3) * (even * at_even).sum())
+    k3 = (root / (6480 * z**10) * (((5 - 30 * z**2) * odd**3 + (212 * z**4 - 60 * z**2) * odd**2 + (135 * z**4 - 96 * z**6) * odd
+                                    - (30 * z**6 + 90 * z**8)) * at_odd).sum()
+          + root / (108 * z**6) * ((3 * z**2 * even - even**2) * at_even).sum())
+    return float(min(1.0, max(0.0, 1.0 - (k0 + k1 / math.sqrt(n) + k2 / n + k3 / n**1.5))))
+
 
+#: Rows a side up to which "auto" counts paths, and rows of the one-sample law from which its series is used.
+EXACT_KS_ROWS, SERIES_KS_ROWS = 10_000, 140
+KS_LAWS = ("auto", "exact", "finite", "series", "limit")
 
-def two_sample_ks_p(d: float, m: int, n: int) -> float:
-    """P(D >= d) of the two-sample test: exact up to 10 000 rows a side, the Kolmogorov limit beyond.
 
-    The exact part counts the lattice paths from (0, 0) to (m, n) that stay closer to the diagonal than d. For each step
-    on one side the reachable places on the other form a short band, over which the counts are a cumulative sum.
+def ks_law(law: str, m: float, n: float) -> str:
+    """The law that ``auto`` stands for: exact up to EXACT_KS_ROWS rows a side, the finite one-sample law beyond."""
+    return law if law != "auto" else "exact" if max(m, n) <= EXACT_KS_ROWS else "finite"
+
+
+def two_sample_ks_p(d: float, m: int, n: int, law: str = "auto") -> float:
+    """P(D >= d) of the two-sample test.
+
+    ``exact`` counts paths; ``finite`` is the law of the one-sample statistic of round(mn / (m + n)) rows, ``series`` its series for any
+    number of rows, ``limit`` Kolmogorov's. The exact law counts the lattice paths from (0, 0) to (m, n) that stay closer to the
+    diagonal than d. For each step on one side the reachable places on the other form a short band, over which the counts are a
+    cumulative sum.
     """
     if not (m > 0 and n > 0 and d == d):
         return math.nan
     m, n = int(m), int(n)
-    if max(m, n) > EXACT_KS_ROWS:
+    law = ks_law(law, m, n)
+    if law == "limit":
         return float(kolmogorov_tail(d * math.sqrt(m * n / (m + n))))
+    if law == "finite":
+        return one_sample_ks_tail(d, max(round(m * n / (m + n)), 1))
+    if law == "series":
+        return series_ks_tail(d, m * n / (m + n))
     reach = math.floor(d * m * n - 1e-7)
     if reach < 0:
         return 1.0
@@ -146,8 +217,8 @@ def _chi2_p(x: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def _ks_p(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([two_sample_ks_p(*row) for row in zip(*_numeric(d, m, n), strict=True)], dtype=float)
+def _ks_p(d: pd.Series, m: pd.Series, n: pd.Series, law: pd.Series) -> pd.Series:
+    return pd.Series([two_sample_ks_p(*row) for row in zip(*_numeric(d, m, n), law, strict=True)], dtype=float)
 
 
 def _null_safe(p: Column) -> Column:
@@ -166,8 +237,14 @@ def chi2_p(x: Column) -> Column:
     return _null_safe(_chi2_p(x.cast("double")))
 
 
-def ks_p(d: Column, m: Column, n: Column) -> Column:
-    return _null_safe(_ks_p(d.cast("double"), m.cast("double"), n.cast("double")))
+def ks_p(d: Column, m: Column, n: Column, law: str = "auto") -> Column:
+    if law not in KS_LAWS:
+        raise ValueError(f"law must be one of {KS_LAWS}")
+    return _null_safe(_ks_p(d.cast("double"), m.cast("double"), n.cast("double"), F.lit(law)))
+
+
+def ks_law_used(m: Column, n: Column, law: str = "auto") -> Column:
+    return F.lit(law) if law != "auto" else F.when(F.greatest(m, n) <= EXACT_KS_ROWS, "exact").otherwise("finite")
 
 
 def correlation_p(r: Column, n: Column) -> Column:

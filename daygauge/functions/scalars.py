@@ -85,10 +85,14 @@ def weather_severity(precip: ColumnLike, wind: ColumnLike, light: float = 0.0, h
     return F.least(F.lit(3), flag(precip > light) + flag(precip > heavy) + flag(wind > strong))
 
 
-def discomfort_index(temp: ColumnLike, humidity: ColumnLike) -> Column:
-    """Temperature-humidity index of degrees and percent, as published; its coefficients are fixed values."""
+def discomfort_index(temp: ColumnLike, humidity: ColumnLike, terms: Sequence[float] | None = None) -> Column:
+    """Temperature-humidity index of degrees and percent, as published (its coefficients are fixed values), or with the ``terms`` of
+    the temperature, of the product, of the humidity, and the constant."""
     t, h = _c(temp), _c(humidity)
-    return 0.81 * t + 0.01 * h * (0.99 * t - 14.3) + 46.3
+    if terms is None:
+        return 0.81 * t + 0.01 * h * (0.99 * t - 14.3) + 46.3
+    by_temp, by_both, by_humidity, base = terms
+    return by_temp * t + by_both * t * h + by_humidity * h + base
 
 
 def wind_chill(temp: ColumnLike, wind_ms: ColumnLike) -> Column:

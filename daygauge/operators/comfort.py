@@ -17,15 +17,16 @@ VISITOR_EDGES = (0, 5000, 8000, 12000, 15000, 20000, 50000)
 VISITOR_LABELS = ("<5K", "5-8K", "8-12K", "12-15K", "15-20K", ">20K")
 
 
-def comfort_days(weather: DataFrame, *, series=None, proxy_humidity: float = 60.0, min_humidity: int = 30) -> DataFrame:
+def comfort_days(weather: DataFrame, *, series=None, proxy_humidity: float = 60.0, min_humidity: int = 30,
+                 terms: Sequence[float] | None = None) -> DataFrame:
     """``discomfort_index`` (and ``wind_chill`` where wind exists) per day.
 
     Humidity is used by a series only with more than ``min_humidity`` readings of it; otherwise the proxy stands in.
     """
-    proxy = discomfort_index("temp", F.lit(proxy_humidity))
+    proxy = discomfort_index("temp", F.lit(proxy_humidity), terms)
     if "humidity" in weather.columns:
         known = F.count("humidity").over(Window.partitionBy(*keys(series)))
-        index = F.when(known > min_humidity, discomfort_index("temp", "humidity")).otherwise(proxy)
+        index = F.when(known > min_humidity, discomfort_index("temp", "humidity", terms)).otherwise(proxy)
     else:
         index = proxy
     out = weather.withColumn("discomfort_index", index)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daygauge.functions.distributions import ks_p
+from daygauge.functions.distributions import ks_law_used, ks_p
 from daygauge.functions.scalars import finite_or_null, has_text, number
 from daygauge.operators.daily import attach, coverage, keys, missing_days
 from daygauge.operators.order_stats import (checked_small, quantile_brackets, quantiles_from, quantiles_within, running_totals,
@@ -85,9 +85,11 @@ def month_blocks(rows: DataFrame, *, date: str = "date", series=None, months: in
 
 
 def drift(rows: DataFrame, columns: Sequence[str], *, date: str = "date", series=None, blocks_of: int = 3,
-          min_block: int = 10, min_rows: int = 30, level: float = 0.05, values: DataFrame | None = None) -> DataFrame:
+          min_block: int = 10, min_rows: int = 30, level: float = 0.05, values: DataFrame | None = None, law: str = "auto") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test of each block of months against the next, per series and column.
 
+    ``law`` is that of ``two_sample_ks_p``; ``ks_law`` tells which one a row's p-value has.
+
     The rows are read once into a ``value_table`` placed by value range. Blocks, moments and both empirical
     distributions are sums over that table, so no block is ever gathered in one task.
     """
@@ -124,11 +126,12 @@ def drift(rows: DataFrame, columns: Sequence[str], *, date: str = "date", series
     name_a = spans.select(*by, F.col("_block").alias("_pair"), F.col("_span").alias("period_a"))
     name_b = spans.select(*by, (F.col("_block") - 1).alias("_pair"), F.col("_span").alias("period_b"))
     out = tests.join(name_a, [*by, "_pair"]).join(name_b, [*by, "_pair"])
-    out = out.withColumn("_p", ks_p(F.col("d"), F.col("rows_a"), F.col("rows_b")))
+    out = out.withColumn("_p", ks_p(F.col("d"), F.col("rows_a"), F.col("rows_b"), law))
     return out.select(
         *by, "period_a", "period_b", "rows_a", "rows_b", "mean_a", "mean_b",
         *[F.sqrt(F.greatest(F.col(f"_q{s}") - F.col(f"_m{s}") * F.col(f"_m{s}"), F.lit(0.0))).alias(f"std_{s}") for s in "ab"],
-        F.bround("d", 4).alias("ks_statistic"), F.bround("_p", 4).alias("ks_pvalue"), (F.col("_p") < level).alias("drift_detected"))
+        F.bround("d", 4).alias("ks_statistic"), F.bround("_p", 4).alias("ks_pvalue"), (F.col("_p") < level).alias("drift_detected"),
+        ks_law_used(F.col("rows_a"), F.col("rows_b"), law).alias("ks_law"))
 
 
 # ---------------------------------------------------------------- source reports
@@ -220,11 +223,11 @@ def source_report(name: str, rows: DataFrame, *, expected: Sequence[str], actual
 
 
 def counter_report(days: DataFrame, columns: Sequence[str] = (), *, name: str = "counter", date: str = "date",
-                   count: str = "count", files: DataFrame | None = None) -> DataFrame:
+                   count: str = "count", files: DataFrame | None = None, series=None) -> DataFrame:
     """Audit of day totals read from counter files whose header was ``columns``, or from the ``files`` of a
-    ``file_audit``; no day at all is an error."""
+    ``file_audit``; no day at all is an error. With ``series`` each counter has a report."""
     return source_report(
-        name, days, expected=COUNTER_COLUMNS, actual=columns, profile=[count], files=files,
+        name, days, expected=COUNTER_COLUMNS, actual=columns, profile=[count], files=files, series=series,
         drift_columns=[count], date=date, missing_is_error=True, counts=[F.count_if(F.col(count) == 0).alias("n_zero")],
         extra_warnings=[(F.col("n_zero") > 0, "Zero-count days (possible counter outage).")],
         extra_errors=[(F.col("n_rows") == 0, "No counter day could be read.")])

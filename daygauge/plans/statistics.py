@@ -149,13 +149,40 @@ SELECT site, name, x.period AS period_a, y.period AS period_b, a.n AS rows_a, z.
 FROM ks JOIN moments a USING (site, name) JOIN moments z USING (site, name) JOIN spans x USING (site, name) JOIN spans y USING (site, name)
 WHERE a.b = pair AND z.b = pair + 1 AND x.b = pair AND y.b = pair + 1 AND a.n >= 10 AND z.n >= 10""", r6("mean_a", "mean_b", "std_a", "std_b"))
 def _(spark, sf):
-    return ql.drift(readings(spark, sf), ["people", "temp_c"], series="site").drop("ks_pvalue", "drift_detected")
+    return ql.drift(readings(spark, sf), ["people", "temp_c"], series="site").drop("ks_pvalue", "drift_detected", "ks_law")
 
 
 @query("drift_pvalues")
 def _(spark, sf):
     return ql.drift(readings(spark, sf), ["people", "temp_c"], series="site").select(
-        "site", "name", "period_a", "period_b", "ks_statistic", "ks_pvalue", "drift_detected")
+        "site", "name", "period_a", "period_b", "ks_statistic", "ks_pvalue", "drift_detected", "ks_law")
+
+
+def sql_series_ks(d: str, n: str) -> str:
+    """P of the one-sample law by Pelz and Good's series, terms -30 to 30."""
+    z, root = f"(sqrt({n}) * {d})", "sqrt(pi() / 2)"
+
+    def total(term: str, half: bool) -> str:
+        u = f"pow(pi() * (k{' + 0.5' if half else ''}), 2)"
+        return f"list_sum(list_transform(range(-30, 31), lambda k: ({term.replace('U', u)}) * exp(-{u} / (2 * Z * Z))))"
+
+    terms = (f"{root} / Z * {total('1', True)}"
+             f" + {root} / (6 * pow(Z, 4)) * {total('U - Z * Z', True)} / sqrt({n})"
+             f" + ({root} / (72 * pow(Z, 7)) * {total('6 * pow(Z, 6) + 2 * pow(Z, 4) + (2 * pow(Z, 4) - 5 * Z * Z) * U + (1 - 2 * Z * Z) * U * U', True)}"
+             f" - {root} / (36 * pow(Z, 3)) * {total('U', False)}) / {n}"
+             f" + ({root} / (6480 * pow(Z, 10)) * {total('(5 - 30 * Z * Z) * U * U * U + (212 * pow(Z, 4) - 60 * Z * Z) * U * U + (135 * pow(Z, 4) - 96 * pow(Z, 6)) * U - (30 * pow(Z, 6) + 90 * pow(Z, 8))', True)}"
+             f" + {root} / (108 * pow(Z, 6)) * {total('3 * Z * Z * U - U * U', False)}) / pow({n}, 1.5)")
+    return f"CASE WHEN {z} <= 0 THEN 1 WHEN {z} > 6 THEN 0 ELSE least(1, greatest(0, 1 - ({terms.replace('Z', z)}))) END"
+
+
+@query("drift_series_pvalues", f"""WITH {READINGS}, {DRIFT}, tests AS (SELECT site, name, x.period AS period_a, y.period AS period_b, d, a.n * z.n / (a.n + z.n)::DOUBLE AS rows
+FROM ks JOIN moments a USING (site, name) JOIN moments z USING (site, name) JOIN spans x USING (site, name) JOIN spans y USING (site, name)
+WHERE a.b = pair AND z.b = pair + 1 AND x.b = pair AND y.b = pair + 1 AND a.n >= 10 AND z.n >= 10),
+p AS (SELECT *, {sql_series_ks('d', 'rows')} AS p FROM tests)
+SELECT site, name, period_a, period_b, round_even(p, 4) AS ks_pvalue, p < 0.05 AS drift_detected, 'series' AS ks_law FROM p""")
+def _(spark, sf):
+    return ql.drift(readings(spark, sf), ["people", "temp_c"], series="site", law="series").select(
+        "site", "name", "period_a", "period_b", "ks_pvalue", "drift_detected", "ks_law")
 
 
 @query("stationarity_tests")

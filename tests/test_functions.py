@@ -105,3 +105,43 @@ def test_exact_ks_by_enumeration(m, n):
     for k in range(1, m * n + 1):
         want = sum(t >= k for t in reach) / len(reach)
         assert di.two_sample_ks_p(k / (m * n), m, n) == pytest.approx(want, abs=1e-12)
+
+
+def brute_one_sample_tail(d, n):
+    """P(D_n >= d) by Noe's recursion over the counts that the band allows at each of its corners, in exact fractions."""
+    from fractions import Fraction
+    from math import comb
+
+    d = Fraction(d)
+    cuts = sorted({Fraction(0), Fraction(1), *[min(max(Fraction(i, n) + s * d, Fraction(0)), Fraction(1)) for i in range(n + 1) for s in (-1, 1)]})
+    ways = {0: Fraction(1)}
+    for low, high in zip(cuts, cuts[1:]):
+        after = {}
+        for have, weight in ways.items():
+            for more in range(n - have + 1):
+                count = have + more
+                # within (low, high) the empirical law must stay closer than d; counts at the corners decide
+                if not (Fraction(count, n) - high < d and high - Fraction(count, n) < d or high == 1) or high == 1 and count != n:
+                    continue
+                p = weight * comb(n - have, more) * ((high - low) / (1 - low)) ** more * ((1 - high) / (1 - low)) ** (n - have - more)
+                after[count] = after.get(count, 0) + p
+        ways = after
+    return float(1 - ways.get(n, 0))
+
+
+def test_one_sample_law():
+    for n, d in ((3, 0.4), (5, 0.31), (8, 0.25), (12, 0.4)):
+        assert di.matrix_ks_tail(d, n) == pytest.approx(brute_one_sample_tail(d, n), abs=1e-9)
+    for n in (141, 300, 900):  # the series meets the matrix where both can be had
+        for z in (0.5, 0.8, 1.2, 1.6, 2.2):
+            assert di.series_ks_tail(z / math.sqrt(n), n) == pytest.approx(di.matrix_ks_tail(z / math.sqrt(n), n), abs=1e-5)
+    assert di.one_sample_ks_tail(1.0, 50) == 0.0 and di.one_sample_ks_tail(0.004, 100) == 1.0
+    assert di.series_ks_tail(1e-9, 10**6) == 1.0 and di.series_ks_tail(0.01, 10**8) == 0.0
+
+
+def test_two_sample_laws_on_both_sides_of_the_switch():
+    for m, n, d in ((9_990, 9_995, 0.02), (10_010, 9_995, 0.02), (10_001, 40, 0.2)):
+        exact, finite = (di.two_sample_ks_p(d, m, n, law) for law in ("exact", "finite"))
+        assert di.two_sample_ks_p(d, m, n) == (exact if max(m, n) <= 10_000 else finite)
+        assert finite == pytest.approx(exact, abs=0.012)
+        assert di.two_sample_ks_p(d, m, n, "series") == pytest.approx(finite, abs=5e-3)
