@@ -255,7 +255,7 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- forest
 
-TREES, FOLD_TREES = 500, 100  # five fits of 500 trees take minutes on one machine
+TREES, FOLD_TREES = 500, 100  # five fits of 500 trees take minutes on one machine, see the README
 
 
 def forest_input(spark, sf) -> DataFrame:
@@ -281,7 +281,7 @@ def _(spark, sf):
 @query("forest_permutation_importance")
 def _(spark, sf):
     days = durable(model_table(spark, sf))
-    model = fo.fit_forest(fo.forest_rows(days, "count", FEATURES), trees=FOLD_TREES)
+    model = fo.fit_forest(fo.forest_rows(days, "count", FEATURES), trees=TREES)
     return fo.permutation_importance(model, days, "count", FEATURES, order=["date"], repeats=10)
 
 
