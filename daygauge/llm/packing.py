@@ -20,14 +20,14 @@ SEQUENCE = 2048
 END = 1
 #: Sources with a queue of their own, the largest by tokens, besides those with a given proportion; all others share the queues after
 #: them by hash.
-OWN_QUEUES = 192
+OWN_QUEUES = 4096
 SHARED_QUEUES = 64
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 600_000
 #: Words looked up at once.
 CHUNK_WORDS = 125_000
-#: Sequences whose quotas are worked out at once.
-BLOCK = 4096
+#: Quotas (sequences times queues) that are worked out at once.
+BLOCK = 1 << 20
 
 
 #: Characters whose words can be found here as the tokenizer finds them: ASCII and Latin letters with their usual signs. Fixed values.
@@ -208,9 +208,10 @@ class Quotas:
 def _pieces(quotas: Quotas, queue: int, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Document number, start in it, length, sequence and offset of the pieces of adjoining documents of a queue."""
     low, end = int(starts[0]), int(starts[-1] + lengths[-1])
-    sequence = int(quotas.near(queue, np.array([low]), -1)[0])
+    sequence, last = (int(quotas.near(queue, np.array([at]), margin)[0]) for at, margin in ((low, -1), (end, 1)))
+    most = max(BLOCK // len(quotas.rates), 16)
     while low < end:
-        run = np.arange(sequence, min(sequence + BLOCK, quotas.sequences) + 1)
+        run = np.arange(sequence, min(max(min(sequence + most, last), sequence + 1), quotas.sequences) + 1)
         served = quotas.served(quotas.ranks(run))
         edge = served[:, queue]
         high = min(end, int(edge[-1]))

@@ -52,6 +52,23 @@ def test_pieces(documents, tokenizer):
                 assert abs(got - 2048 * all_ / whole) < 2
 
 
+def test_each_of_many_sources_has_its_share_of_every_window(documents, tokenizer):
+    rows = [(i, f"text of {i} " * (20 + i % 7), f"s{i % 300}") for i in range(900)]
+    by_sequence, sizes = checked(packing.pack(documents(rows).repartition(2), tokenizer).collect(), rows, tokenizer)
+    total = defaultdict(int)
+    for own in by_sequence.values():
+        for _, n, s in own:
+            total[s] += n
+    whole = sum(total.values())
+    assert len(total) == 300 and sizes.count(2048) > 10
+    for k, n in enumerate(sizes):
+        if n == 2048:
+            got = defaultdict(int)
+            for _, m, s in by_sequence[k]:
+                got[s] += m
+            assert all(abs(got[s] - 2048 * all_ / whole) <= 2 for s, all_ in total.items())
+
+
 def test_given_proportions(documents, tokenizer):
     rows = [(i, "plain words here " * 200, "ab"[i % 2]) for i in range(40)]
     by_sequence, _ = checked(packing.pack(documents(rows), tokenizer, proportions={"a": 3.0, "b": 1.0}).collect(), rows, tokenizer)
