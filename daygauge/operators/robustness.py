@@ -193,7 +193,7 @@ def _adf_one(y: np.ndarray) -> tuple[float, float, int, int]:
 
 
 def adf_test(days: DataFrame, values: Sequence[str], *, date: str = "date", series=None, min_rows: int = 20) -> DataFrame:
-    """Augmented Dickey-Fuller per series and column; shorter series give no row.
+    """Augmented Dickey-Fuller per series and column; shorter series give no row, a constant one has no statistic and says so in ``note``.
 
     The lag search needs the ordered series itself, so each one is handed to a task as a whole: the input must be
     day-grain, where a group is no longer than its calendar.
@@ -203,14 +203,16 @@ def adf_test(days: DataFrame, values: Sequence[str], *, date: str = "date", seri
         F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values]))).dropna(subset=["value"])
     fields = [f for f in days.schema.fields if f.name in by]
     schema = T.StructType(fields + T.StructType.fromDDL(
-        "name string, adf double, p double, lag int, n_obs long, stationary boolean").fields)
+        "name string, adf double, p double, lag int, n_obs long, stationary boolean, note string").fields)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < min_rows or pdf["value"].nunique() < 2:
+        if len(pdf) < min_rows:
             return pd.DataFrame(columns=schema.names)
+        first = pdf.iloc[0]
+        if pdf["value"].nunique() < 2:
+            return pd.DataFrame([(*(first[c] for c in by), first["name"], None, None, None, len(pdf), None, "constant")], columns=schema.names)
         y = pdf.sort_values(date)["value"].to_numpy()
         tau, p, lag, n = _adf_one(y)
-        first = pdf.iloc[0]
-        return pd.DataFrame([(*(first[c] for c in by), first["name"], tau, p, lag, n, p < 0.05)], columns=schema.names)
+        return pd.DataFrame([(*(first[c] for c in by), first["name"], tau, p, lag, n, p < 0.05, None)], columns=schema.names)
 
     return long.groupBy(*by, "name").applyInPandas(test, schema)

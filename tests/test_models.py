@@ -142,6 +142,8 @@ def test_adf(frame):
     rows = {r["name"]: r for r in rb.adf_test(frame(pdf), ["walk", "noise"]).collect()}
     assert rows["noise"].stationary and not rows["walk"].stationary
     assert rb.adf_test(frame(pdf[:15]), ["walk"]).count() == 0
+    flat = rb.adf_test(frame(pdf.assign(flat=2.5)), ["flat", "noise"]).orderBy("name").collect()
+    assert [(r["name"], r.adf is None, r.n_obs, r.note) for r in flat][0] == ("flat", True, 300, "constant") and flat[1].note is None
 
 
 def test_spearman_with_ties(frame):
