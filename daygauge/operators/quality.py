@@ -155,17 +155,23 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def file_totals(files: DataFrame) -> DataFrame:
-    """One row over a ``file_audit``: files, unreadable files, all column names, those that some readable file lacks."""
+def file_totals(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row over a ``file_audit``, or one per group: files, unreadable files, all column names, those that some readable file lacks."""
     def union(column: Column | str) -> Column:
         return F.array_sort(F.array_distinct(F.flatten(F.collect_set(column))))
 
-    return files.agg(F.count("*").alias("_files"), F.count_if(~F.col("readable")).alias("_unreadable"),
+    return files.groupBy(*by).agg(F.count("*").alias("_files"), F.count_if(~F.col("readable")).alias("_unreadable"),
                      F.count("damage").alias("_damaged"), F.coalesce(F.sum("n_lost"), F.lit(0)).alias("_lost"),
                      union("columns").alias("_actual"),
                      union(F.when(F.col("readable"), F.col("missing_columns"))).alias("_lacking"))
 
 
+def with_files(out: DataFrame, files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Each source with its ``file_totals``; a source without a file has none of them."""
+    have = attach(out, file_totals(files, by), by).fillna(0, ["_files", "_unreadable", "_damaged", "_lost"])
+    return have.withColumns({c: F.coalesce(c, _strings([])) for c in ("_actual", "_lacking")})
+
+
 def file_notes() -> list[Column]:
     """Errors that ``file_totals`` give rise to."""
     return [_note(F.col("_files") == 0, F.lit("No file found.")),
@@ -178,34 +184,42 @@ def source_report(name: str, rows: DataFrame, *, expected: Sequence[str], actual
                   drift_columns: Sequence[str], date: str, series=None, extra_warnings: Sequence[tuple[Column, str]] = (),
                   extra_errors: Sequence[tuple[Column, str]] = (), counts: Sequence[Column] = (),
                   missing_is_error: bool = False, files: DataFrame | None = None, sources: Sequence[str] | None = None,
-                  shown: int = 30) -> DataFrame:
+                  shown: int = 30, law: str = "auto") -> DataFrame:
     """One nested row per source: coverage, schema, gaps, column checks, drift checks, warnings, errors, passed.
 
     With ``series`` all stations of one kind are audited by the same jobs and give a row each, named
     "name series"; each of ``sources`` gets a row, also if it has no rows. ``counts`` are named aggregates over the rows
     that the extra notes may refer to. With ``files`` (a ``file_audit``) the columns are those of the files and not
-    ``actual``, a column counts as missing if any readable file lacks it, and files without a header are errors.
-    ``actual_columns`` holds the first ``shown`` names.
+    ``actual``, a column counts as missing if any readable file lacks it, and files without a header are errors. Files that
+    carry the ``series`` are judged per source, each of their sources gets a row too, and expected columns that no file of a source
+    has are not profiled for it. ``actual_columns`` holds the first ``shown`` names; ``law`` is that of ``drift``.
     """
     by = keys(series)
+    own = list(by) if files is not None and all(c in files.columns for c in by) else []
     out = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.min(F.to_date(date)).alias("first_date"),
                                 F.max(F.to_date(date)).alias("last_date"), *counts)
-    if sources is not None:
-        every = rows.sparkSession.createDataFrame([(s,) for s in sources], f"{by[0]} string")
+    known = [] if sources is None else [rows.sparkSession.createDataFrame([(s,) for s in sources], f"{by[0]} string")]
+    known += [files.select(*own)] if own else []
+    if known:
+        every = reduce(DataFrame.unionByName, known).distinct()
         out = every.join(out, by, "full").fillna(0, ["n_rows"])
     gaps = missing_days(rows, date=date, series=series).groupBy(*by).agg(F.count("*").alias("n_gaps"))
     profiled = [c for c in profile if c in rows.columns]
     values = value_table(rows, profiled, series=series, date=date)
     checks = _as_list(column_profile(rows, profiled, series=series, values=values), by, ["name"], "column_checks")
-    drifts = _as_list(drift(rows, [c for c in drift_columns if c in profiled], date=date, series=series, values=values), by,
+    drifts = _as_list(drift(rows, [c for c in drift_columns if c in profiled], date=date, series=series, values=values, law=law), by,
                       ["name", "period_a"], "drift_checks")
     for part in (gaps, checks, drifts):
         out = attach(out, part, by)
-    out = attach(out, file_totals(files), []) if files is not None else out.withColumn("_actual", _strings(actual))
+    out = with_files(out, files, own) if files is not None else out.withColumn("_actual", _strings(actual))
     want = _strings(sorted(set(expected)))
     lacking = F.col("_lacking") if files is not None else F.array_except(want, "_actual")
+    absent = _strings([])
+    if files is not None:
+        absent = F.array_except(want, "_actual")
     out = out.withColumns({"n_gaps": F.coalesce("n_gaps", F.lit(0)).cast("long"),
-                           "column_checks": F.coalesce("column_checks", F.array().cast(checks.schema["column_checks"].dataType)),
+                           "column_checks": F.filter(F.coalesce("column_checks", F.array().cast(checks.schema["column_checks"].dataType)),
+                                                     lambda check: ~F.array_contains(absent, check["name"])),
                            "drift_checks": F.coalesce("drift_checks", F.array().cast(drifts.schema["drift_checks"].dataType)),
                            "missing_columns": F.array_sort(lacking), "extra_columns": F.array_sort(F.array_except("_actual", want)),
                            "expected_columns": _strings(expected), "actual_columns": F.slice("_actual", 1, shown)})
@@ -223,18 +237,18 @@ def source_report(name: str, rows: DataFrame, *, expected: Sequence[str], actual
 
 
 def counter_report(days: DataFrame, columns: Sequence[str] = (), *, name: str = "counter", date: str = "date",
-                   count: str = "count", files: DataFrame | None = None, series=None) -> DataFrame:
+                   count: str = "count", files: DataFrame | None = None, series=None, law: str = "auto") -> DataFrame:
     """Audit of day totals read from counter files whose header was ``columns``, or from the ``files`` of a
     ``file_audit``; no day at all is an error. With ``series`` each counter has a report."""
     return source_report(
-        name, days, expected=COUNTER_COLUMNS, actual=columns, profile=[count], files=files, series=series,
+        name, days, expected=COUNTER_COLUMNS, actual=columns, profile=[count], files=files, series=series, law=law,
         drift_columns=[count], date=date, missing_is_error=True, counts=[F.count_if(F.col(count) == 0).alias("n_zero")],
         extra_warnings=[(F.col("n_zero") > 0, "Zero-count days (possible counter outage).")],
         extra_errors=[(F.col("n_rows") == 0, "No counter day could be read.")])
 
 
 def weather_report(hours: DataFrame, *, name: str = "weather", date: str = "timestamp", series=None,
-                   stations: Sequence[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+                   stations: Sequence[str] | None = None, files: DataFrame | None = None, law: str = "auto") -> DataFrame:
     """Audit of hourly weather; negative precipitation is an error, implausible values are warnings.
 
     Each of ``stations`` gets a report; for one without rows that no row could be read is an error.
@@ -247,7 +261,7 @@ def weather_report(hours: DataFrame, *, name: str = "weather", date: str = "time
 
     return source_report(
         name, hours, expected=("timestamp", *sorted(WEATHER_COLUMNS)), actual=fields, series=series, profile=WEATHER_COLUMNS,
-        sources=stations, files=files, drift_columns=("temp_c", "precip_1h_mm", "wind_speed_ms"), date=date,
+        sources=stations, files=files, law=law, drift_columns=("temp_c", "precip_1h_mm", "wind_speed_ms"), date=date,
         counts=[extreme(F.min, "temp_c", "t_lo"), extreme(F.max, "temp_c", "t_hi"), extreme(F.min, "precip_1h_mm", "p_lo"),
                 extreme(F.max, "wind_speed_ms", "w_hi")],
         extra_warnings=[(F.col("t_lo") < -40, "Suspicious minimum temperature."), (F.col("t_hi") > 50, "Suspicious maximum temperature."),
@@ -257,33 +271,41 @@ def weather_report(hours: DataFrame, *, name: str = "weather", date: str = "time
 
 def survey_report(answers: DataFrame, *, satisfaction: str, region: str, expected: Sequence[str], name: str = "survey",
                   files: DataFrame | None = None) -> DataFrame:
-    """Audit of survey answers: expected names are matched as parts of column names. With ``files`` (a ``file_audit``)
-    no file and files without a header are errors."""
-    columns = answers.columns
-    lost = [e for e in expected if not any(e in c for c in columns)]
+    """Audit of survey answers: expected names are matched as parts of column names.
+
+    With ``files`` (a ``file_audit``) the columns are those of the files; files without a header are warnings, no file, none that
+    can be read and damaged files are errors.
+    """
     rating = number(satisfaction)
     rows = answers.select(rating.alias("satisfaction"), F.col(region).cast("string").alias("_region"))
     head = rows.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("satisfaction").between(1, 5)).alias("n_out_of_range"),
                     F.count_if(F.col("_region").isNull()).alias("region_missing"), F.count_distinct("_region").alias("n_regions"))
     checks = _as_list(column_profile(rows, ["satisfaction"]), [], ["name"], "column_checks")
     out = attach(head, checks, [])
-    out = (out if files is None else attach(out, file_totals(files), [])).withColumns({"source_name": F.lit(name), "missing_columns": _strings(lost)})
+    out = out.withColumn("_actual", _strings(answers.columns)) if files is None else with_files(out, files)
+    lost = F.filter(_strings(expected), lambda e: ~F.exists("_actual", lambda c: F.contains(c, e)))
+    out = out.withColumns({"source_name": F.lit(name), "missing_columns": lost})
+    absent, unreadable, damaged = file_notes() if files is not None else (F.lit(None).cast("string"),) * 3
+    some = F.lit(False) if files is None else F.col("_unreadable") < F.col("_files")
     out = out.withColumns({
         "warnings": _notes(_note(F.size("missing_columns") > 0, F.concat(F.lit("Missing columns: "), F.array_join("missing_columns", ", "))),
-                           _note(F.col("n_out_of_range") > 0, F.lit("Satisfaction values outside 1..5."))),
-        "errors": _notes(_note(F.col("n_rows") == 0, F.lit("No survey row could be read.")),
-                         *(file_notes() if files is not None else []))})
+                           _note(F.col("n_out_of_range") > 0, F.lit("Satisfaction values outside 1..5.")), F.when(some, unreadable)),
+        "errors": _notes(_note(F.col("n_rows") == 0, F.lit("No survey row could be read.")), absent, F.when(~some, unreadable), damaged)})
     pct = F.bround(F.col("region_missing") / F.greatest(F.col("n_rows"), F.lit(1)) * 100, 2)
-    return out.select("source_name", "n_rows", F.lit(len(columns)).alias("n_columns"), "n_out_of_range", "n_regions",
+    return out.select("source_name", "n_rows", F.size("_actual").alias("n_columns"), "n_out_of_range", "n_regions",
                       "region_missing", pct.alias("region_pct_missing"), "missing_columns", "column_checks", "warnings",
                       "errors", (F.size("errors") == 0).alias("passed"))
 
 
+def drift_events() -> Column:
+    """Tests of a report that found drift."""
+    return F.size(F.filter("drift_checks", lambda d: d["drift_detected"]))
+
+
 def audit_totals(reports: Sequence[DataFrame]) -> DataFrame:
     """Sources, rows, warnings, errors, drift events and overall verdict over all source reports."""
     lines = [r.select("source_name", "n_rows", F.size("warnings").alias("w"), F.size("errors").alias("e"),
-                      (F.size(F.filter("drift_checks", lambda d: d["drift_detected"])) if "drift_checks" in r.columns
-                       else F.lit(0)).alias("d"), "passed") for r in reports]
+                      (drift_events() if "drift_checks" in r.columns else F.lit(0)).alias("d"), "passed") for r in reports]
     return reduce(DataFrame.unionByName, lines).agg(
         F.count("*").alias("total_sources_audited"), F.sum("n_rows").alias("total_rows_audited"),
         F.sum("w").alias("total_warnings"), F.sum("e").alias("total_errors"), F.sum("d").alias("total_drift_events"),

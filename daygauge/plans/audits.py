@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daygauge.operators import quality as ql
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import ANSWERS, HOURS, READINGS, answers, count_days, hours, readings, sql_days, table
-from daygauge.plans.statistics import DRIFT
+from daygauge.plans.statistics import DRIFT, DRIFT_STEPS, DRIFT_TESTS
 from daygauge.session import durable, scratch_path
 from daygauge.sources import sinks as sk
 
@@ -41,12 +41,12 @@ def _(spark, sf):
     return ql.column_profile(rows, ["l_extendedprice", "l_quantity"], series="site")
 
 
-def counter_audit(spark, sf) -> DataFrame:
-    return ql.counter_report(durable(count_days(spark, sf)), ["aggregate from", "aggregate to", "total count"])
+def counter_audit(spark, sf, law="auto") -> DataFrame:
+    return ql.counter_report(durable(count_days(spark, sf)), ["aggregate from", "aggregate to", "total count"], law=law)
 
 
-def weather_audit(spark, sf) -> DataFrame:
-    return ql.weather_report(durable(hours(spark, sf)), series="station", stations=(*STATIONS, "closed"))
+def weather_audit(spark, sf, law="auto") -> DataFrame:
+    return ql.weather_report(durable(hours(spark, sf)), series="station", stations=(*STATIONS, "closed"), law=law)
 
 
 def survey_audit(spark, sf) -> DataFrame:
@@ -96,15 +96,17 @@ def _(spark, sf):
         F.size("warnings").alias("n_warnings"), "passed")
 
 
-@query("audit_totals", f"""WITH {sql_days()}, {HOURS}, {ANSWERS}, {WEATHER_REPORTS}, lines AS (
+@query("audit_totals", f"""WITH {sql_days()}, {HOURS}, {ANSWERS}, {WEATHER_REPORTS},
+long AS (SELECT 'counter' AS site, date, 'count' AS name, CAST(count AS DOUBLE) AS value FROM days
+  UNION ALL SELECT station, CAST(timestamp AS DATE), 'temp_c', temp_c FROM hours UNION ALL SELECT station, CAST(timestamp AS DATE), 'precip_1h_mm', precip_1h_mm FROM hours
+  UNION ALL SELECT station, CAST(timestamp AS DATE), 'wind_speed_ms', wind_speed_ms FROM hours), {DRIFT_STEPS}, {DRIFT_TESTS}, lines AS (
   SELECT n_rows AS n, len(w) + CAST(n_gaps > 0 AS INT) AS warnings, CAST(NOT passed AS INT) AS errors FROM r
   UNION ALL SELECT count(*), CAST(date_diff('day', min(date), max(date)) + 1 > count(*) AS INT) + CAST(count(*) FILTER (WHERE count = 0) > 0 AS INT), CAST(count(*) = 0 AS INT) FROM days
   UNION ALL SELECT count(*), 1 + CAST(count(*) FILTER (WHERE satisfaction NOT BETWEEN 1 AND 5) > 0 AS INT), CAST(count(*) = 0 AS INT) FROM answers)
 SELECT count(*) AS total_sources_audited, CAST(sum(n) AS BIGINT) AS total_rows_audited, CAST(sum(warnings) AS BIGINT) AS total_warnings,
-CAST(sum(errors) AS BIGINT) AS total_errors, sum(errors) = 0 AS overall_passed FROM lines""")
+CAST(sum(errors) AS BIGINT) AS total_errors, (SELECT count(*) FROM p WHERE p < 0.05) AS total_drift_events, sum(errors) = 0 AS overall_passed FROM lines""")
 def _(spark, sf):
-    totals = ql.audit_totals([counter_audit(spark, sf), weather_audit(spark, sf), survey_audit(spark, sf)])
-    return totals.select("total_sources_audited", "total_rows_audited", "total_warnings", "total_errors", "overall_passed")
+    return ql.audit_totals([counter_audit(spark, sf, "series"), weather_audit(spark, sf, "series"), survey_audit(spark, sf)])
 
 
 @query("audit_report_json", f"""WITH {READINGS}, d AS (SELECT site, date, CAST(sum(people) AS BIGINT) AS count FROM readings GROUP BY 1, 2)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from daygauge.operators import daily as dl
 from daygauge.operators import quality as ql
 from daygauge.plans.registry import query, r6
-from daygauge.plans.roles import HOURS, INTENT, TEXTS, hours, table, texts
+from daygauge.plans.roles import HOURS, INTENT, READINGS, TEXTS, hours, readings, table, texts
+from daygauge.plans.statistics import DRIFT_STEPS, DRIFT_TESTS
 from daygauge.session import durable, scratch_path
-from daygauge.sources import counters, intent, sinks, station, survey, weather
+from daygauge.sources import audits, counters, intent, sinks, station, survey, weather
 from daygauge.sources.columns import file_audit, locate_header, read_cells
 from daygauge.streaming import incremental
 
@@ -307,3 +308,89 @@ def _(spark, sf):
     table(spark, sf, "orders").select(F.lit("order").alias("kind"), "o_orderkey").write.option("header", True).csv(root)
     cells = read_cells(spark, root, width=4)
     return cells.where(F.col("cells")[0] != "kind").groupBy(F.col("cells")[0].alias("kind")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- audits from paths
+
+STATION_IN_PATH = r"station=([^/]+)/"
+HOURLY = ("timestamp", *sorted(ql.WEATHER_COLUMNS))
+
+
+def write_silent(spark, sf, root: str) -> None:
+    """A file a region in which no cell holds a word."""
+    table(spark, sf, "region").select(F.lit(None).cast("string").alias("x"), F.col("r_regionkey").alias("part")).repartition("part").write.partitionBy("part").csv(root)
+
+
+def write_station_files(spark, sf) -> str:
+    """Hourly files of the sites as stations, one of them without snow depth, next to a station whose files are silent."""
+    root = scratch_path(spark, "stations")
+    rows = readings(spark, sf).withColumn("timestamp", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+    for site, columns in (("A", HOURLY), ("N", [c for c in HOURLY if c != "snow_depth_cm"]), ("R", HOURLY[::-1])):
+        rows.where(F.col("site") == site).select(*columns).coalesce(4).write.option("header", True).csv(f"{root}/station={site}")
+    write_silent(spark, sf, f"{root}/station=mute")
+    return root
+
+
+def write_survey_with_silent(spark, sf) -> str:
+    root = write_survey(spark, sf)
+    write_silent(spark, sf, root + "/c")
+    return root
+
+
+# Lines per station: the numbers of a report and its notes; events are tests of drift with p below the level.
+STATION_LINES = f"""{READINGS}, long AS (SELECT site, date, 'temp_c' AS name, temp_c AS value FROM readings
+  UNION ALL SELECT site, date, 'precip_1h_mm', precip_1h_mm FROM readings UNION ALL SELECT site, date, 'wind_speed_ms', wind_speed_ms FROM readings),
+{DRIFT_STEPS}, {DRIFT_TESTS}, drifts AS (SELECT site, count(*) AS checks, count(*) FILTER (WHERE p < 0.05) AS events FROM p GROUP BY site),
+span AS (SELECT site, count(*) AS n, min(date) AS first_date, max(date) AS last_date, date_diff('day', min(date), max(date)) + 1 - count(DISTINCT date) AS gaps,
+  min(temp_c) AS cold, max(temp_c) AS hot, max(wind_speed_ms) AS wind, min(precip_1h_mm) AS rain FROM readings GROUP BY site),
+stations AS (SELECT site AS station, n AS n_rows, CASE site WHEN 'N' THEN 6 ELSE 7 END AS n_columns, first_date, last_date, gaps AS n_gaps,
+  CASE site WHEN 'N' THEN 5 ELSE 6 END AS n_checks, coalesce(checks, 0) AS n_drift_checks, coalesce(events, 0) AS n_drift_events,
+  list_filter([CASE WHEN gaps > 0 THEN gaps || ' date gaps detected.' END, CASE WHEN site = 'N' THEN 'Missing columns: snow_depth_cm' END,
+    CASE WHEN cold < -40 THEN 'Suspicious minimum temperature.' END, CASE WHEN hot > 50 THEN 'Suspicious maximum temperature.' END,
+    CASE WHEN wind > 60 THEN 'Extreme wind speed.' END], lambda x: x IS NOT NULL) AS w,
+  list_filter([CASE WHEN rain < 0 THEN 'Negative precipitation detected.' END], lambda x: x IS NOT NULL) AS e
+  FROM span LEFT JOIN drifts USING (site)
+  UNION ALL SELECT 'closed', 0, 0, NULL, NULL, 0, 0, 0, 0, [], ['No weather row could be read.', 'No file found.']
+  UNION ALL SELECT 'mute', 0, 0, NULL, NULL, 0, 0, 0, 0, [], ['No weather row could be read.', (SELECT count(*) FROM region) || ' unreadable files.'])"""
+
+
+@query("weather_report_from_files", f"""WITH {STATION_LINES} SELECT 'weather ' || station AS source_name, * EXCLUDE (station, w, e),
+  array_to_string(w, ' ') AS warnings, array_to_string(e, ' ') AS errors, len(e) = 0 AS passed FROM stations""")
+def _(spark, sf):
+    report = audits.weather_files_report(spark, write_station_files(spark, sf), station_pattern=STATION_IN_PATH, stations=("A", "closed"), law="series")
+    return report.select(
+        "source_name", "n_rows", "n_columns", "first_date", "last_date", "n_gaps", F.size("column_checks").alias("n_checks"),
+        F.size("drift_checks").alias("n_drift_checks"), ql.drift_events().alias("n_drift_events"),
+        F.array_join("warnings", " ").alias("warnings"), F.array_join("errors", " ").alias("errors"), "passed")
+
+
+SURVEY_PARTS = ("overall", "recommend", "income")
+SURVEY_LINE = """survey AS (SELECT count(*) AS n_rows, count(DISTINCT prefecture) AS n_regions, count(*) FILTER (WHERE satisfaction NOT BETWEEN 1 AND 5) AS n_out_of_range,
+  avg(satisfaction) AS mean, list_filter(['Missing columns: income', CASE WHEN count(*) FILTER (WHERE satisfaction NOT BETWEEN 1 AND 5) > 0 THEN 'Satisfaction values outside 1..5.' END,
+    (SELECT count(*) FROM region) || ' unreadable files.'], lambda x: x IS NOT NULL) AS w FROM texts WHERE location IS NOT NULL)"""
+
+
+@query("survey_report_from_files", f"""WITH {TEXTS}, {SURVEY_LINE} SELECT 'survey' AS source_name, n_rows, 9 AS n_columns, n_out_of_range, n_regions, 'income' AS missing_columns,
+mean, array_to_string(w, ' ') AS warnings, '' AS errors, true AS passed FROM survey""", r6("mean"))
+def _(spark, sf):
+    report = audits.survey_files_report(spark, write_survey_with_silent(spark, sf), satisfaction="overall", expected=SURVEY_PARTS)
+    return report.select(
+        "source_name", "n_rows", "n_columns", "n_out_of_range", "n_regions", F.array_join("missing_columns", ", ").alias("missing_columns"),
+        F.col("column_checks")[0]["mean"].alias("mean"), F.array_join("warnings", " ").alias("warnings"), F.array_join("errors", " ").alias("errors"), "passed")
+
+
+@query("audit_totals_from_files", f"""WITH {STATION_LINES}, {TEXTS}, {SURVEY_LINE}, {COUNTERS}, d AS (SELECT date, sum(count) AS count FROM files GROUP BY date),
+lines AS (SELECT n_rows, len(w) AS warnings, len(e) AS errors, n_drift_events AS events FROM stations
+  UNION ALL SELECT n_rows, len(w), 0, 0 FROM survey
+  UNION ALL SELECT count(*), CAST(date_diff('day', min(date), max(date)) + 1 > count(*) AS INT) + CAST(count(*) FILTER (WHERE count = 0) > 0 AS INT), 2, 0 FROM d
+  UNION ALL SELECT 0, 0, 2, 0)
+SELECT count(*) AS total_sources_audited, CAST(sum(n_rows) AS BIGINT) AS total_rows_audited, CAST(sum(warnings) AS BIGINT) AS total_warnings,
+CAST(sum(errors) AS BIGINT) AS total_errors, CAST(sum(events) AS BIGINT) AS total_drift_events, sum(errors) = 0 AS overall_passed FROM lines""")
+def _(spark, sf):
+    root = write_mixed_files(spark, sf)
+    reports = audits.audit_files(spark, {
+        "counter": ("counter", {"path": root, "date_pattern": DAY_IN_PATH, "series_pattern": None, "law": "series"}),
+        "old counter": ("counter", {"path": root + "/kind=absent"}),
+        "weather": ("weather", {"path": write_station_files(spark, sf), "station_pattern": STATION_IN_PATH, "stations": ("closed",), "law": "series"}),
+        "survey": ("survey", {"path": write_survey_with_silent(spark, sf), "satisfaction": "overall", "expected": SURVEY_PARTS})})
+    return ql.audit_totals(list(reports.values()))

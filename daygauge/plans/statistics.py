@@ -130,8 +130,8 @@ def _(spark, sf):
     return profile.select("site", F.col("n_outliers_zscore").alias("n_outliers"))
 
 
-DRIFT = """long AS (SELECT site, date, 'people' AS name, CAST(people AS DOUBLE) AS value FROM readings UNION ALL SELECT site, date, 'temp_c', temp_c FROM readings),
-present AS (SELECT DISTINCT site, name, date_trunc('month', date) AS m FROM long),
+# Every step of the drift test from a table ``long`` (site, name, date, value) on.
+DRIFT_STEPS = """present AS (SELECT DISTINCT site, name, date_trunc('month', date) AS m FROM long),
 blocks AS (SELECT site, name, m, CAST(floor((row_number() OVER (PARTITION BY site, name ORDER BY m) - 1) / 3) AS INT) AS b FROM present),
 placed AS (SELECT site, name, b, value FROM long JOIN blocks USING (site, name) WHERE m = date_trunc('month', date)),
 moments AS (SELECT site, name, b, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM placed GROUP BY 1, 2, 3),
@@ -141,6 +141,8 @@ steps AS (SELECT site, name, pair, value, sum(a) AS a, sum(z) AS z FROM sides GR
 cdf AS (SELECT site, name, pair, sum(a) OVER w / nullif(sum(a) OVER g, 0) AS fa, sum(z) OVER w / nullif(sum(z) OVER g, 0) AS fz FROM steps
   WINDOW w AS (PARTITION BY site, name, pair ORDER BY value), g AS (PARTITION BY site, name, pair)),
 ks AS (SELECT site, name, pair, max(abs(fa - fz)) AS d FROM cdf GROUP BY 1, 2, 3)"""
+DRIFT = f"""long AS (SELECT site, date, 'people' AS name, CAST(people AS DOUBLE) AS value FROM readings UNION ALL SELECT site, date, 'temp_c', temp_c FROM readings),
+{DRIFT_STEPS}"""
 
 
 @query("drift_between_blocks", f"""WITH {READINGS}, {DRIFT}
@@ -175,10 +177,13 @@ def sql_series_ks(d: str, n: str) -> str:
     return f"CASE WHEN {z} <= 0 THEN 1 WHEN {z} > 6 THEN 0 ELSE least(1, greatest(0, 1 - ({terms.replace('Z', z)}))) END"
 
 
-@query("drift_series_pvalues", f"""WITH {READINGS}, {DRIFT}, tests AS (SELECT site, name, x.period AS period_a, y.period AS period_b, d, a.n * z.n / (a.n + z.n)::DOUBLE AS rows
+DRIFT_TESTS = f"""tests AS (SELECT site, name, x.period AS period_a, y.period AS period_b, d, a.n * z.n / (a.n + z.n)::DOUBLE AS rows
 FROM ks JOIN moments a USING (site, name) JOIN moments z USING (site, name) JOIN spans x USING (site, name) JOIN spans y USING (site, name)
 WHERE a.b = pair AND z.b = pair + 1 AND x.b = pair AND y.b = pair + 1 AND a.n >= 10 AND z.n >= 10),
-p AS (SELECT *, {sql_series_ks('d', 'rows')} AS p FROM tests)
+p AS (SELECT *, {sql_series_ks('d', 'rows')} AS p FROM tests)"""
+
+
+@query("drift_series_pvalues", f"""WITH {READINGS}, {DRIFT}, {DRIFT_TESTS}
 SELECT site, name, period_a, period_b, round_even(p, 4) AS ks_pvalue, p < 0.05 AS drift_detected, 'series' AS ks_law FROM p""")
 def _(spark, sf):
     return ql.drift(readings(spark, sf), ["people", "temp_c"], series="site", law="series").select(

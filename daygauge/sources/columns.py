@@ -89,14 +89,14 @@ def first_lines(cells: DataFrame) -> DataFrame:
 
 
 def file_audit(spark: SparkSession, path, required: Sequence[str] = (), *, recursive: bool = True, encoding: str = "UTF-8",
-               multiline: bool = False) -> DataFrame:
+               multiline: bool = False, heads: DataFrame | None = None) -> DataFrame:
     """One row per CSV file below the path: file, columns, missing_columns, readable, n_records, n_read, n_lost, damage.
 
     A file whose first record is absent (empty, damaged) or holds no word is not readable. The counts are those of ``file_damage``:
     records that a damaged file holds and the reader does not return are ``n_lost``. No path or no file gives no row.
     The names come from the file index that Spark's driver holds for any read, since a scan skips empty files.
     """
-    heads = header_index(spark, path, recursive=recursive, encoding=encoding)
+    heads = header_index(spark, path, recursive=recursive, encoding=encoding) if heads is None else heads
     damage = file_damage(spark, path, recursive=recursive, encoding=encoding, multiline=multiline)
     words = F.filter(F.transform("header", lambda h: F.trim(h)), lambda h: h.isNotNull() & (h != ""))
     seen = heads.select("file", words.alias("columns")).join(damage, "file")

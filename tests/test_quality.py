@@ -1,3 +1,5 @@
+import gzip
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -154,3 +156,55 @@ def test_station_without_rows_and_drift_totals(frame):
     drifted = sum(d.drift_detected for d in rows["weather north"].drift_checks)
     totals = ql.audit_totals([report]).first()
     assert drifted >= 1 and totals.total_drift_events == drifted and totals.total_sources_audited == 2 and totals.total_errors == 1
+
+
+def test_audits_of_paths_by_station(spark, tmp_path):
+    """A whole, a narrow, a headerless and an absent station, and a file that ends within its stream."""
+    from daygauge.sources import audits
+
+    days = "".join(f"2024-01-0{d} 00:00:00,{d}.5,-1\n" for d in (1, 2, 4))
+    for name, text in {"whole": "timestamp,temp_c,precip_1h_mm\n" + days, "narrow": "temp_c,timestamp\n7,2024-01-01 00:00:00\n", "mute": ",\n"}.items():
+        (tmp_path / f"station={name}").mkdir()
+        (tmp_path / f"station={name}" / "hours.csv").write_text(text)
+    cut = tmp_path / "station=cut"
+    cut.mkdir()
+    packed = gzip.compress(("timestamp,temp_c\n" + "".join(f"2024-01-01 {i % 24:02}:00:00,{i * 7919 % 50}\n" for i in range(40_000))).encode())
+    (cut / "hours.csv.gz").write_bytes(packed[:-20])
+    got = {r.source_name: r for r in audits.weather_files_report(spark, str(tmp_path), station_pattern=r"station=([^/]+)/", stations=["whole", "gone"]).collect()}
+    assert set(got) == {f"weather {s}" for s in ("whole", "narrow", "mute", "cut", "gone")}
+    whole, narrow = got["weather whole"], got["weather narrow"]
+    assert whole.errors == ["Negative precipitation detected."] and whole.n_gaps == 1 and whole.n_columns == 3
+    assert {c.name for c in whole.column_checks} == {"temp_c", "precip_1h_mm"} and narrow.passed
+    assert [c.name for c in narrow.column_checks] == ["temp_c"] and "precip_1h_mm" in narrow.missing_columns
+    assert got["weather mute"].errors == ["No weather row could be read.", "1 unreadable files."] and got["weather mute"].missing_columns == []
+    assert any(e.startswith("1 damaged files") for e in got["weather cut"].errors)
+    assert got["weather gone"].errors == ["No weather row could be read.", "No file found."] and got["weather gone"].n_columns == 0
+
+
+def test_audits_of_absent_folders(spark, tmp_path):
+    from daygauge.sources import audits
+
+    gone = str(tmp_path / "gone")
+    reports = audits.audit_files(spark, {
+        "gates": ("counter", {"path": gone}), "sky": ("weather", {"path": gone}),
+        "visitors": ("survey", {"path": gone, "satisfaction": "rating", "expected": ["rating"]})})
+    for name, report in reports.items():
+        row = report.first()
+        assert row.source_name == name and not row.passed and row.n_rows == 0 and "No file found." in row.errors
+    total = ql.audit_totals(list(reports.values())).first()
+    assert total.total_sources_audited == 3 and total.total_errors == 6 and not total.overall_passed
+
+
+def test_survey_file_that_cannot_be_read_is_a_warning(spark, tmp_path):
+    from daygauge.sources import audits
+
+    (tmp_path / "a.csv").write_text("where,rating overall,why\nnorth,4,\"one\ntwo\"\nsouth,9,x\n")
+    (tmp_path / "b.csv").write_text("where,other,rating overall\n,z,3\n")
+    (tmp_path / "c.csv").write_text(",\n")
+    row = audits.survey_files_report(spark, str(tmp_path), satisfaction="rating", expected=["rating", "nps"]).first()
+    assert row.passed and row.n_rows == 3 and row.n_columns == 4 and row.n_out_of_range == 1 and row.region_missing == 1
+    assert row.warnings == ["Missing columns: nps", "Satisfaction values outside 1..5.", "1 unreadable files."]
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "c.csv").write_text(",\n")
+    row = audits.survey_files_report(spark, str(tmp_path / "only"), satisfaction="rating", expected=["rating"]).first()
+    assert row.errors == ["No survey row could be read.", "1 unreadable files."] and row.missing_columns == ["rating"]
