@@ -416,10 +416,11 @@ def _(spark, sf):
     return out.withColumn("pct", sc.percent_of(F.col("hits"), F.col("n")))
 
 
-@query("relative_to_largest", f"WITH {sql_days(True)} SELECT site, date, count, count * 100.0::DOUBLE / max(count) OVER (PARTITION BY site) AS relative FROM days", r6("relative"))
+@query("relative_to_largest", f"""WITH {sql_days(True)} SELECT site, date, count, count * 100.0::DOUBLE / max(count) OVER () AS relative,
+count * 100.0::DOUBLE / max(count) OVER (PARTITION BY site) AS relative_in_site FROM days""", r6("relative", "relative_in_site"))
 def _(spark, sf):
-    return st.heat_rank(count_days(spark, sf, "site").select("site", "date", "count"), "count", series=["site", "date"]) \
-        .drop("relative").withColumn("relative", tx.relative_to_max("count", series="site"))
+    ranked = st.heat_rank(count_days(spark, sf, "site"), "count", series=["site", "date"])
+    return ranked.withColumn("relative_in_site", tx.relative_to_max("count", series="site"))
 
 
 @query("weekday_five_numbers", f"""WITH {sql_features()} SELECT dow, quantile_cont(count, 0) AS minimum, quantile_cont(count, 0.25) AS q25, quantile_cont(count, 0.5) AS median,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from daygauge.functions.scalars import finite_or_null
 from daygauge.operators.daily import keys
-from daygauge.session import durable, scratch_path
+from daygauge.session import durable
 
 
 def keep_last(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -41,43 +42,89 @@ def upsert_months(spark: SparkSession, path: str, new: DataFrame, key: Sequence[
 
     If the timestamp is part of the key, other months are not read either. Else a key may move to another month, so the
     keys (no other column) of all months are read to find where the batch's keys are stored; a month that loses its last
-    row goes. The merged months go to a scratch table first, so nothing is overwritten while it is being read, and are
-    then swapped in by partition.
+    row goes.
+
+    The merged months are written beside the table and renamed to its pending commit in one step, then swapped in by partition. A
+    job lost before the rename leaves the table as it was, one lost after it is finished by ``recover_months``, which the next
+    upsert calls; ``read_months`` gives the new table from the rename on. One writer at a time.
     """
-    emptied = set()
+    recover_months(spark, path)
     batch = durable(new.withColumn("month", F.date_format(timestamp, "yyyy-MM")))
+    months = _months(batch)
     try:
         old = spark.read.parquet(path)
         old = old.withColumn("month", F.col("month").cast("string"))
-        months = {r[0] for r in batch.select("month").distinct().collect()}
         if timestamp not in key:
             left, right = old.select(*key, "month").alias("l"), batch.select(*key).distinct().alias("r")
             same = reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key])
-            stored = left.join(right, same, "left_semi").select("month").distinct()
-            months |= {r[0] for r in stored.collect()}
-            emptied = set(months)
-        touched = F.col("month").isin(*(m for m in months if m is not None))
-        old = old.where(touched | F.col("month").isNull() if None in months else touched)
-        merged = upsert(old, batch, key, order)
+            months |= _months(left.join(right, same, "left_semi"))
+        merged = upsert(old.where(_within(months)), batch, key, order)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         merged = keep_last(batch, key, order)
-    staged = scratch_path(spark, "upsert")
-    merged.write.parquet(staged)
-    rows = spark.read.schema(merged.schema).parquet(staged)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    merged.write.parquet(staged + "/rows")
+    spark.createDataFrame([(m,) for m in months], "month string").coalesce(1).write.parquet(staged + "/months")
+    files, place = _place(spark, staged)
+    if not files.rename(place, _place(spark, _pending(path))[1]):
+        raise OSError(f"could not commit {staged}")
+    recover_months(spark, path)
+
+
+def recover_months(spark: SparkSession, path: str) -> None:
+    """Swap in the pending commit of a table, if it has one. Doing so twice, or after half of it was done, gives the same."""
+    pending = _pending(path)
+    files, place = _place(spark, pending)
+    if not files.exists(place):
+        return
+    rows, months = spark.read.parquet(pending + "/rows"), _months(spark.read.parquet(pending + "/months"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-    if emptied:
-        emptied -= {r[0] for r in rows.select("month").distinct().collect()}
-    for month in emptied:
+    for month in months - _months(rows):
         _remove(spark, f"{path}/month={'__HIVE_DEFAULT_PARTITION__' if month is None else month}")
-    _remove(spark, staged)
+    _remove(spark, pending)
+
+
+def read_months(spark: SparkSession, path: str) -> DataFrame:
+    """The table as of its last commit: months whose swap was cut off come from the pending commit."""
+    pending = _pending(path)
+    files, place = _place(spark, pending)
+    rows = months = None
+    if files.exists(place):
+        rows, months = spark.read.parquet(pending + "/rows"), _months(spark.read.parquet(pending + "/months"))
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as error:
+        if rows is None or error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return rows
+    table = table.withColumn("month", F.col("month").cast("string"))
+    return table if rows is None else table.where(~_within(months)).unionByName(rows, allowMissingColumns=True)
+
+
+def _months(rows: DataFrame) -> set[str | None]:
+    return {r[0] for r in rows.select("month").distinct().collect()}
+
+
+def _within(months: set[str | None]) -> Column:
+    named = F.coalesce(F.col("month").isin(*(m for m in months if m is not None)), F.lit(False))
+    return named | F.col("month").isNull() if None in months else named
+
+
+def _pending(path: str) -> str:
+    return path.rstrip("/") + ".pending"
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def _remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours on whatever file system holds it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    files, place = _place(spark, path)
+    files.delete(place, True)
 
 
 def fixed_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:

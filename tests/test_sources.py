@@ -223,3 +223,39 @@ def test_damage_is_counted(spark, tmp_path):
     errors = ql.counter_report(counts, files=cl.file_audit(spark, str(tmp_path), multiline=True)).first().errors
     lost = sum(r.n_lost for r in audit.values())
     assert f"2 damaged files, {lost} records known to be lost." in errors
+
+
+@pytest.mark.parametrize("lost", ["before the swap", "amid the swap", "before the clean-up"])
+def test_upsert_lost_after_its_commit_keeps_each_key_once(spark, tmp_path, monkeypatch, lost):
+    """From the rename on the table is the new one; the next upsert finishes the swap."""
+    path, schema = str(tmp_path / "t"), "k string, timestamp timestamp_ntz, v int"
+    january, march, may = (datetime.datetime(2024, m, 1) for m in (1, 3, 5))
+    sinks.upsert_months(spark, path, spark.createDataFrame([("a", january, 1), ("b", march, 2), ("c", may, 3), ("d", None, 4)], schema), ["k"], ["v"])
+
+    class Lost(Exception):
+        pass
+
+    def stop(*_):
+        raise Lost
+
+    remove, recover, calls = sinks._remove, sinks.recover_months, []
+    with monkeypatch.context() as m:
+        if lost == "before the swap":
+            m.setattr(sinks, "recover_months", lambda *a: stop() if calls else calls.append(recover(*a)))
+        elif lost == "amid the swap":
+            m.setattr(sinks, "_remove", stop)
+        else:
+            m.setattr(sinks, "_remove", lambda s, p: stop() if p.endswith(".pending") else remove(s, p))
+        with pytest.raises(Lost):
+            sinks.upsert_months(spark, path, spark.createDataFrame([("a", march, 5), ("d", may, 6)], schema), ["k"], ["v"])
+    want = {"a": (march, 5), "b": (march, 2), "c": (may, 3), "d": (may, 6)}
+
+    def held(rows):
+        out = rows.collect()
+        assert len(out) == len({r.k for r in out})
+        return {r.k: (r.timestamp, r.v) for r in out}
+
+    assert held(sinks.read_months(spark, path)) == want
+    sinks.upsert_months(spark, path, spark.createDataFrame([("e", january, 7)], schema), ["k"], ["v"])
+    assert held(spark.read.parquet(path)) == held(sinks.read_months(spark, path)) == want | {"e": (january, 7)}
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
