@@ -21,10 +21,14 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|di
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no markup; it ends at their end tag.
-RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg math object select".split())
+#: Their content is no markup; it ends at their end tag, and without one those in the second set go on to the end of the page.
+RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
+ENDLESS = frozenset("script style textarea title".split())
+#: Elements of their own kind of content: a tag that starts a block of a page ends them, if their own end tag is missing.
+FOREIGN = frozenset("svg select".split())
 #: Elements that hold no article text, whatever their paths' ratios are.
-OUTSIDE = frozenset("head nav footer aside button menu dialog fieldset datalist audio video canvas map applet".split()) | RAW
+OUTSIDE = frozenset("head nav footer aside button menu dialog fieldset datalist audio video canvas map applet noscript template object "
+                    "annotation annotation-xml".split()) | RAW | FOREIGN
 #: Words of class, id or role that mark an element (as does being a form), which goes unless it holds what the page is about; an
 #: article, main, body or html element is never one.
 MARKS = frozenset(
@@ -36,7 +40,11 @@ MARKS = frozenset(
 TRUSTED = frozenset("html body main article".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr".split())
+    "time tt u var wbr "
+    "math mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split())
+#: These do not end a block of text that stands around them.
+UNBROKEN = INLINE | RAW | FOREIGN | VOID - {"hr", "col"} | frozenset("noscript template object audio video canvas map button".split())
 #: What a start tag ends if it is open nearer than the tags in the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -44,6 +52,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 COMPANIONS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption".split())
 #: What may stand between such a leaf and the parent of a content path.
 BETWEEN = frozenset("ul ol dl li table thead tbody tfoot tr blockquote figure header hgroup".split())
+#: Start tags that end a foreign element.
+STARTERS = COMPANIONS | BETWEEN | TRUSTED | frozenset("div section nav footer aside form".split())
 
 
 def _marked(attributes: str) -> bool:
@@ -70,7 +80,7 @@ def _parsed(page: str, kept: frozenset[int] = frozenset(), marks: _Marks | None
     found: list[tuple[tuple[str, ...], str]] = []
     stack: list[tuple[str, bool]] = []
     open_: list[tuple[int, int]] = []  # depth and place of marked elements
-    outside = 0
+    outside = foreign = 0
     parts: list[str] = []
     at = 0
 
@@ -84,13 +94,17 @@ def _parsed(page: str, kept: frozenset[int] = frozenset(), marks: _Marks | None
             parts.clear()
 
     def close(depth: int) -> None:
-        nonlocal outside
-        if open_ and open_[-1][0] >= depth:
-            flush()
-            while open_ and open_[-1][0] >= depth:
-                open_.pop()
+        nonlocal outside, foreign
         while len(stack) > depth:
-            outside -= stack.pop()[1]
+            name, dropped = stack[-1]
+            marked = bool(open_) and open_[-1][0] == len(stack) - 1
+            if not outside and (marked or name not in UNBROKEN):
+                flush()
+            if marked:
+                open_.pop()
+            stack.pop()
+            outside -= dropped
+            foreign -= name in FOREIGN
 
     while True:
         tag = _MARKUP.search(page, at)
@@ -108,7 +122,14 @@ def _parsed(page: str, kept: frozenset[int] = frozenset(), marks: _Marks | None
             if not outside and name == "br":
                 parts.append("\n")
             continue
-        if not inline:
+        if foreign and name in STARTERS and not (tag[1] or tag[4]):
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == "foreignobject":
+                    break
+                if stack[depth][0] in FOREIGN:
+                    close(depth)
+                    break
+        if not outside and name not in UNBROKEN:
             flush()
         if tag[1] or tag[4]:
             for depth in range(len(stack) - 1, -1, -1):
@@ -120,7 +141,7 @@ def _parsed(page: str, kept: frozenset[int] = frozenset(), marks: _Marks | None
             continue
         if name in VOID:
             continue
-        if not inline:
+        if name not in UNBROKEN:
             ended, within = ENDS.get(name, (frozenset(), frozenset()))
             for depth in range(len(stack) - 1, -1, -1):
                 other = stack[depth][0]
@@ -133,7 +154,7 @@ def _parsed(page: str, kept: frozenset[int] = frozenset(), marks: _Marks | None
                     break
         if name in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = end.end() if end else len(page) if name in ENDLESS else at
             continue
         if attributes.endswith("/"):
             continue
@@ -155,6 +176,7 @@ def _parsed(page: str, kept: frozenset[int] = frozenset(), marks: _Marks | None
                 marks.holds[place].add(name)
         stack.append((name, drop))
         outside += drop
+        foreign += name in FOREIGN
     flush()
     return found
 

@@ -49,6 +49,27 @@ def test_odd_markup():
     assert main_text(deep) == "Deep, but there."
 
 
+def test_elements_that_never_end():
+    for broken in ("<svg><path d='M0'>", "<select><option>one<option>two", "<svg><g><text>label", "<iframe src=x>", "<noembed>"):
+        assert main_text(f"<article><p>{LONG}</p>{broken}<p>{LONG}</p><p>Last.</p></article>") == f"{LONG}\n{LONG}\nLast.", broken
+        assert main_text(f"<article><p>{LONG} {broken}</p><p>{LONG}</p></article>").startswith(LONG), broken
+    for broken in ("<svg><path d='M0'>", "<select><option>one", "<object><param name=a>x", "<noscript>please", "<template><b>t"):
+        assert main_text(f"<article><div><p>{LONG} {broken}</p></div><p>Second. {LONG}</p></article>") == f"{LONG}\nSecond. {LONG}", broken
+    assert main_text(f"<article><svg><foreignObject><p>In a drawing.</p></foreignObject></svg><p>{LONG}</p></article>") == LONG
+    assert main_text(f"<article><p>{LONG}</p><script>var a = '<p>no</p>'") == LONG
+
+
+def test_a_sentence_stays_one_block():
+    math = "<math><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>+</mo><mn>1</mn></mrow></math>"
+    assert main_text(f"<article><p>So {math} holds, here. {LONG}</p></article>") == f"So x2+1 holds, here. {LONG}"
+    noted = "<math><semantics><mi>y</mi><annotation encoding=tex>y_0</annotation></semantics></math>"
+    assert main_text(f"<article><p>So {noted} holds, here. {LONG}</p></article>") == f"So y holds, here. {LONG}"
+    for between in ("<script>var a;</script>", "<svg><title>i</title><g><path d=x></g></svg>", "<img src=a alt=b>", "<template><p>t</p></template>",
+                    "<select><option>a</select>", "<style>p{}</style>", "<noscript><img src=a></noscript>"):
+        assert main_text(f"<article><p>Before {between}and after. {LONG}</p></article>") == f"Before and after. {LONG}", between
+    assert main_text(f"<article><p>{LONG}<hr>After.</article>") == f"{LONG}\nAfter."
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "x", 5), (2, None, None, "y", 6), (None, "v", "", "z", 7), (1, "u", PAGE, "x", 5), (3, "w", "<p>" + "word, " * 200_000, "", 1)]
     got = extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")).collect()
