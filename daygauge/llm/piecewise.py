@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygauge.llm.common import identified, partitions, query, table
+from daygauge.llm.common import doubtful_keys, identified, partitions, query, table
 
 #: Smallest block size; block sizes are this times powers of two.
 LEAST_BLOCK = 4
@@ -20,6 +20,8 @@ WANTED, MOST = 32, 96
 #: Letters two signatures must share in a row before their distance counts.
 COMMON = 5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Result rows of documents alike in key and text that one task writes in a row.
+ALIKE = 1 << 16
 _STEP = 0x01000193
 _M32 = (1 << 32) - 1
 
@@ -142,14 +144,19 @@ def _edges(ids: DataFrame, n: int) -> list[int]:
     return sorted(set(int(x) for x in ids.approxQuantile("_rid", [i / n for i in range(1, n)], 0.002))) if n > 1 else []
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(range, tail, rid, doc_id, text)`` sorted so that the next document of each follows it in its task.
+def with_next(rows: DataFrame, doubtful: bool) -> DataFrame:
+    """From ``(doc_id, text)`` rows ``(range, tail, rid, doc_id, text, alike)`` sorted so that the next document of each follows it in its task.
 
     Documents are dealt out by ranges of their order; the first document of each range goes to the range before it as well, the
-    first of all to the last. Texts are shuffled once; per range two numbers reach the driver.
+    first of all to the last. Texts are shuffled once; per range two numbers reach the driver. Where keys repeat (``doubtful``), rows alike
+    in key and text are first made one row, as an aggregation, and ``alike`` counts them: no range takes more than one of their texts.
     """
-    n = partitions(docs.sparkSession)
-    rows = identified(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "doc_id", "text")
+    n = partitions(rows.sparkSession)
+    if doubtful:
+        rows = rows.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), F.count("*").alias("alike")).drop("hash")
+    else:
+        rows = rows.withColumn("alike", F.lit(1).cast("bigint"))
+    rows = identified(rows, "doc_id", "text", doubtful=doubtful)
     edges = _edges(rows.select("_rid"), n)
 
     def lows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,20 +173,21 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         for batch in it:
             rid = batch.column("_rid").to_numpy()
             own = pa.table([pa.array(np.searchsorted(edges, rid, "right")), pa.array(np.zeros(len(rid), np.int32)), batch.column("_rid"),
-                            batch.column("doc_id"), batch.column("text")], names=["range", "tail", "rid", "doc_id", "text"])
+                            batch.column("doc_id"), batch.column("text"), batch.column("alike")], names=["range", "tail", "rid", "doc_id", "text", "alike"])
             yield from own.to_batches()
             twice = [i for i, r in enumerate(rid.tolist()) if r in before]
             if twice:
                 tails = own.take(pa.array(twice))
                 yield from pa.table([pa.array([before[r] for r in tails["rid"].to_pylist()], pa.int64()), pa.array(np.ones(len(twice), np.int32)),
-                                     tails["rid"], tails["doc_id"], tails["text"]], names=own.schema.names).to_batches()
+                                     tails["rid"], tails["doc_id"], tails["text"], tails["alike"]], names=own.schema.names).to_batches()
 
-    dealt = rows.select("_rid", "doc_id", "text").mapInArrow(deal, "range bigint, tail int, rid bigint, doc_id bigint, text string")
+    dealt = rows.select("_rid", "doc_id", "text", "alike").mapInArrow(
+        deal, "range bigint, tail int, rid bigint, doc_id bigint, text string, alike bigint")
     return dealt.repartition(n, "range").sortWithinPartitions("range", "tail", "rid")
 
 
 def _compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list = []  # range, rid, ids of the rows that agree in all, text, fingerprint
+    held: list = []  # range, doc_id, number of rows that agree in all, text, fingerprint
 
     def result(text: str, own: str, after: str, next_print: str):
         n = len(text)
@@ -190,20 +198,16 @@ def _compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         out = []
         columns = [c.to_pylist() for c in batch.columns]
-        for range_, tail, rid, doc_id, text in zip(*columns, strict=True):
-            if held and not tail and (held[0], held[1]) == (range_, rid):
-                held[2].append(doc_id)
-                continue
+        for range_, tail, _, doc_id, text, alike in zip(*columns, strict=True):
             own = fingerprint(text.encode("utf-8", "surrogatepass"))
             if held and held[0] == range_:
-                values = result(held[3], held[4], text, own)
-                out += [(i, *values) for i in held[2]]
+                out.append((held[1], *result(held[3], held[4], text, own), held[2]))
                 held = []
             if not tail:
-                held = [range_, rid, [doc_id], text, own]
+                held = [range_, doc_id, alike, text, own]
         if out:
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "alike"]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
@@ -214,8 +218,18 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     followed by the first, a single one by itself. A null text is empty. A null key comes first; rows with one key are ordered by
     a hash of their text, rows alike in both are one document; an empty table gives no rows. Other columns are ignored.
     """
-    return with_next(docs, key, text).mapInArrow(
-        _compared, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    doubtful = doubtful_keys(rows, "doc_id")
+    found = with_next(rows, doubtful).mapInArrow(
+        _compared, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+                   "near_next double, alike bigint")
+    if not doubtful:
+        return found.drop("alike")
+    # A result of many rows goes to many tasks, by parts of ALIKE rows.
+    zero, parts = F.lit(0).cast("bigint"), F.floor((F.col("alike") - 1) / ALIKE)
+    spread = found.withColumn("part", F.explode(F.sequence(zero, parts))).repartition(partitions(docs.sparkSession))
+    copies = F.sequence(zero, F.least(F.col("alike") - F.col("part") * ALIKE, F.lit(ALIKE)) - 1)
+    return spread.withColumn("copy", F.explode(copies)).drop("alike", "part", "copy")
 
 
 @query("op3_piecewise")

@@ -60,6 +60,16 @@ def test_odd_documents(documents, odd):
     assert piecewise.fingerprints(documents(odd)).count() == len(odd)
 
 
+def test_many_documents_alike_in_key_and_text(documents, monkeypatch):
+    monkeypatch.setattr(piecewise, "ALIKE", 300)
+    rows = [(7, "the same words, " * 30)] * 1000 + [(None, None)] * 301 + [(i, f"text {i} " * 40) for i in range(20)] + [(7, "another of that id")] * 2
+    found = piecewise.compare_edited(documents(rows).repartition(5))
+    got = Counter(tuple(r) for r in found.collect())
+    once = Counter(tuple(r) for r in piecewise.compare_edited(documents(list(dict.fromkeys(rows))).repartition(3)).collect())
+    assert set(got) == set(once) and sum(got.values()) == len(rows)
+    assert sorted(got.values())[-3:] == [2, 301, 1000]
+
+
 def brute(rows, k, every):
     live = sorted({(i, tuple(v)) for i, v in rows})
     out = set()
