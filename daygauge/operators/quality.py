@@ -284,6 +284,8 @@ def survey_report(answers: DataFrame, *, satisfaction: str, region: str, expecte
     out = attach(head, checks, [])
     out = out.withColumn("_actual", _strings(answers.columns)) if files is None else with_files(out, files)
     lost = F.filter(_strings(expected), lambda e: ~F.exists("_actual", lambda c: F.contains(c, e)))
+    if files is not None:  # without a header there is nothing to judge
+        lost = F.when(F.size("_actual") > 0, lost).otherwise(_strings([]))
     out = out.withColumns({"source_name": F.lit(name), "missing_columns": lost})
     absent, unreadable, damaged = file_notes() if files is not None else (F.lit(None).cast("string"),) * 3
     some = F.lit(False) if files is None else F.col("_unreadable") < F.col("_files")
