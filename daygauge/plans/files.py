@@ -20,7 +20,7 @@ TYPE_IN_PATH = r"kind=([^/]+)/"
 
 
 def write_counter_files(spark, sf) -> str:
-    """Counter files by event type and day, in two column orders, next to files of another kind by month; silent hours as 0."""
+    """Counter files by event type and day, in two column orders, next to files of another kind by day; silent hours as 0."""
     root = scratch_path(spark, "counter")
     rows = table(spark, sf, "events").select(
         F.col("event_type").alias("kind"), F.to_date("ts").alias("day"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("aggregate from"),
@@ -29,8 +29,9 @@ def write_counter_files(spark, sf) -> str:
         "kind", "day", "total count", F.lit("x").alias("note"), "aggregate to", "aggregate from")
     for part in (early, late):
         part.repartition("kind", "day").write.mode("append").option("header", True).partitionBy("kind", "day").csv(root)
-    other = table(spark, sf, "orders").groupBy(F.lit("other").alias("kind"), F.date_format("o_orderdate", "yyyy-MM").alias("day")).agg(F.count("*").alias("orders"))
-    other.repartition("day").write.mode("append").option("header", True).partitionBy("kind", "day").csv(root)
+    other = table(spark, sf, "orders").groupBy(F.lit("other").alias("kind"), F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders"))
+    # One short row a file, thousands of files: a fixed number keeps the planner from putting them all into one task.
+    other.repartition(spark.sparkContext.defaultParallelism, "day").write.mode("append").option("header", True).partitionBy("kind", "day").csv(root)
     return root
 
 
@@ -64,7 +65,7 @@ def write_mixed_files(spark, sf) -> str:
 
 
 @query("counter_file_audit", """SELECT event_type AS kind, count(DISTINCT CAST(ts AS DATE)) AS n_files, CAST(0 AS BIGINT) AS n_unreadable, CAST(0 AS BIGINT) AS n_lacking FROM events GROUP BY 1
-UNION ALL SELECT 'other', count(DISTINCT strftime(o_orderdate, '%Y-%m')), 0, count(DISTINCT strftime(o_orderdate, '%Y-%m')) FROM orders
+UNION ALL SELECT 'other', count(DISTINCT CAST(o_orderdate AS DATE)), 0, count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders
 UNION ALL SELECT 'silent', count(*), count(*), 0 FROM region""")
 def _(spark, sf):
     files = file_audit(spark, write_mixed_files(spark, sf), ql.COUNTER_COLUMNS)
