@@ -23,8 +23,8 @@ from daygauge.session import durable
 
 def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), name: str = "name") -> DataFrame:
     """Numeric columns to long form (by..., name, value), null and unparseable values kept as NULL."""
-    entries = [F.struct(F.lit(c).alias(name), number(c).alias("value")) for c in columns]
-    return df.select(*by, F.inline(F.array(*entries)))
+    numbers = df.select(*by, *[number(c).alias(c) for c in columns])
+    return numbers.unpivot([F.col(c) for c in by], [F.col(c) for c in columns], name, "value")
 
 
 def placed_values(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:

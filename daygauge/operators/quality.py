@@ -30,7 +30,7 @@ def value_table(df: DataFrame, columns: Sequence[str], *, series=None, date: str
     by = [*keys(series), "name"]
     if date is None:
         return value_counts(unpivot(df, columns, keys(series)), by)
-    dated = df.withColumn("_month", F.to_date(F.date_trunc("month", date)))
+    dated = df.withColumn("_month", F.trunc(F.to_date(date), "month"))
     return value_counts(unpivot(dated, columns, [*keys(series), "_month"]), by, extra=["_month"])
 
 
@@ -39,22 +39,29 @@ def column_profile(df: DataFrame, columns: Sequence[str], *, series=None, z: flo
     """Profile of raw numeric columns, one row per series and column.
 
     Three passes with partial aggregation: moments and quartile brackets, exact quartiles, outlier counts. Given a
-    ``value_table``, the last two read that instead of the rows.
+    ``value_table``, the last two read that instead of the rows, and the first reads each row once for all columns.
     """
     by = [*keys(series), "name"]
     dtypes = dict(df.dtypes)
-    long = unpivot(df, columns, keys(series))
-    moments = [F.count("*").alias("n_total"), F.count_if(F.col("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"),
-               F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")]
+
+    def moments(value: Column) -> dict[str, Column]:
+        return {"n_total": F.count("*"), "n_missing": F.count_if(value.isNull()), "mean": F.avg(value), "std": F.stddev_samp(value),
+                "min": F.min(value), "max": F.max(value)}
+
     probs, names = (0.25, 0.75), ("q25", "q75")
     if values is None:
+        long = unpivot(df, columns, keys(series))
         counts = long.where("value is not null").withColumn("n", F.lit(1).cast("long"))
-        brackets = quantile_brackets(long, by, "value", probs, extra=moments)
+        brackets = quantile_brackets(long, by, "value", probs, extra=[m.alias(k) for k, m in moments(F.col("value")).items()])
         basics = brackets.drop("_n", "_lo", "_hi")
         quartiles = quantiles_within(long, brackets.where("_n > 0"), by, "value", probs, names)
     else:
         counts = values.where(F.col("name").isin(*columns)).groupBy(*by, "_part", "value").agg(F.sum("n").alias("n"))
-        basics = long.groupBy(*by).agg(*moments)
+        # All columns side by side, so that no row is taken apart; without a row there is no group.
+        wide = df.groupBy(*keys(series)).agg(*[m.alias(f"_{i}_{k}") for i, c in enumerate(columns) for k, m in moments(number(c)).items()])
+        basics = wide.select(*keys(series), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("name"), *[F.col(f"_{i}_{k}").alias(k) for k in moments(number(c))])
+            for i, c in enumerate(columns)]))).where("n_total > 0")
         quartiles = quantiles_from(running_totals(counts, by, "value", ["n"]), by, probs, names)
     stats = checked_small(basics.join(quartiles, by, "left"))
     reach = k * (F.col("q75") - F.col("q25"))

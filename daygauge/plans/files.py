@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from daygauge.operators import quality as ql
 from daygauge.plans.registry import query, r6
 from daygauge.plans.roles import HOURS, INTENT, READINGS, TEXTS, hours, readings, table, texts
 from daygauge.plans.statistics import DRIFT_STEPS, DRIFT_TESTS
-from daygauge.session import durable, scratch_path
+from daygauge.session import at_once, durable, scratch_path
 from daygauge.sources import audits, counters, intent, sinks, station, survey, weather
 from daygauge.sources.columns import file_audit, locate_header, read_cells
 from daygauge.streaming import incremental
@@ -134,6 +136,9 @@ def _(spark, sf):
     return intent.read_intent_days(spark, write_intent(spark, sf), ["route_searches", INTENT])
 
 
+ANSWERS_A_FILE = 20_000
+
+
 def write_survey(spark, sf) -> str:
     """Free-text answers as files with two headers; texts keep their line breaks and quotes."""
     root = scratch_path(spark, "survey")
@@ -141,7 +146,8 @@ def write_survey(spark, sf) -> str:
         F.col("prefecture").alias("region"), F.when(F.col("location") == "src3", "no date").otherwise(F.col("date").cast("string")).alias("answered on"),
         F.col("satisfaction").cast("int").alias("overall rating"), F.concat(F.lit("would recommend "), F.regexp_extract("location", r"(\d+)", 1)).alias("recommend"),
         F.col("location").alias("place"), F.col("reason").alias("rating reason"), F.col("inconvenience").alias("inconvenience met"), F.col("doc_id"))
-    writer = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    # A file with line breaks in quotes is read by one task, so none may grow with the table.
+    writer = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxRecordsPerFile": ANSWERS_A_FILE}
     rows.where("doc_id is not null and place < 'src15'").write.options(**writer).csv(root + "/a")
     other = rows.where("place >= 'src15'").select("region", "answered on", "place", F.lit("fine").alias("service reason"), "rating reason", "overall rating",
                                                  "doc_id", "inconvenience met")
@@ -327,7 +333,7 @@ def write_station_files(spark, sf) -> str:
     root = scratch_path(spark, "stations")
     rows = readings(spark, sf).withColumn("timestamp", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
     for site, columns in (("A", HOURLY), ("N", [c for c in HOURLY if c != "snow_depth_cm"]), ("R", HOURLY[::-1])):
-        rows.where(F.col("site") == site).select(*columns).coalesce(4).write.option("header", True).csv(f"{root}/station={site}")
+        rows.where(F.col("site") == site).select(*columns).write.option("header", True).csv(f"{root}/station={site}")
     write_silent(spark, sf, f"{root}/station=mute")
     return root
 
@@ -388,10 +394,10 @@ lines AS (SELECT n_rows, len(w) AS warnings, len(e) AS errors, n_drift_events AS
 SELECT count(*) AS total_sources_audited, CAST(sum(n_rows) AS BIGINT) AS total_rows_audited, CAST(sum(warnings) AS BIGINT) AS total_warnings,
 CAST(sum(errors) AS BIGINT) AS total_errors, CAST(sum(events) AS BIGINT) AS total_drift_events, sum(errors) = 0 AS overall_passed FROM lines""")
 def _(spark, sf):
-    root = write_mixed_files(spark, sf)
+    root, stations, answers = at_once([partial(write, spark, sf) for write in (write_mixed_files, write_station_files, write_survey_with_silent)])
     reports = audits.audit_files(spark, {
         "counter": ("counter", {"path": root, "date_pattern": DAY_IN_PATH, "series_pattern": None, "law": "series"}),
         "old counter": ("counter", {"path": root + "/kind=absent"}),
-        "weather": ("weather", {"path": write_station_files(spark, sf), "station_pattern": STATION_IN_PATH, "stations": ("closed",), "law": "series"}),
-        "survey": ("survey", {"path": write_survey_with_silent(spark, sf), "satisfaction": "overall", "expected": SURVEY_PARTS})})
+        "weather": ("weather", {"path": stations, "station_pattern": STATION_IN_PATH, "stations": ("closed",), "law": "series"}),
+        "survey": ("survey", {"path": answers, "satisfaction": "overall", "expected": SURVEY_PARTS})})
     return ql.audit_totals(list(reports.values()))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daygauge.functions.scalars import number
 from daygauge.operators import quality as ql
-from daygauge.session import durable
+from daygauge.session import at_once, durable, landed
 from daygauge.sources.columns import file_audit, holding, named, read_wanted
 from daygauge.sources.counters import counter_days, counter_files
 from daygauge.sources.headers import header_index
@@ -26,8 +27,10 @@ def counter_files_report(spark: SparkSession, path, *, name: str = "counter", da
     A folder without a file is a report that says so, a path that does not exist too; with ``series_pattern`` it has no report.
     """
     by = "series" if series_pattern else None
-    days = counter_days(counter_files(spark, path, date_pattern=date_pattern, series_pattern=series_pattern), drop_zero=False, by_series=bool(by))
-    files = file_audit(spark, path, ql.COUNTER_COLUMNS)
+    heads = header_index(spark, path)
+    read = counter_files(spark, path, date_pattern=date_pattern, series_pattern=series_pattern, heads=heads)
+    days = counter_days(read, drop_zero=False, by_series=bool(by))
+    files = file_audit(spark, path, ql.COUNTER_COLUMNS, heads=heads)
     if by:
         files = files.withColumn(by, _series("file", series_pattern))
     return ql.counter_report(durable(days), name=name, files=files, series=by, law=law)
@@ -52,7 +55,7 @@ def weather_files_report(spark: SparkSession, path, *, name: str = "weather", st
     """
     heads = header_index(spark, path)
     files = file_audit(spark, path, ("timestamp", *sorted(ql.WEATHER_COLUMNS)), heads=heads)
-    rows = durable(station_hours(spark, path, station_pattern, heads))
+    rows = landed(station_hours(spark, path, station_pattern, heads))
     if station_pattern is None:
         return ql.weather_report(rows.drop("station"), name=name, files=files, law=law)
     files = files.withColumn("station", _series("file", station_pattern))
@@ -77,4 +80,5 @@ REPORTS = {"counter": counter_files_report, "weather": weather_files_report, "su
 def audit_files(spark: SparkSession, sources: Mapping[str, tuple[str, Mapping]]) -> dict[str, DataFrame]:
     """The report of every named source: ``sources`` maps a name to its kind (counter, weather or survey) and to the arguments of
     that kind's report, the path among them. ``quality.audit_totals`` sums them up, ``sinks.write_report`` writes one."""
-    return {name: REPORTS[kind](spark, name=name, **arguments) for name, (kind, arguments) in sources.items()}
+    steps = [partial(REPORTS[kind], spark, name=name, **arguments) for name, (kind, arguments) in sources.items()]
+    return dict(zip(sources, at_once(steps), strict=True))

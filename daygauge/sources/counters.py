@@ -11,13 +11,14 @@ from daygauge.sources.columns import named, read_named, read_wanted
 
 
 def counter_files(spark: SparkSession, path, *, mixed_headers: bool = True, date_pattern: str | None = None,
-                  series_pattern: str | None = None) -> DataFrame:
+                  series_pattern: str | None = None, heads: DataFrame | None = None) -> DataFrame:
     """(file, stem, series, count): the total count of every file that has the two counter columns.
 
     The date is the file stem, or the first group of ``date_pattern`` in the path. Other files are passed over.
     """
     if mixed_headers:
-        rows = read_wanted(spark, path, {"start": named("aggregate from"), "total": named("total count")}, needed=["start", "total"])
+        rows = read_wanted(spark, path, {"start": named("aggregate from"), "total": named("total count")}, needed=["start", "total"],
+                           heads=heads)
     else:
         rows = read_named(spark, path).withColumnRenamed("total count", "total")
     sums = rows.groupBy(F.col("_file").alias("file")).agg(F.coalesce(F.sum(number("total")), F.lit(0.0)).cast("long").alias("count"))

@@ -24,13 +24,20 @@ HEADER_BYTES = 1 << 22
 FILES_A_TASK, SCANS = 256, 64
 
 
+def _list_by_few_tasks(spark: SparkSession) -> None:
+    """A task lists many folders; by default each folder below a path is a task of its own."""
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+
+
 def csv_reader(spark: SparkSession, encoding: str = "UTF-8", recursive: bool = True, multiline: bool = False):
+    _list_by_few_tasks(spark)
     return (spark.read.option("encoding", encoding).option("recursiveFileLookup", recursive).option("escape", '"')
             .option("pathGlobFilter", GLOB).option("multiLine", multiline).option("ignoreCorruptFiles", True))
 
 
 def text_files(spark: SparkSession, path, recursive: bool = True) -> list[str]:
     """The files below the path, from the file index that Spark's driver holds for any read; none if the path does not exist."""
+    _list_by_few_tasks(spark)
     try:
         return spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", GLOB).text(path).inputFiles()
     except AnalysisException as error:
@@ -256,21 +263,24 @@ def _damage_task():
     return run
 
 
-def file_damage(spark: SparkSession, path, *, recursive: bool = True, multiline: bool = False, encoding: str = "UTF-8") -> DataFrame:
+def file_damage(spark: SparkSession, path, *, recursive: bool = True, multiline: bool = False, encoding: str = "UTF-8",
+                names: Sequence[str] | None = None) -> DataFrame:
     """(file, n_bytes, n_records, n_read, n_lost, damage): what a file holds against what the reader gives, header included.
 
     Tasks stream each file once and count records (line breaks outside quotes). A compressed stream that ends early is ``truncated``: its
     records up to there are counted, what came behind nobody knows. An ``open quote`` is one that is never closed: all lines count as
     records. ``n_read`` are the records that the CSV reader returns, so ``n_lost`` of a damaged file are missing from any query over it.
+    ``names`` are the files if they have been listed before (those of a ``header_index`` of the path).
     """
-    names = text_files(spark, path, recursive)
+    names = text_files(spark, path, recursive) if names is None else names
     files = spark.createDataFrame([(f,) for f in names], "file string")
     held = files.repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism * 4))).mapInArrow(
         _damage_task(), "file string, n_bytes bigint, n_records bigint, damage string")
     if not names:
         return held.select("file", "n_bytes", "n_records", F.lit(0).cast("bigint").alias("n_read"), F.lit(0).cast("bigint").alias("n_lost"), "damage")
     read = (csv_reader(spark, encoding, recursive, multiline).schema("_c0 string").option("header", False).csv(path)
-            .groupBy(plain_name(F.col("_metadata.file_path")).alias("_f")).agg(F.count("*").alias("n_read")))
+            .groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("n_read"))
+            .groupBy(plain_name("_path").alias("_f")).agg(F.sum("n_read").alias("n_read")))  # a name is rewritten once, not for every record
     both = held.join(read, plain_name(F.col("file")) == F.col("_f"), "left").withColumn("n_read", F.coalesce("n_read", F.lit(0)))
     lost = F.when(F.col("damage").isNotNull(), F.greatest(F.col("n_records") - F.col("n_read"), F.lit(0))).otherwise(0)
     return both.select("file", "n_bytes", "n_records", "n_read", lost.cast("bigint").alias("n_lost"), "damage")
