@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -108,3 +109,76 @@ def test_odd_rows(documents, odd, tokenizer):
     got = packing.pack(documents(odd), tokenizer).collect()
     assert sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
     assert packing.pack(documents([]), tokenizer).count() == 0
+
+
+def each_text(words, texts):
+    ids, begins = words.ids(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)]
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 22])
+def test_ids_are_those_of_the_tokenizer(tokenizer, monkeypatch, chunk):
+    monkeypatch.setattr(packing, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 40)
+    words, rng = packing.WordIds(tokenizer), np.random.default_rng(5)
+    some = [*"abSTzZé\u00c8\u0178\u0131\u0130\u03a3\u03c3漢😀\u0301\u00a0\u0085\x1c\x00\x7f0123'’.,<|>…€-– \t\n\x0b\f\r", " ", " ", "'s", "'RE", "'ll", "don't", "<|endoftext|>", "<|EndOfText|>",
+            " word ", "l'\u00c9tat", "\u039f\u03a3 "]
+    texts = ["".join(rng.choice(some, rng.integers(0, 40))) for _ in range(400)] + [None, "", " ", "'", "s", "<", "|endoftext|>", "'", "s'", "S", "", None, "x" * 300, "é" * 300]
+    texts = [t if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+    own = words.tokenizer
+    expected = [[*own.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for low in range(0, len(texts), 37):
+        assert each_text(words, texts[low:low + 37]) == expected[low:low + 37]
+    assert each_text(words, [None, ""]) == [[1], [1]] and each_text(words, []) == []
+    ids, begins = words.ids(pa.array(texts, pa.string()).slice(5, 90))
+    assert ids.tolist() == [i for x in expected[5:95] for i in x] and begins[-1] == len(ids)
+
+
+def test_words_in_use_are_not_encoded_again_when_others_are_forgotten(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 60)
+    words, given = packing.WordIds(tokenizer), []
+    own = words.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            given.extend(w for t in texts for w in t.split())
+            return own.encode_batch_fast(texts, **more)
+
+        def encode(self, text, **more):
+            given.extend(text.split())
+            return own.encode(text, **more)
+
+    words.tokenizer = Counted()
+    common = "alpha beta gamma delta 7 ."
+    for i in range(20):
+        rare = " ".join(f"{chr(97 + i)}{chr(97 + k)}q" for k in range(20))
+        text = f"{common} {rare}"
+        assert each_text(words, [text]) == [[*own.encode(text, add_special_tokens=False).ids, 1]]
+        assert len(words.number) <= 60
+    assert len(given) == len(set(given)) == 20 * 20 + 6
+
+
+def test_counts_land_in_few_files_and_ids_stay_where_they_are(documents, tokenizer, spark, monkeypatch):
+    files, own = {}, packing.written
+
+    def counted(df, label):
+        out = own(df, label)
+        files[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(packing, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in held}
+    rows = [(i, f"text of {i} " * 30, f"s{i % 40}") for i in range(200)]
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        found = packing.pack(documents(rows), tokenizer)
+        checked(found.collect(), rows, tokenizer)
+        assert files["part-sources"] <= 4 and files["queue-starts"] <= 4
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().toString()
+        monkeypatch.setattr(packing, "BROADCAST_STARTS", 3)
+        checked(packing.pack(documents(rows), tokenizer).collect(), rows, tokenizer)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
